@@ -21,23 +21,23 @@ from tenderflow.schemas import TXN_KEY
 
 def control_transactions(
     tables: Mapping[str, DataFrame], params: ReportParams, statuses: list[str]
-) -> DataFrame:
-    """The asked-for control transactions of eligible stores."""
+) -> tuple[DataFrame, DataFrame]:
+    """The asked-for control transactions of eligible stores, and the business dates they have."""
     codes = params.codes
     asked = tables["trn_trans"].filter(
         asked_rows(params)
         & (F.col("trans_typcode") == codes.control_transaction)
         & F.col("trans_statcode").isin(*statuses)
     )
-    return by_eligibility(
+    transactions = by_eligibility(
         asked.select(*TXN_KEY, "create_date"), eligible_stores(tables, codes), True, codes
     )
+    return transactions, business_dates(asked)
 
 
 def change_fund(tables: Mapping[str, DataFrame], params: ReportParams) -> DataFrame:
     codes = params.codes
-    transactions = control_transactions(tables, params, [codes.complete])
-    dates = business_dates(transactions)
+    transactions, dates = control_transactions(tables, params, [codes.complete])
     adjustments = on_dates(tables["tsn_tndr_control_trans"], dates).filter(
         (F.col("typcode") == codes.bag_adjustment)
         & (F.col("inbound_tndr_repository_id") == codes.change_fund)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderflow.functions import iso_day_text
-from tenderflow.operators import business_dates, on_dates, property_summary
+from tenderflow.operators import on_dates, property_summary
 from tenderflow.params import ReportParams
 from tenderflow.plans.change_fund import control_transactions
 from tenderflow.schemas import TOTAL, TXN_KEY
@@ -16,8 +16,7 @@ from tenderflow.schemas import TOTAL, TXN_KEY
 
 def kiosk_reconcile(tables: Mapping[str, DataFrame], params: ReportParams) -> DataFrame:
     codes = params.codes
-    transactions = control_transactions(tables, params, [codes.new, codes.complete])
-    dates = business_dates(transactions)
+    transactions, dates = control_transactions(tables, params, [codes.new, codes.complete])
     counts = on_dates(tables["tsn_tndr_control_trans"], dates).filter(
         (F.col("typcode") == codes.end_count)
         & (F.col("outbound_tndr_repository_id") == codes.kiosk_repository)

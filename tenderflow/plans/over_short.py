@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderflow.functions import asked_rows, code_like, day_text
-from tenderflow.operators import business_dates, on_dates, ordered_listing
+from tenderflow.operators import on_dates, ordered_listing
 from tenderflow.params import ReportParams
 from tenderflow.plans.tenders import Tables
 from tenderflow.schemas import TOTAL, TXN_KEY
@@ -22,17 +22,18 @@ from tenderflow.schemas import TOTAL, TXN_KEY
 EXACT = "decimal(18,6)"
 
 
-def end_counts(tables: Tables, params: ReportParams) -> DataFrame:
-    """End counts of known sessions."""
-    controls = tables["tsn_tndr_control_trans"].filter(
+def asked_ends(tables: Tables, params: ReportParams) -> DataFrame:
+    return tables["tsn_tndr_control_trans"].filter(
         asked_rows(params) & (F.upper("typcode") == params.codes.end_count)
-    )
+    ).select(*TXN_KEY, "outbound_session_id", "amt", "create_date", "create_user_id")
+
+
+def of_sessions(tables: Tables, ends: DataFrame) -> DataFrame:
+    """End counts of known sessions."""
     sessions = tables["tsn_session"].select(
         "organization_id", "rtl_loc_id", F.col("session_id").alias("outbound_session_id")
     )
-    return controls.select(
-        *TXN_KEY, "outbound_session_id", "amt", "create_date", "create_user_id"
-    ).join(sessions, ["organization_id", "rtl_loc_id", "outbound_session_id"])
+    return ends.join(sessions, ["organization_id", "rtl_loc_id", "outbound_session_id"])
 
 
 def known_counts(tables: Tables) -> DataFrame:
@@ -56,23 +57,34 @@ def media_counts(counts: DataFrame, strict: bool) -> DataFrame:
     return counts.filter(F.lit(not strict) & F.col("has_media"))
 
 
-def count_differences(tables: Tables, params: ReportParams) -> DataFrame:
-    """Differences by tender, moment, store and user, as plain treasury rows."""
-    ends = end_counts(tables, params).select(*TXN_KEY, "create_date", "create_user_id")
-    counts = known_counts(tables)
-    total = F.sum("difference").alias("difference")
-    own = on_dates(own_counts(counts, params.strict_keys), business_dates(ends))
-    by_key = own.groupBy(*TXN_KEY, "tndr_id").agg(total)
-    media = media_counts(counts, params.strict_keys)
-    by_sequence = media.groupBy("trans_seq", "tndr_id").agg(total)
-    columns = ["tndr_id", "difference", "create_date", "rtl_loc_id", "create_user_id"]
-    matched = ends.join(by_key, TXN_KEY).select(*columns).unionByName(
+def matched_counts(ends: DataFrame, counts: DataFrame, own: DataFrame, strict: bool) -> DataFrame:
+    """Per end count and tender: matched count rows and the sum of their differences.
+
+    ``own`` are the rows of ``counts`` that may share a transaction with ``ends``.  An end
+    count can get two rows of a tender, one for either way of matching.
+    """
+    totals = [F.count("*").alias("matches"), F.sum("difference").alias("difference")]
+    by_key = own_counts(own, strict).groupBy(*TXN_KEY, "tndr_id").agg(*totals)
+    by_sequence = media_counts(counts, strict).groupBy("trans_seq", "tndr_id").agg(*totals)
+    columns = [*ends.columns, "tndr_id", "matches", "difference"]
+    return ends.join(by_key, TXN_KEY).select(*columns).unionByName(
         ends.join(by_sequence, "trans_seq").select(*columns)
     )
+
+
+def count_differences(
+    tables: Tables, params: ReportParams, ends: DataFrame, dates: DataFrame
+) -> DataFrame:
+    """Differences by tender, moment, store and user, as plain treasury rows."""
+    ends = of_sessions(tables, ends).select(*TXN_KEY, "create_date", "create_user_id")
+    counts = known_counts(tables)
+    matched = matched_counts(ends, counts, on_dates(counts, dates), params.strict_keys)
     return _rows(matched, F.lit(None).cast("string"), params)
 
 
-def safe_differences(tables: Tables, params: ReportParams) -> DataFrame:
+def safe_differences(
+    tables: Tables, params: ReportParams, ends: DataFrame, dates: DataFrame
+) -> DataFrame:
     """The same for smart safes: differences of one end count are merged when equal.
 
     Kiosk differences (taken in by the safe minus expected) join them before the merge.  The
@@ -80,10 +92,9 @@ def safe_differences(tables: Tables, params: ReportParams) -> DataFrame:
     has of its own is added unless its sequence already holds an equal one.
     """
     codes = params.codes
-    ends = end_counts(tables, params)
+    ends = of_sessions(tables, ends)
     end = [*TXN_KEY, "create_date", "create_user_id"]
     identities = ends.select(*end).distinct()
-    dates = business_dates(ends)
     counts = known_counts(tables).filter(F.col("difference").isNotNull())
 
     properties = on_dates(tables["trn_trans_p"], dates)
@@ -100,7 +111,7 @@ def safe_differences(tables: Tables, params: ReportParams) -> DataFrame:
         )
         .filter(F.col("difference").isNotNull())
     )
-    own = on_dates(own_counts(counts, params.strict_keys), dates)
+    own = own_counts(on_dates(counts, dates), params.strict_keys)
     singles = (
         identities.join(own.select(*TXN_KEY, "tndr_id", "difference"), TXN_KEY)
         .select(*end, "tndr_id", "difference")

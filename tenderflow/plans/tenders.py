@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderflow.functions import (
@@ -56,13 +56,20 @@ def asked_lines(tables: Tables, params: ReportParams) -> DataFrame:
     )
 
 
+def asked_dates(tables: Tables, params: ReportParams) -> DataFrame:
+    """Business dates of the asked-for tender lines, before stores are told apart."""
+    return business_dates(tables["ttr_tndr_lineitm"].filter(asked_rows(params)))
+
+
 def live_lines(tables: Tables, dates: DataFrame) -> DataFrame:
     """Keys of transaction lines that were not voided."""
     lines = on_dates(tables["trl_rtrans_lineitm"], dates)
     return lines.filter(F.col("void_flag") == 0).select(*LINE_KEY)
 
 
-def typed_lines(tables: Tables, params: ReportParams, lines: DataFrame) -> DataFrame:
+def typed_lines(
+    tables: Tables, params: ReportParams, lines: DataFrame, dates: DataFrame
+) -> DataFrame:
     """Live tender lines with their payment type.  Tenders match by id alone."""
     kind, tender = F.col("tndr_typcode"), F.col("tndr_id")
     tenders = tables["tnd_tndr"].select(
@@ -70,27 +77,36 @@ def typed_lines(tables: Tables, params: ReportParams, lines: DataFrame) -> DataF
         payment_type(kind, tender, params.codes).alias("payment_type"),
         is_deposit(kind, tender, params.codes).alias("is_deposit"),
     )
-    live = live_lines(tables, business_dates(lines))
-    return lines.join(tenders, "tndr_id").join(live, LINE_KEY)
+    return lines.join(tenders, "tndr_id").join(live_lines(tables, dates), LINE_KEY)
+
+
+#: bits of ``sale_traits``
+CORE, DEVICE, SERVICE, ACCESSORY = 1, 2, 4, 8
+
+
+def has_trait(trait: int) -> Column:
+    return F.col("traits").bitwiseAND(trait) != 0
 
 
 def sale_traits(tables: Tables, params: ReportParams, dates: DataFrame) -> DataFrame:
-    """Which departments a transaction's sale lines belong to, in one pass over them."""
+    """Which departments a transaction's sale lines belong to, as bits of one number.
+
+    One column for all of them keeps the aggregate the same wherever it is used, so that
+    Spark computes and shuffles it once per report.
+    """
     codes = params.codes
     item, scanned = F.col("item_id"), F.col("scanned_item_id")
-    traits = {
-        "is_core": is_core_sale(item, codes),
-        "is_device": is_device_sale(item, scanned, codes),
-        "is_service": is_service_sale(scanned, codes),
-        "is_accessory": is_accessory_sale(F.col("merch_level_1"), codes),
+    bits = {
+        CORE: is_core_sale(item, codes),
+        DEVICE: is_device_sale(item, scanned, codes),
+        SERVICE: is_service_sale(scanned, codes),
+        ACCESSORY: is_accessory_sale(F.col("merch_level_1"), codes),
     }
+    line = [F.when(holds, F.lit(bit)).otherwise(F.lit(0)) for bit, holds in bits.items()]
     return (
         on_dates(tables["trl_sale_lineitm"], dates)
         .groupBy(*TXN_KEY)
-        .agg(*[
-            F.bool_or(F.coalesce(trait, F.lit(False))).alias(name)
-            for name, trait in traits.items()
-        ])
+        .agg(F.bit_or(sum(line[1:], line[0])).alias("traits"))
     )
 
 
@@ -99,7 +115,6 @@ def biller_counts(tables: Tables, params: ReportParams, dates: DataFrame) -> Dat
 
     A biller line is one (id, line) of a store's transaction, whatever its organization.
     """
-    traits = ["is_core", "is_device", "is_service"]
     billers = (
         on_dates(tables["trl_rtrans_lineitm_p"], dates)
         .filter(F.col("property_code") == params.codes.biller)
@@ -108,20 +123,23 @@ def biller_counts(tables: Tables, params: ReportParams, dates: DataFrame) -> Dat
         .join(sale_traits(tables, params, dates), TXN_KEY)
     )
     lines = billers.groupBy(*STORE_TXN_KEY, "rtrans_lineitm_seq", "billerid").agg(
-        *[F.bool_or(trait).alias(trait) for trait in traits]
+        F.bit_or("traits").alias("traits")
     )
     return lines.groupBy(*STORE_TXN_KEY, first8(F.col("billerid")).alias("billerid")).agg(
-        *[F.count_if(trait).alias(trait.replace("is_", "n_")) for trait in traits]
+        F.count_if(has_trait(CORE)).alias("n_core"),
+        F.count_if(has_trait(DEVICE)).alias("n_device"),
+        F.count_if(has_trait(SERVICE)).alias("n_service"),
     )
 
 
-def posted_amounts(tables: Tables, params: ReportParams, lines: DataFrame) -> DataFrame:
+def posted_amounts(
+    tables: Tables, params: ReportParams, lines: DataFrame, dates: DataFrame
+) -> DataFrame:
     """Posted amounts of live lines per transaction, session and posted text.
 
     Amounts of a transaction that a reversal names count as zero.
     """
     codes = params.codes
-    dates = business_dates(lines)
     properties = on_dates(tables["trl_rtrans_lineitm_p"], dates)
     posted = properties.filter(code_like(F.col("property_code"), codes.posted_amount)).select(
         *LINE_KEY, "property_code", F.col("string_value").alias("posted_text"), "decimal_value"
@@ -132,7 +150,7 @@ def posted_amounts(tables: Tables, params: ReportParams, lines: DataFrame) -> Da
         F.col("decimal_value")
     )
     return (
-        typed_lines(tables, params, lines)
+        typed_lines(tables, params, lines, dates)
         .join(posted, LINE_KEY)
         .filter(posts_amount(F.col("property_code"), F.col("tndr_id"), codes))
         .join(reversed_ones, TXN_KEY, "left")
@@ -143,11 +161,10 @@ def posted_amounts(tables: Tables, params: ReportParams, lines: DataFrame) -> Da
 
 
 def biller_payments(
-    tables: Tables, params: ReportParams, lines: DataFrame, attach: Attach
+    tables: Tables, params: ReportParams, lines: DataFrame, dates: DataFrame, attach: Attach
 ) -> DataFrame:
     """CORE, MOBILE DEVICE and MOBILE SERVICE payments from one pass over the tender lines."""
     codes = params.codes
-    dates = business_dates(lines)
 
     def department(name: str, count: str, scope: str, seq):
         return F.struct(
@@ -162,7 +179,7 @@ def biller_payments(
         department(codes.service, "n_service", TRANSACTION, own),
     )
     payments = (
-        posted_amounts(tables, params, lines)
+        posted_amounts(tables, params, lines, dates)
         .join(biller_counts(tables, params, dates), STORE_TXN_KEY)
         .withColumn("d", F.explode(F.filter(departments, lambda d: d["n"] > 0)))
         .select(
@@ -179,7 +196,7 @@ def biller_payments(
 
 
 def accessory_payments(
-    tables: Tables, params: ReportParams, lines: DataFrame, attach: Attach
+    tables: Tables, params: ReportParams, lines: DataFrame, dates: DataFrame, attach: Attach
 ) -> DataFrame:
     """What is left of tender amounts after posting, for transactions with accessory sales.
 
@@ -187,10 +204,9 @@ def accessory_payments(
     without one on its own workstation counts whole.  Transactions match without workstation.
     """
     codes = params.codes
-    dates = business_dates(lines)
-    sold = sale_traits(tables, params, dates).filter("is_accessory").select(*TXN_KEY)
+    sold = sale_traits(tables, params, dates).filter(has_trait(ACCESSORY)).select(*TXN_KEY)
     candidates = (
-        typed_lines(tables, params, lines)
+        typed_lines(tables, params, lines, dates)
         .filter(F.col("amt").isNotNull())
         .join(sold, TXN_KEY, "left_semi")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import ChainMap
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,10 +14,11 @@ from tenderflow.operators import (
     scalar_lookup,
 )
 from tenderflow.params import ReportParams
-from tenderflow.plans.over_short import count_differences, safe_differences
+from tenderflow.plans.over_short import asked_ends, count_differences, safe_differences
 from tenderflow.plans.tenders import (
     Tables,
     accessory_payments,
+    asked_dates,
     asked_lines,
     bag_references,
     biller_payments,
@@ -34,38 +35,54 @@ def columns(reference: str) -> list[Column]:
     ]
 
 
-def store_tables(tables: Tables, params: ReportParams, wanted: bool) -> Tables:
-    """Tables whose driving rows are limited to eligible stores, or to the others.
+@dataclass(frozen=True)
+class Asked:
+    """The driving rows of a run, and the business dates everything else is read for.
 
     The treasury filters stores on its finished rows.  Every branch keeps rows of different
-    stores apart, so the filter may as well run first, on the tender lines and end counts.
+    stores apart, so the filter runs first, on the tender lines and end counts.
     """
-    eligible = eligible_stores(tables, params.codes)
-    limited = {
-        name: by_eligibility(tables[name], eligible, wanted, params.codes)
-        for name in ("ttr_tndr_lineitm", "tsn_tndr_control_trans")
-    }
-    return ChainMap(limited, tables)
-
 
-def treasury_branches(tables: Tables, params: ReportParams) -> dict[str, DataFrame]:
-    """Rows of each part of the report without safes, for all stores in ``tables``."""
-    lines = asked_lines(tables, params)
-    attach = bag_references(tables, business_dates(lines))
+    lines: DataFrame
+    line_dates: DataFrame
+    ends: DataFrame
+    end_dates: DataFrame
+
+    @classmethod
+    def of(cls, tables: Tables, params: ReportParams, safe: bool | None = None) -> Asked:
+        lines, ends = asked_lines(tables, params), asked_ends(tables, params)
+        dates = asked_dates(tables, params), business_dates(ends)
+        if safe is not None:
+            eligible = eligible_stores(tables, params.codes)
+            lines = by_eligibility(lines, eligible, safe, params.codes)
+            ends = by_eligibility(ends, eligible, safe, params.codes)
+        return cls(lines, dates[0], ends, dates[1])
+
+
+def treasury_branches(
+    tables: Tables, params: ReportParams, asked: Asked | None = None
+) -> dict[str, DataFrame]:
+    """Parts of the report without safes; for all stores unless ``asked`` limits them."""
+    asked = asked or Asked.of(tables, params)
+    lines, dates = asked.lines, asked.line_dates
+    attach = bag_references(tables, dates)
     return {
-        "billers": biller_payments(tables, params, lines, attach),
-        "accessory": accessory_payments(tables, params, lines, attach),
-        "over_short": count_differences(tables, params),
+        "billers": biller_payments(tables, params, lines, dates, attach),
+        "accessory": accessory_payments(tables, params, lines, dates, attach),
+        "over_short": count_differences(tables, params, asked.ends, asked.end_dates),
     }
 
 
-def smartsafe_branches(tables: Tables, params: ReportParams) -> dict[str, DataFrame]:
-    lines = asked_lines(tables, params)
-    attach = deposit_listings(tables, params, business_dates(lines))
+def smartsafe_branches(
+    tables: Tables, params: ReportParams, asked: Asked | None = None
+) -> dict[str, DataFrame]:
+    asked = asked or Asked.of(tables, params)
+    lines, dates = asked.lines, asked.line_dates
+    attach = deposit_listings(tables, params, dates)
     return {
-        "billers": biller_payments(tables, params, lines, attach),
-        "accessory": accessory_payments(tables, params, lines, attach),
-        "over_short": safe_differences(tables, params),
+        "billers": biller_payments(tables, params, lines, dates, attach),
+        "accessory": accessory_payments(tables, params, lines, dates, attach),
+        "over_short": safe_differences(tables, params, asked.ends, asked.end_dates),
     }
 
 
@@ -74,7 +91,7 @@ def treasury(tables: Tables, params: ReportParams) -> DataFrame:
 
 
 def treasury_rows(tables: Tables, params: ReportParams) -> DataFrame:
-    branches = treasury_branches(store_tables(tables, params, wanted=False), params)
+    branches = treasury_branches(tables, params, Asked.of(tables, params, safe=False))
     return _merged(tables, branches, "bag_id")
 
 
@@ -83,7 +100,7 @@ def smartsafe_treasury(tables: Tables, params: ReportParams) -> DataFrame:
 
 
 def smartsafe_rows(tables: Tables, params: ReportParams) -> DataFrame:
-    branches = smartsafe_branches(store_tables(tables, params, wanted=True), params)
+    branches = smartsafe_branches(tables, params, Asked.of(tables, params, safe=True))
     return _merged(tables, branches, "deposits")
 
 
