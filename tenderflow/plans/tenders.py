@@ -56,11 +56,6 @@ def asked_lines(tables: Tables, params: ReportParams) -> DataFrame:
     )
 
 
-def asked_dates(tables: Tables, params: ReportParams) -> DataFrame:
-    """Business dates of the asked-for tender lines, before stores are told apart."""
-    return business_dates(tables["ttr_tndr_lineitm"].filter(asked_rows(params)))
-
-
 def live_lines(tables: Tables, dates: DataFrame) -> DataFrame:
     """Keys of transaction lines that were not voided."""
     lines = on_dates(tables["trl_rtrans_lineitm"], dates)
@@ -135,7 +130,7 @@ def biller_counts(tables: Tables, params: ReportParams, dates: DataFrame) -> Dat
 def posted_amounts(
     tables: Tables, params: ReportParams, lines: DataFrame, dates: DataFrame
 ) -> DataFrame:
-    """Posted amounts of live lines per transaction, session and posted text.
+    """Posted amounts of tender lines per transaction, session and posted text.
 
     Amounts of a transaction that a reversal names count as zero.
     """
@@ -150,8 +145,7 @@ def posted_amounts(
         F.col("decimal_value")
     )
     return (
-        typed_lines(tables, params, lines, dates)
-        .join(posted, LINE_KEY)
+        lines.join(posted, LINE_KEY)
         .filter(posts_amount(F.col("property_code"), F.col("tndr_id"), codes))
         .join(reversed_ones, TXN_KEY, "left")
         .join(sessions, TXN_KEY)
@@ -205,11 +199,7 @@ def accessory_payments(
     """
     codes = params.codes
     sold = sale_traits(tables, params, dates).filter(has_trait(ACCESSORY)).select(*TXN_KEY)
-    candidates = (
-        typed_lines(tables, params, lines, dates)
-        .filter(F.col("amt").isNotNull())
-        .join(sold, TXN_KEY, "left_semi")
-    )
+    candidates = lines.filter(F.col("amt").isNotNull()).join(sold, TXN_KEY, "left_semi")
     line = ["organization_id", "rtl_loc_id", "trans_seq", "rtrans_lineitm_seq"]
     posted = (
         tables["trl_rtrans_lineitm_p"]

@@ -14,16 +14,22 @@ from tenderflow.operators import (
     scalar_lookup,
 )
 from tenderflow.params import ReportParams
-from tenderflow.plans.over_short import asked_ends, count_differences, safe_differences
+from tenderflow.plans.over_short import (
+    asked_ends,
+    count_differences,
+    of_sessions,
+    safe_differences,
+)
 from tenderflow.plans.tenders import (
     Tables,
     accessory_payments,
-    asked_dates,
     asked_lines,
     bag_references,
     biller_payments,
     deposit_listings,
+    typed_lines,
 )
+from tenderflow.sources.staging import stage
 
 ORDER = ["locationid", "department"]
 
@@ -37,26 +43,30 @@ def columns(reference: str) -> list[Column]:
 
 @dataclass(frozen=True)
 class Asked:
-    """The driving rows of a run, and the business dates everything else is read for.
+    """The driving rows of a run: typed tender lines, and end counts of known sessions.
+
+    Every branch starts from them several times, so they are written to the staging folder
+    once.  They are the run's days of two tables; all else is read for their business dates.
 
     The treasury filters stores on its finished rows.  Every branch keeps rows of different
-    stores apart, so the filter runs first, on the tender lines and end counts.
+    stores apart, so the filter runs here already.
     """
 
     lines: DataFrame
-    line_dates: DataFrame
     ends: DataFrame
-    end_dates: DataFrame
 
     @classmethod
     def of(cls, tables: Tables, params: ReportParams, safe: bool | None = None) -> Asked:
         lines, ends = asked_lines(tables, params), asked_ends(tables, params)
-        dates = asked_dates(tables, params), business_dates(ends)
+        dates = business_dates(lines)
         if safe is not None:
             eligible = eligible_stores(tables, params.codes)
             lines = by_eligibility(lines, eligible, safe, params.codes)
             ends = by_eligibility(ends, eligible, safe, params.codes)
-        return cls(lines, dates[0], ends, dates[1])
+        return cls(
+            stage(typed_lines(tables, params, lines, dates), "lines"),
+            stage(of_sessions(tables, ends), "ends"),
+        )
 
 
 def treasury_branches(
@@ -64,12 +74,12 @@ def treasury_branches(
 ) -> dict[str, DataFrame]:
     """Parts of the report without safes; for all stores unless ``asked`` limits them."""
     asked = asked or Asked.of(tables, params)
-    lines, dates = asked.lines, asked.line_dates
+    lines, dates = asked.lines, business_dates(asked.lines)
     attach = bag_references(tables, dates)
     return {
         "billers": biller_payments(tables, params, lines, dates, attach),
         "accessory": accessory_payments(tables, params, lines, dates, attach),
-        "over_short": count_differences(tables, params, asked.ends, asked.end_dates),
+        "over_short": count_differences(tables, params, asked.ends),
     }
 
 
@@ -77,12 +87,12 @@ def smartsafe_branches(
     tables: Tables, params: ReportParams, asked: Asked | None = None
 ) -> dict[str, DataFrame]:
     asked = asked or Asked.of(tables, params)
-    lines, dates = asked.lines, asked.line_dates
+    lines, dates = asked.lines, business_dates(asked.lines)
     attach = deposit_listings(tables, params, dates)
     return {
         "billers": biller_payments(tables, params, lines, dates, attach),
         "accessory": accessory_payments(tables, params, lines, dates, attach),
-        "over_short": safe_differences(tables, params, asked.ends, asked.end_dates),
+        "over_short": safe_differences(tables, params, asked.ends),
     }
 
 

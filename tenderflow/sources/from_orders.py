@@ -52,7 +52,7 @@ def _null(type_: str) -> Column:
 
 
 class OrderTables(Mapping[str, DataFrame]):
-    """Lazy mapping; what grows with the orders is derived once, written to the staging folder and reused."""
+    """Lazy mapping; a table is derived once, written to the staging folder and reused."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -70,11 +70,7 @@ class OrderTables(Mapping[str, DataFrame]):
             raise KeyError(name)
         if name not in self._ready:
             df = conform(_DERIVE[name](self), name)
-            if name in DATED_TABLES:
-                df = stage(df, name, by_date=True)
-            elif name in ("tsn_session", "tsn_session_wkstn"):
-                df = stage(df, name)
-            self._ready[name] = df
+            self._ready[name] = stage(df, name, by_date=name in DATED_TABLES)
         return self._ready[name]
 
     def given(self, name: str) -> DataFrame:
