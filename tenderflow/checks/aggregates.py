@@ -55,8 +55,8 @@ def agg_max_version(t):
         else p.decimal_value end) as decimal(27,6)) as amount
     from trl_rtrans_lineitm_p p left join (
         select distinct organization_id, rtl_loc_id, business_date,
-            try_cast(split_part(string_value, '::', 4) as bigint) as wkstn_id,
-            try_cast(split_part(string_value, '::', 5) as bigint) as trans_seq
+            try_cast(regexp_extract_all(string_value, '[^:]+')[4] as bigint) as wkstn_id,
+            try_cast(regexp_extract_all(string_value, '[^:]+')[5] as bigint) as trans_seq
         from trl_rtrans_lineitm_p where property_code = 'SPS_REVERSAL_ORIG_TRANS_ID'
     ) r using (organization_id, rtl_loc_id, business_date, wkstn_id, trans_seq)
     where p.property_code like 'CPS_POSTED_TNDR_AMT%'

@@ -151,8 +151,8 @@ def store_day_deposits(t):
             where r.property_code = 'SPS_REVERSAL_ORIG_TRANS_ID'
                 and r.organization_id = l.organization_id and r.rtl_loc_id = l.rtl_loc_id
                 and r.business_date = l.business_date
-                and try_cast(split_part(r.string_value, '::', 4) as bigint) = l.wkstn_id
-                and try_cast(split_part(r.string_value, '::', 5) as bigint) = l.trans_seq
+                and try_cast(regexp_extract_all(r.string_value, '[^:]+')[4] as bigint) = l.wkstn_id
+                and try_cast(regexp_extract_all(r.string_value, '[^:]+')[5] as bigint) = l.trans_seq
         ) as reversed
     from ttr_tndr_lineitm l
 """)

@@ -270,8 +270,8 @@ def _parts(window: Window, safe: bool, strict: bool = False) -> str:
     ),
     named_reversal as (
         select organization_id, rtl_loc_id, business_date,
-            try_cast(split_part(string_value, '::', 4) as bigint) as wkstn_id,
-            try_cast(split_part(string_value, '::', 5) as bigint) as trans_seq, true as void
+            try_cast(regexp_extract_all(string_value, '[^:]+')[4] as bigint) as wkstn_id,
+            try_cast(regexp_extract_all(string_value, '[^:]+')[5] as bigint) as trans_seq, true as void
         from trl_rtrans_lineitm_p where property_code = 'SPS_REVERSAL_ORIG_TRANS_ID'
     ),
     item as (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 
 _KEY = "organization_id, rtl_loc_id, business_date, wkstn_id, trans_seq"
 
@@ -166,23 +167,20 @@ def _used(sql: str) -> set[str]:
     return {name for name in VIEWS if re.search(rf"(from|join|,)\s+{name}\b", sql)}
 
 
-def with_views(sql: str) -> str:
-    """Put the views a query needs in front of it.  The query may start with its own ``with``."""
-    wanted, found = set(), _used(sql)
-    while found - wanted:
-        wanted |= found
-        found = set().union(*(_used(VIEWS[name]) for name in wanted))
-    # a view only reads the ones it depends on, so order by dependency
+def with_views(sql: str, given: Collection[str] = ()) -> str:
+    """Put the views a query needs in front of it, but for tables that are ``given``.
+
+    The query may start with its own ``with``.
+    """
     ordered: list[str] = []
 
     def add(name: str) -> None:
-        for other in sorted(_used(VIEWS[name]) - {name}):
-            if other not in ordered:
-                add(other)
+        for other in sorted(_used(VIEWS[name]) - {name, *given}):
+            add(other)
         if name not in ordered:
             ordered.append(name)
 
-    for name in sorted(wanted):
+    for name in sorted(_used(sql) - set(given)):
         add(name)
     views = ",\n".join(f"{name} as ({VIEWS[name].strip()})" for name in ordered)
     body = sql.strip()
