@@ -65,7 +65,7 @@ def random_rows(seed: int) -> dict[str, list[tuple]]:
     def near(keys):
         """One of some keys, sometimes with another part."""
         chosen = list(pick(keys))
-        if r.random() < 0.3:
+        if r.random() < 0.2:
             part = r.randrange(5)
             chosen[part] = key()[part]
         return tuple(chosen)
@@ -109,7 +109,7 @@ def random_rows(seed: int) -> dict[str, list[tuple]]:
     def scope():
         return pick(["STORE:1", "STORE:2", "WEST", "STORE:", "OTHER"])
 
-    controls = [near(keys) for _ in range(14)]
+    controls = [near(keys) for _ in range(24)]
     rows = {
         "ttr_tndr_lineitm": [
             (*line, pick(tenders), money(pick(amounts)), moment(), pick(users)) for line in lines
@@ -133,7 +133,7 @@ def random_rows(seed: int) -> dict[str, list[tuple]]:
         ],
         "trn_trans": [
             (
-                *one, pick(["TENDER_CONTROL", "TENDER_CONTROL", "RETAIL_SALE"]),
+                *one, r.choices(["TENDER_CONTROL", "RETAIL_SALE"], [4, 1])[0],
                 pick(["COMPLETE", "COMPLETE", "NEW", "SUSPEND"]), pick([1, 2, None]), moment(),
                 pick(users),
             )
@@ -155,11 +155,11 @@ def random_rows(seed: int) -> dict[str, list[tuple]]:
         ],
         "tsn_tndr_tndr_count": [
             (
-                *near(controls), pick(["USD_CURRENCY", "CHECK", "GIFT"]),
-                pick(["CURRENCY", "CHECK"]), money(pick(amounts)), money(pick(amounts)),
+                *near(controls), pick(["USD_CURRENCY", "USD_CURRENCY", "CHECK", "GIFT"]),
+                pick(["CURRENCY", "CURRENCY", "CHECK"]), money(pick(amounts)), money(pick(amounts)),
                 money(pick([None, 0, 1, -1, 2.5])), pick([None, 0, 0, 1, 2]), pick(users),
             )
-            for _ in range(16)
+            for _ in range(30)
         ],
         "trn_trans_p": [
             (
@@ -181,17 +181,19 @@ def random_rows(seed: int) -> dict[str, list[tuple]]:
         "hrs_employee": [(1, "H1"), (2, "H2")],
         "cfg_profile_element_changes": [
             (
-                pick([1, 1, 2]), "STORE", pick(["1", "2"]), pick(["SYSCFG", "SYSCFG", "OTHER"]),
-                pick(["SystemConfig.xml", "SystemConfig.xml", "Other.xml"]), pick([1, 2]),
-                pick(["x SmartSafeEnabled=true y", "SmartSafeEnabled=false", None]),
+                pick([1, 1, 2]), "STORE", pick(["1", "2"]),
+                r.choices(["SYSCFG", "OTHER"], [5, 1])[0],
+                r.choices(["SystemConfig.xml", "Other.xml"], [5, 1])[0], pick([1, 2]),
+                r.choices(["x SmartSafeEnabled=true y", "SmartSafeEnabled=false", None], [3, 2, 1])[0],
             )
             for _ in range(12)
         ],
         "dpl_deployment": [
             (
-                pick([1, 2]), pick(["1", "2"]), "STORE", pick(["CONFIGURATOR", "OTHER"]),
-                pick(["COMPLETE", "IN_PROCESS", "FAILED"]),
-                "STORE:*:*" if r.random() < 0.04 else scope(),
+                pick([1, 2]), pick(["1", "2"]), "STORE", 
+                r.choices(["CONFIGURATOR", "OTHER"], [5, 1])[0],
+                pick(["COMPLETE", "IN_PROCESS", "SCHEDULED", "FAILED"]),
+                "STORE:*:*" if seed % 4 == 3 else scope(),
             )
             for _ in range(10)
         ],
