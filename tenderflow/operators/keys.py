@@ -10,8 +10,13 @@ from tenderflow.functions import nth_run
 
 
 def business_dates(df: DataFrame) -> DataFrame:
-    """The business dates of some rows: never more than there are calendar days."""
-    return df.select("business_date").distinct()
+    """The business dates of some rows: never more than there are calendar days.
+
+    Spark lets a join prune partitions only if the other side is filtered, which rows read
+    back from the staging folder are not any more; so a filter that keeps every date is added.
+    """
+    known = F.col("business_date") >= F.lit("0001-01-01").cast("date")
+    return df.filter(known).select("business_date").distinct()
 
 
 def on_dates(df: DataFrame, dates: DataFrame) -> DataFrame:

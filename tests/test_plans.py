@@ -1,6 +1,7 @@
 """Shape of the plans, and properties that hold for whole reports."""
 
 import glob
+import os
 from datetime import date
 
 import pytest
@@ -14,6 +15,7 @@ from tenderflow.plans.change_fund import change_fund
 from tenderflow.plans.kiosk import kiosk_reconcile
 from tenderflow.plans.till_variance import till_variance
 from tenderflow.plans.treasury import smartsafe_treasury, treasury
+from tenderflow.schemas import DATED_TABLES
 from tenderflow.sources import load_tables, parquet_reader, write_tables
 
 PARAMS = ReportParams(Window.day(DAY))
@@ -63,38 +65,34 @@ def test_filters_reach_the_scan(small, capsys):
     assert text.count("PartitionFilters: [isnotnull(business_date") >= 3
 
 
-def test_a_day_does_not_read_other_dates(spark, small, tmp_path):
-    """Files of other dates are made unreadable; only tables asked for all dates are spared."""
-    root = str(tmp_path)
-    names = [
-        "trn_trans", "tsn_tndr_control_trans", "tsn_tndr_tndr_count", "trn_trans_notes",
-        "trn_trans_p", "trl_sale_lineitm", "trl_rtrans_lineitm",
-    ]
-    write_tables(small, root)
-    whole = load_tables(parquet_reader(spark, root))
-    slack = ReportParams(Window.day(DAY), date_slack=0)
-    reports = {"change_fund": change_fund, "kiosk": kiosk_reconcile, "till": till_variance}
-    want = {name: report(whole, slack).count() for name, report in reports.items()}
+def spoil(root, names):
+    """Make the files of other dates unreadable."""
     for name in names:
         for path in glob.glob(f"{root}/{name}/business_date=*/part-*"):
             if f"business_date={DAY}" not in path:
+                os.remove(os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.crc"))
                 with open(path, "wb") as file:
                     file.write(b"not a table")
-    for path in glob.glob(f"{root}/*/business_date=*/.part-*.crc"):
-        if f"business_date={DAY}" not in path and any(name in path for name in names):
-            with open(path, "wb") as file:
-                file.write(b"")
-    pruned = load_tables(parquet_reader(spark, root))
-    for name, report in reports.items():
-        assert report(pruned, slack).count() == want[name]
-    from tenderflow.operators import business_dates
-    from tenderflow.plans.tenders import asked_lines, live_lines, sale_traits
 
-    dates = business_dates(asked_lines(pruned, slack))
-    assert sale_traits(pruned, slack, dates).count() > 0
-    assert live_lines(pruned, dates).count() > 0
+
+def test_a_day_does_not_read_other_dates(spark, small, tmp_path):
+    root = str(tmp_path)
+    write_tables(small, root)
+    slack = ReportParams(Window.day(DAY), date_slack=0)
+    single = {"change_fund": change_fund, "kiosk": kiosk_reconcile, "till": till_variance}
+    reports = {**single, "treasury": treasury, "smartsafe": smartsafe_treasury}
+    # the treasury asks these for all dates: posted amounts and media counts of any day
+    undated = {"trl_rtrans_lineitm_p", "tsn_tndr_tndr_count"}
+    want = {name: report(small, slack).count() for name, report in reports.items()}
+    spoil(root, set(DATED_TABLES) - undated)
+    spoiled = load_tables(parquet_reader(spark, root))
     with pytest.raises(Exception):
-        pruned["trl_sale_lineitm"].agg(F.max("item_id")).collect()
+        spoiled["trl_sale_lineitm"].agg(F.max("item_id")).collect()
+    for name, report in reports.items():
+        assert report(spoiled, slack).count() == want[name]
+    spoil(root, undated)
+    for name, report in single.items():
+        assert report(load_tables(parquet_reader(spark, root)), slack).count() == want[name]
 
 
 def test_reports_split_the_stores(small):
