@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,23 +11,19 @@ from tenderflow.codes import Codes
 from tenderflow.functions import nth_run
 
 
-def business_dates(df: DataFrame) -> DataFrame:
-    """The business dates of some rows: never more than there are calendar days.
+def business_dates(df: DataFrame) -> list[date]:
+    """The business dates some rows have: never more than the calendar has days.
 
-    Spark lets a join prune partitions only if the other side is filtered, which rows read
-    back from the staging folder are not any more; so a filter that keeps every date is added.
+    They are known before the rest of a report is planned, so that every other table is
+    pruned to its partitions of these dates when it is listed, not only when it is read.
     """
-    known = F.col("business_date") >= F.lit("0001-01-01").cast("date")
-    return df.filter(known).select("business_date").distinct()
-
+    dates = df.select("business_date").dropna().distinct()
+    return sorted(row.business_date for row in dates.collect())
 
-def on_dates(df: DataFrame, dates: DataFrame) -> DataFrame:
-    """Keep the rows of some business dates.
 
-    The dates go out as a broadcast, whose size is limited by the calendar, so that Spark
-    skips the partitions of every other date when it scans ``df``.
-    """
-    return df.join(F.broadcast(dates), "business_date", "left_semi")
+def on_dates(df: DataFrame, dates: list[date]) -> DataFrame:
+    """Rows of some business dates; rows of any other date cannot join what is asked for."""
+    return df.filter(F.col("business_date").isin(dates))
 
 
 def original_transactions(properties: DataFrame, codes: Codes) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from tenderflow.schemas import TXN_KEY
 
 def control_transactions(
     tables: Mapping[str, DataFrame], params: ReportParams, statuses: list[str]
-) -> tuple[DataFrame, DataFrame]:
+) -> tuple[DataFrame, list[date]]:
     """The asked-for control transactions of eligible stores, and the business dates they have."""
     codes = params.codes
     asked = tables["trn_trans"].filter(

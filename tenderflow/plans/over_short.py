@@ -10,11 +10,13 @@ With ``strict_keys`` every count belongs to its own transaction only.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderflow.functions import asked_rows, code_like, day_text
-from tenderflow.operators import business_dates, on_dates, ordered_listing
+from tenderflow.operators import on_dates, ordered_listing
 from tenderflow.params import ReportParams
 from tenderflow.plans.tenders import Tables
 from tenderflow.schemas import TOTAL, TXN_KEY
@@ -72,17 +74,21 @@ def matched_counts(ends: DataFrame, counts: DataFrame, own: DataFrame, strict: b
     )
 
 
-def count_differences(tables: Tables, params: ReportParams, ends: DataFrame) -> DataFrame:
+def count_differences(
+    tables: Tables, params: ReportParams, ends: DataFrame, dates: list[date]
+) -> DataFrame:
     """Differences by tender, moment, store and user, as plain treasury rows."""
     counts = known_counts(tables)
     matched = matched_counts(
         ends.select(*TXN_KEY, "create_date", "create_user_id"), counts,
-        on_dates(counts, business_dates(ends)), params.strict_keys,
+        on_dates(counts, dates), params.strict_keys,
     )
     return _rows(matched, F.lit(None).cast("string"), params)
 
 
-def safe_differences(tables: Tables, params: ReportParams, ends: DataFrame) -> DataFrame:
+def safe_differences(
+    tables: Tables, params: ReportParams, ends: DataFrame, dates: list[date]
+) -> DataFrame:
     """The same for smart safes: differences of one end count are merged when equal.
 
     Kiosk differences (taken in by the safe minus expected) join them before the merge.  The
@@ -90,7 +96,6 @@ def safe_differences(tables: Tables, params: ReportParams, ends: DataFrame) -> D
     has of its own is added unless its sequence already holds an equal one.
     """
     codes = params.codes
-    dates = business_dates(ends)
     end = [*TXN_KEY, "create_date", "create_user_id"]
     identities = ends.select(*end).distinct()
     counts = known_counts(tables).filter(F.col("difference").isNotNull())

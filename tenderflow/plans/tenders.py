@@ -8,6 +8,7 @@ multiplied by a count, and rows are only repeated where a bag id is part of the
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,6 @@ from tenderflow.functions import (
     posts_amount,
 )
 from tenderflow.operators import (
-    business_dates,
     on_dates,
     ordered_listing,
     original_transactions,
@@ -56,14 +56,14 @@ def asked_lines(tables: Tables, params: ReportParams) -> DataFrame:
     )
 
 
-def live_lines(tables: Tables, dates: DataFrame) -> DataFrame:
+def live_lines(tables: Tables, dates: list[date]) -> DataFrame:
     """Keys of transaction lines that were not voided."""
     lines = on_dates(tables["trl_rtrans_lineitm"], dates)
     return lines.filter(F.col("void_flag") == 0).select(*LINE_KEY)
 
 
 def typed_lines(
-    tables: Tables, params: ReportParams, lines: DataFrame, dates: DataFrame
+    tables: Tables, params: ReportParams, lines: DataFrame, dates: list[date]
 ) -> DataFrame:
     """Live tender lines with their payment type.  Tenders match by id alone."""
     kind, tender = F.col("tndr_typcode"), F.col("tndr_id")
@@ -83,7 +83,7 @@ def has_trait(trait: int) -> Column:
     return F.col("traits").bitwiseAND(trait) != 0
 
 
-def sale_traits(tables: Tables, params: ReportParams, dates: DataFrame) -> DataFrame:
+def sale_traits(tables: Tables, params: ReportParams, dates: list[date]) -> DataFrame:
     """Which departments a transaction's sale lines belong to, as bits of one number.
 
     One column for all of them keeps the aggregate the same wherever it is used, so that
@@ -105,7 +105,7 @@ def sale_traits(tables: Tables, params: ReportParams, dates: DataFrame) -> DataF
     )
 
 
-def biller_counts(tables: Tables, params: ReportParams, dates: DataFrame) -> DataFrame:
+def biller_counts(tables: Tables, params: ReportParams, dates: list[date]) -> DataFrame:
     """Per transaction and shortened biller id: how many biller lines each department has.
 
     A biller line is one (id, line) of a store's transaction, whatever its organization.
@@ -128,7 +128,7 @@ def biller_counts(tables: Tables, params: ReportParams, dates: DataFrame) -> Dat
 
 
 def posted_amounts(
-    tables: Tables, params: ReportParams, lines: DataFrame, dates: DataFrame
+    tables: Tables, params: ReportParams, lines: DataFrame, dates: list[date]
 ) -> DataFrame:
     """Posted amounts of tender lines per transaction, session and posted text.
 
@@ -155,7 +155,7 @@ def posted_amounts(
 
 
 def biller_payments(
-    tables: Tables, params: ReportParams, lines: DataFrame, dates: DataFrame, attach: Attach
+    tables: Tables, params: ReportParams, lines: DataFrame, dates: list[date], attach: Attach
 ) -> DataFrame:
     """CORE, MOBILE DEVICE and MOBILE SERVICE payments from one pass over the tender lines."""
     codes = params.codes
@@ -190,7 +190,7 @@ def biller_payments(
 
 
 def accessory_payments(
-    tables: Tables, params: ReportParams, lines: DataFrame, dates: DataFrame, attach: Attach
+    tables: Tables, params: ReportParams, lines: DataFrame, dates: list[date], attach: Attach
 ) -> DataFrame:
     """What is left of tender amounts after posting, for transactions with accessory sales.
 
@@ -246,7 +246,7 @@ def _totals(payments: DataFrame, *hidden: str) -> DataFrame:
     ).agg(F.sum("amount").cast(TOTAL).alias("amount"))
 
 
-def session_bags(tables: Tables, dates: DataFrame) -> DataFrame:
+def session_bags(tables: Tables, dates: list[date]) -> DataFrame:
     """Bags that left a session, for each workstation the session ran on."""
     store_session = ["organization_id", "rtl_loc_id", "session_id"]
     controls = (
@@ -265,7 +265,7 @@ def session_bags(tables: Tables, dates: DataFrame) -> DataFrame:
     )
 
 
-def bag_references(tables: Tables, dates: DataFrame) -> Attach:
+def bag_references(tables: Tables, dates: list[date]) -> Attach:
     """Deposits name each bag of their session or transaction, with the whole amount.
 
     Other tenders hide the bag, so they are multiplied by the number of bags instead.
@@ -300,7 +300,7 @@ def bag_references(tables: Tables, dates: DataFrame) -> Attach:
     return attach
 
 
-def deposit_listings(tables: Tables, params: ReportParams, dates: DataFrame) -> Attach:
+def deposit_listings(tables: Tables, params: ReportParams, dates: list[date]) -> Attach:
     """Deposits name all smart-safe deposits of their store and business date."""
     store_day = ["organization_id", "rtl_loc_id", "business_date"]
     numbers = on_dates(tables["trn_trans_p"], dates).filter(

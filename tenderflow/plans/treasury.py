@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,19 +54,21 @@ class Asked:
     """
 
     lines: DataFrame
+    line_dates: list[date]
     ends: DataFrame
+    end_dates: list[date]
 
     @classmethod
     def of(cls, tables: Tables, params: ReportParams, safe: bool | None = None) -> Asked:
         lines, ends = asked_lines(tables, params), asked_ends(tables, params)
-        dates = business_dates(lines)
+        line_dates, end_dates = business_dates(lines), business_dates(ends)
         if safe is not None:
             eligible = eligible_stores(tables, params.codes)
             lines = by_eligibility(lines, eligible, safe, params.codes)
             ends = by_eligibility(ends, eligible, safe, params.codes)
         return cls(
-            stage(typed_lines(tables, params, lines, dates), "lines"),
-            stage(of_sessions(tables, ends), "ends"),
+            stage(typed_lines(tables, params, lines, line_dates), "lines"), line_dates,
+            stage(of_sessions(tables, ends), "ends"), end_dates,
         )
 
 
@@ -74,12 +77,12 @@ def treasury_branches(
 ) -> dict[str, DataFrame]:
     """Parts of the report without safes; for all stores unless ``asked`` limits them."""
     asked = asked or Asked.of(tables, params)
-    lines, dates = asked.lines, business_dates(asked.lines)
+    lines, dates = asked.lines, asked.line_dates
     attach = bag_references(tables, dates)
     return {
         "billers": biller_payments(tables, params, lines, dates, attach),
         "accessory": accessory_payments(tables, params, lines, dates, attach),
-        "over_short": count_differences(tables, params, asked.ends),
+        "over_short": count_differences(tables, params, asked.ends, asked.end_dates),
     }
 
 
@@ -87,12 +90,12 @@ def smartsafe_branches(
     tables: Tables, params: ReportParams, asked: Asked | None = None
 ) -> dict[str, DataFrame]:
     asked = asked or Asked.of(tables, params)
-    lines, dates = asked.lines, business_dates(asked.lines)
+    lines, dates = asked.lines, asked.line_dates
     attach = deposit_listings(tables, params, dates)
     return {
         "billers": biller_payments(tables, params, lines, dates, attach),
         "accessory": accessory_payments(tables, params, lines, dates, attach),
-        "over_short": safe_differences(tables, params, asked.ends),
+        "over_short": safe_differences(tables, params, asked.ends, asked.end_dates),
     }
 
 

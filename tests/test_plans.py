@@ -44,15 +44,12 @@ def unhinted(spark):
 
 
 @pytest.mark.parametrize("name", sorted(REPORTS))
-def test_no_pairwise_joins_and_only_dates_are_broadcast(spark, small, unhinted, name, capsys):
+def test_no_pairwise_joins_and_nothing_is_broadcast_unchecked(spark, small, unhinted, name, capsys):
     text = plan_text(REPORTS[name](small, PARAMS), capsys)
     assert "BroadcastNestedLoopJoin" not in text
     assert "CartesianProduct" not in text
     assert "PythonUDF" not in text and "ArrowEval" not in text
-    joins = [block for block in text.split("\n\n") if ") BroadcastHashJoin" in block]
-    keys = [block.split("Left keys ")[1] for block in joins if "Left keys " in block]
-    assert all(key.startswith("[1]: [business_date") for key in keys)
-    assert bool(keys) == (name not in ("ach", "till"))
+    assert "BroadcastHashJoin" not in text
 
 
 def test_filters_reach_the_scan(small, capsys):

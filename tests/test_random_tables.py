@@ -20,7 +20,7 @@ from tenderflow.plans.till_variance import till_variance
 PARAMS = ReportParams(Window.day(DAY))
 
 
-@pytest.fixture(scope="module", params=[1, 2, 5, 8, 11])
+@pytest.fixture(scope="module", params=[2, 8, 11])
 def both(request, spark):
     rows = random_rows(request.param)
     return spark_tables(spark, rows), duck_tables(rows)
