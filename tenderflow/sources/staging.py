@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local_roots: dict[str, str] = {}
-
 
 def staging_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
+    """``spark.checkpoint.dir``, a folder that every executor and the driver can reach."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not root:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _local_roots.setdefault(
-        context.applicationId, tempfile.mkdtemp(prefix="tenderflow-")
-    )
+    return root.rstrip("/")
+
+
+def staging_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for one intermediate result; it goes when the driver's JVM ends."""
+    folder = f"{staging_root(spark)}/tenderflow-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(context._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return f"{folder}/{name}"
 
 
 def stage(df: DataFrame, name: str, by_date: bool = False) -> DataFrame:
@@ -31,7 +34,7 @@ def stage(df: DataFrame, name: str, by_date: bool = False) -> DataFrame:
     store with most of the rows is still written by many tasks.
     """
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/tenderflow-{uuid.uuid4().hex}/{name}"
+    path = staging_folder(spark, name)
     if by_date:
         spread = df.repartitionByRange("business_date", "rtl_loc_id", "trans_seq")
         spread.write.partitionBy("business_date").parquet(path)
