@@ -5,26 +5,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tenderflow.llm import exact, mixing
+from tenderflow.llm import exact, mixing, packing, tokens
+
+WORD_TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+TOKEN_LIMIT = 1024
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def op4_packing(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack_documents(
+        _table(spark, root, "documents"), tokenizer_path(WORD_TOKENIZER)
+    )
+
+
 def op8_mixing(spark: SparkSession, root: str) -> DataFrame:
     counts = mixing.mix_counts(_table(spark, root, "documents"))
     return counts.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_token_counts(spark: SparkSession, root: str) -> DataFrame:
+    counts = tokens.token_counts(
+        _table(spark, root, "documents"), tokenizer_path(BYTE_TOKENIZER)
+    )
+    return counts.withColumn("over_limit", counts["n_tokens"] > TOKEN_LIMIT)
+
+
 def op10_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
     return exact.exact_groups(_table(spark, root, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_packing": op4_packing,
     "op8_mixing": op8_mixing,
+    "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
