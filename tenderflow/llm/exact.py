@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenderflow.llm import rows
 from tenderflow.sources.staging import stage, staging_folder
 
 BUCKET_ENTRIES = 1 << 16
@@ -77,12 +78,13 @@ def place_keys(keys: DataFrame, capacity: int = BUCKET_ENTRIES) -> DataFrame:
 
 def build_index(
     docs: DataFrame, capacity: int = BUCKET_ENTRIES,
-    key: Callable[[Column], Column] = text_key,
+    key: Callable[[Column], Column] = text_key, row: Column | None = None,
 ) -> DataFrame:
     """Write the index of ``docs`` (doc_id, text) and read it back.
 
-    One entry per row: bucket, h, row (a number of this index's own), doc_id, text_sha256,
-    chained (another entry has this key) and body, the normalised text of chained entries.
+    One entry per row: bucket, h, row (``row``, or a number of this index's own), doc_id,
+    text_sha256, chained (another entry has this key) and body, the normalised text of chained
+    entries.
     """
     spark = docs.sparkSession
     keys = stage(
@@ -90,7 +92,7 @@ def build_index(
         "keys",
     )
     entries = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id",
+        (F.monotonically_increasing_id() if row is None else row).alias("row"), "doc_id",
         key(F.col("text")).alias("h"), normalised(F.col("text")).alias("body"),
     ).withColumn("text_sha256", F.sha2("body", 256))
     chained = F.col("n") > 1
@@ -113,18 +115,18 @@ def build_index(
 
 def exact_groups(
     docs: DataFrame, capacity: int = BUCKET_ENTRIES,
-    key: Callable[[Column], Column] = text_key,
+    key: Callable[[Column], Column] = text_key, row: Column | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per document: row, doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null text is empty text.  Of equal
     texts the largest doc_id stays; of rows that share that doc_id too, exactly one is kept, and
     null doc_ids stay only where there is no other.  No rows give no rows.  Other columns of
     ``docs`` are not read.
     """
-    index = build_index(docs, capacity, key)
+    index = build_index(docs, capacity, key, row)
     single = index.where(~F.col("chained")).select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
+        "row", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256",
     )
     # owner tasks: grouping by key and body compares the bytes of a chain
@@ -150,7 +152,7 @@ def exact_groups(
         index.where("chained").select("bucket", "h", "text_sha256", "doc_id", "row")
         .join(classes, ["bucket", "h", "text_sha256"])
         .select(
-            "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
+            "row", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
             (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256",
         )
     )
@@ -158,29 +160,7 @@ def exact_groups(
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that :func:`exact_groups` drops, with all their columns.
-
-    Of rows equal in doc_id and normalised text any one stays.
-    """
-    decided = stage(exact_groups(docs).select("doc_id", "text_sha256", "kept"), "decided")
-    keys = ["__doc", "__sha"]
-    kept = decided.where("kept").select(
-        F.col("doc_id").alias(keys[0]), F.col("text_sha256").alias(keys[1])
-    )
-    named = decided.select(F.col("doc_id").alias(keys[0]), F.col("text_sha256").alias(keys[1]))
-    gone = stage(named.exceptAll(kept), "gone")
-    marked = docs.withColumns(
-        {keys[0]: F.col("doc_id"), keys[1]: F.sha2(normalised(F.col("text")), 256)}
-    )
-    # a row is gone as a whole unless its own doc_id and text also stay
-    repeated = stage(gone.join(kept, _same(gone, kept), "left_semi").distinct(), "repeated")
-    lost = stage(gone.join(kept, _same(gone, kept), "left_anti").distinct(), "lost")
-    out = marked.join(lost, _same(marked, lost), "left_anti")
-    if not repeated.isEmpty():
-        once = out.join(repeated, _same(out, repeated), "left_semi").dropDuplicates(keys)
-        out = out.join(repeated, _same(out, repeated), "left_anti").unionByName(once)
-    return out.drop(*keys)
-
-
-def _same(a: DataFrame, b: DataFrame) -> Column:
-    return a["__doc"].eqNullSafe(b["__doc"]) & (a["__sha"] == b["__sha"])
+    """``docs`` without the rows that :func:`exact_groups` drops, with all their columns."""
+    stored = rows.numbered(docs, doc_id=docs["doc_id"], text=docs["text"])
+    kept = exact_groups(stored, row=F.col("row")).where("kept")
+    return rows.keep(stored, kept, docs.columns)

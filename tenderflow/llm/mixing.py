@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tenderflow.llm import rows
 from tenderflow.sources.staging import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -125,12 +126,11 @@ def queue(sized: DataFrame, aims: DataFrame, most: int = MOST) -> DataFrame:
     return out.withColumn("taken", taken).drop("span")
 
 
-def _sized(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "source",
-        words(F.col("text")).alias("size"),
-        shuffle_key(F.col("doc_id"), F.col("text")).alias("shuffle"), *more,
-    )
+def _measures(docs: DataFrame) -> dict[str, Column]:
+    return {
+        "doc_id": docs["doc_id"], "source": docs["source"], "size": words(docs["text"]),
+        "shuffle": shuffle_key(docs["doc_id"], docs["text"]),
+    }
 
 
 def mix_counts(docs: DataFrame) -> DataFrame:
@@ -139,7 +139,8 @@ def mix_counts(docs: DataFrame) -> DataFrame:
     Null text has size 0; null is a source of its own; repeated rows queue one after the other.
     No rows give no rows.  Other columns of ``docs`` are not read.
     """
-    sized = stage(_sized(docs), "sized")
+    measures = [column.alias(name) for name, column in _measures(docs).items()]
+    sized = stage(docs.select(F.monotonically_increasing_id().alias("row"), *measures), "sized")
     queued = queue(sized, stage(targets(sized), "targets"))
     copies = F.sum(F.col("taken").cast("long"))
     return (
@@ -152,13 +153,11 @@ def mix_counts(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as it is taken, with all its columns."""
-    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("__whole")
-    sized = stage(_sized(docs, whole), "documents")
-    thin = sized.drop("__whole")
-    queued = queue(thin, stage(targets(thin), "targets"))
+    stored = rows.numbered(docs, **_measures(docs))
+    sized = stored.drop("whole")
+    queued = queue(sized, stage(targets(sized), "targets"))
     copies = queued.where("taken").groupBy("row").agg(F.count("*").cast("int").alias("copies"))
-    return (
-        sized.select("row", "__whole").join(copies, "row")
-        .select("__whole", F.explode(F.sequence(F.lit(1), "copies")))
-        .select(*[F.col("__whole").getField(c).alias(c) for c in docs.columns])
+    taken = stored.select("row", "whole").join(copies, "row").select(
+        "whole", F.explode(F.sequence(F.lit(1), "copies"))
     )
+    return rows.unpacked(taken, docs.columns)

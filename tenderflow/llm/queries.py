@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenderflow.llm import exact, mixing, packing, tokens
+from tenderflow.llm import exact, mixing, packing, simhash, tokens
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -29,6 +29,10 @@ def op4_packing(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, root: str) -> DataFrame:
+    return simhash.simhash_groups(_table(spark, root, "documents"))
+
+
 def op8_mixing(spark: SparkSession, root: str) -> DataFrame:
     counts = mixing.mix_counts(_table(spark, root, "documents"))
     return counts.select("doc_id", "size", "source_size", "target", "taken")
@@ -42,11 +46,12 @@ def op9_token_counts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
-    return exact.exact_groups(_table(spark, root, "documents"))
+    return exact.exact_groups(_table(spark, root, "documents")).drop("row")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
+    "op6_simhash": op6_simhash,
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
