@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenderflow.llm import exact, langid, mixing, packing, simhash, tokens
+from tenderflow.llm import exact, langid, mixing, packing, simhash, tokens, vectors
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -27,6 +27,10 @@ def op2_language_id(spark: SparkSession, root: str) -> DataFrame:
     return langid.identify(_table(spark, root, "documents"))
 
 
+def op3_vector_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return vectors.vector_groups(_table(spark, root, "embeddings"))
+
+
 def op4_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack_documents(
         _table(spark, root, "documents"), tokenizer_path(WORD_TOKENIZER)
@@ -55,6 +59,7 @@ def op10_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op3_vector_dedup": op3_vector_dedup,
     "op4_packing": op4_packing,
     "op6_simhash": op6_simhash,
     "op8_mixing": op8_mixing,
