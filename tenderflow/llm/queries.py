@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenderflow.llm import exact, langid, mixing, packing, simhash, tokens, vectors
+from tenderflow.llm import exact, langid, mixing, packing, simhash, tokens, urls, vectors, warc
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
 
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -23,6 +28,13 @@ def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, root: str) -> DataFrame:
+    records = warc.round_trip(_table(spark, root, "pages"))
+    return records.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op2_language_id(spark: SparkSession, root: str) -> DataFrame:
     return langid.identify(_table(spark, root, "documents"))
 
@@ -41,6 +53,12 @@ def op6_simhash(spark: SparkSession, root: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, root, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, root: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    pages = _table(spark, root, "pages").select("page_id", "url")
+    return urls.judge(pages, rules).drop("url")
+
+
 def op8_mixing(spark: SparkSession, root: str) -> DataFrame:
     counts = mixing.mix_counts(_table(spark, root, "documents"))
     return counts.select("doc_id", "size", "source_size", "target", "taken")
@@ -58,16 +76,65 @@ def op10_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
     "op3_vector_dedup": op3_vector_dedup,
     "op4_packing": op4_packing,
     "op6_simhash": op6_simhash,
+    "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+with payloads as (
+  select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes,
+    sha256(coalesce(html, '')) as payload_digest
+  from pages),
+firsts as (
+  select *, min(page_id) over (partition by payload_digest) as first from payloads)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end
+    as record_type,
+  case when payload_bytes >= 100 and page_id <> first then first end as refers_to
+from firsts""",
+    "op3_vector_dedup": """
+with recursive usable as (
+  select vec_id, label, embedding::double[] as v from embeddings
+  where label is not null and len(embedding) > 0 and vec_id is not null
+    and list_count(embedding) = len(embedding)
+    and len(list_filter(embedding, lambda x: not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b
+  from usable a join usable b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_cosine_similarity(a.v, b.v) >= 0.93),
+reached as (
+  select vec_id as a, vec_id as b from embeddings
+  union select r.a, l.b from reached r join links l on r.b = l.a),
+numbered as (
+  select e.vec_id, (select count(*) from links l where l.a = e.vec_id) as n_links,
+    (select min(b) from reached r where r.a = e.vec_id) as component_id
+  from embeddings e)
+select vec_id, n_links, component_id, vec_id = component_id as kept from numbered""",
+    "op7_url_filter": r"""
+with parts as (
+  select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path
+  from pages),
+rules(h, p, action) as (values
+  ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+fits as (
+  select s.host, s.path, r.h || r.p as rule, r.action,
+    row_number() over (partition by s.host, s.path order by length(r.h || r.p) desc) as place
+  from (select distinct host, path from parts) s
+  join rules r on (s.host = r.h or ends_with(s.host, '.' || r.h)) and starts_with(s.path, r.p))
+select p.page_id, p.host, p.path, f.rule, coalesce(f.action, 'allow') as verdict
+from parts p left join fits f on f.host = p.host and f.path = p.path and f.place = 1""",
     "op8_mixing": r"""
 with sized as (
   select doc_id, source, row_number() over () as row_no,
