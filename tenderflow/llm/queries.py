@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenderflow.llm import exact, langid, mixing, packing, simhash, tokens, urls, vectors, warc
+from tenderflow.llm import exact, langid, mixing, packing, quality, simhash, tokens, urls, vectors, warc
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -49,6 +49,15 @@ def op4_packing(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, root: str) -> DataFrame:
+    """Documents by source, and by language within a source."""
+    labels = _table(spark, root, "labels")
+    return quality.quality(
+        _table(spark, root, "documents"),
+        labels.select("doc_id", labels["quality"].alias("good")), "source", "lang",
+    )
+
+
 def op6_simhash(spark: SparkSession, root: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, root, "documents"))
 
@@ -80,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_vector_dedup": op3_vector_dedup,
     "op4_packing": op4_packing,
+    "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
