@@ -1,7 +1,9 @@
 import os
 import sys
+import tempfile
 
 import pytest
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -12,8 +14,11 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
+    builder = SparkSession.builder
+    if not SparkConf().contains("spark.checkpoint.dir"):
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-"))
     session = (
-        SparkSession.builder.master("local[8]")
+        builder.master("local[8]")
         .appName("tenderflow-tests")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
