@@ -99,9 +99,10 @@ class Kept:
 
 
 def word_and_mark(unit: str) -> list[str]:
-    """Letters before a run of ASCII marks are cut from it, where both patterns cut too."""
+    """Letters before a run of ASCII marks are cut from it, where both patterns cut too, if they
+    are still letters in lower case."""
     word = unit.rstrip(PUNCTUATION)
-    if word != unit and word.lstrip(" ").isalpha():
+    if word != unit and word.lstrip(" ").lower().isalpha() and word.lstrip(" ").isalpha():
         return [word, unit[len(word):]]
     return [unit]
 

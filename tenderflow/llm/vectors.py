@@ -30,9 +30,9 @@ LEAST_COSINE = 0.93
 class Hashing:
     """``tables`` of ``projections`` each, quantised by ``width``; all follow from the seed."""
 
-    tables: int = 20
-    projections: int = 12
-    width: float = 2.5
+    tables: int = 24
+    projections: int = 16
+    width: float = 3.5
     seed: int = 7
 
     def drawn(self, size: int) -> tuple[np.ndarray, np.ndarray]:

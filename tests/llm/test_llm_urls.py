@@ -45,7 +45,7 @@ def test_contract_rules(spark, most_bytes):
     assert judged.columns == ["page_id", "url", "host", "key", "n", "path", "rule", "verdict"]
 
 
-def test_long_lists_need_several_levels_and_stay_exact(spark):
+def test_long_lists_need_more_levels_and_stay_exact(spark):
     rng = random.Random(3)
     rules = [(f"h{i}.com", "/", rng.choice(["allow", "block"])) for i in range(0, 6000, 3)]
     rules += [("h3.com", "/", "block"), ("h3.com", "/", "allow"), (None, "/", "block"),
@@ -56,7 +56,7 @@ def test_long_lists_need_several_levels_and_stay_exact(spark):
     listed = spark.createDataFrame(rules, RULES)
     universe = frame.select(F.concat(F.lit("h"), "page_id", F.lit(".com/")).alias("key"))
     keys = listed.select(F.concat("host", "path").alias("key")).distinct()
-    assert len(urls.build_cascade("test", keys, universe).filters) >= 3
+    assert len(urls.build_cascade("test", keys, universe).filters) >= 2
     known = [r for r in rules if None not in r]
     for row in urls.judge(frame, listed).collect():
         assert (row.rule, row.verdict) == plain(row.url, known)[2:]
