@@ -5,7 +5,7 @@ leave them; nothing in such a file can be read without inflating all before it.
 inflates a file once, as a stream, writes each record again as a member of its own, and beside the
 new file a sidecar that has each record's offset and length.  Readers seek with the sidecar.
 
-Files lie in the shared staging folder.  A task writes to names of its own and reports them in its
+Files lie in the shared staging folder.  A task writes to names of its own and names them in its
 result, so what a lost task wrote is never read.  A file is closed at a bounded size, and no record
 is held in memory whole while it is normalised.
 """
