@@ -1 +1 @@
-"""Cash and tender reconciliation reports on Spark DataFrames."""
+"""Cash and tender reconciliation statements on Spark DataFrames."""

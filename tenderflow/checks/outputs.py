@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderflow.checks.register import AS_OF_DAILY, AS_OF_WEEKLY, DAY, WEEK, check
-from tenderflow.checks.reports import (
+from tenderflow.checks.statements import (
     _ach_sql,
     _change_fund_sql,
     _kiosk_sql,
@@ -30,7 +30,7 @@ from tenderflow.params import (
 from tenderflow.plans.ach import ach_checks
 from tenderflow.plans.bundle import manifest, run_bundle
 from tenderflow.plans.change_fund import change_fund
-from tenderflow.plans.registry import REPORTS
+from tenderflow.plans.registry import STATEMENTS
 from tenderflow.sinks import DAILY, WEEKLY, output_path_column, render_cells, with_placeholder
 from tenderflow.sources.staging import staging_root
 
@@ -66,7 +66,7 @@ def cells(t):
 
 
 def _names(period: str) -> str:
-    names = [name for name, report in REPORTS.items() if report.period == period]
+    names = [name for name, report in STATEMENTS.items() if report.period == period]
     return ", ".join(f"('{name}')" for name in names)
 
 
@@ -80,11 +80,11 @@ def _names(period: str) -> str:
     from run, (values {_names(WEEKLY)}) v(report)
 """)
 def output_paths(t):
-    """Where a run on each business date writes its reports."""
+    """Where a run on each business date writes its statements."""
     runs = t["trn_trans"].select(F.col("business_date").alias("as_of")).distinct()
 
     def paths(period: str) -> DataFrame:
-        names = [F.lit(name) for name, report in REPORTS.items() if report.period == period]
+        names = [F.lit(name) for name, report in STATEMENTS.items() if report.period == period]
         named = runs.withColumn("report", F.explode(F.array(*names)))
         path = output_path_column(F.col("report"), F.col("as_of"), period)
         return named.withColumn("path", path)

@@ -1,4 +1,4 @@
-"""The reports and their parts.  The SQL joins row by row; nothing in it is added up early."""
+"""The statements and their parts.  The SQL joins row by row; nothing in it is added up early."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from tenderflow.plans.backfill import backfill
 from tenderflow.plans.change_fund import change_fund
 from tenderflow.plans.kiosk import kiosk_reconcile
 from tenderflow.plans.till_variance import till_variance
-from tenderflow.plans.treasury import merge_branches, smartsafe_treasury, treasury
+from tenderflow.plans.treasury import smartsafe_treasury, treasury
 
 TXN = "organization_id, rtl_loc_id, business_date, wkstn_id, trans_seq"
 TILL = ReportParams(till_window(date(2024, 1, 4)))
@@ -381,10 +381,10 @@ def _report_sql(window: Window, safe: bool, extra: str = "") -> str:
 
 # one name per part of a report: (part it is computed in, department it shows)
 _PARTS = {
-    "core": ("billers", "CORE"),
-    "device": ("billers", "MOBILE DEVICE PAYMENT"),
-    "service": ("billers", "MOBILE SERVICE PAYMENT"),
-    "accessory": ("accessory", "ACCESSORY"),
+    "core": ("payments", "CORE"),
+    "device": ("payments", "MOBILE DEVICE PAYMENT"),
+    "service": ("payments", "MOBILE SERVICE PAYMENT"),
+    "accessory": ("payments", "ACCESSORY"),
     "overshort": ("over_short", "OVER/SHORT"),
 }
 
@@ -392,7 +392,7 @@ _PARTS = {
 def _branch(safe: bool, part: str, department: str, params: ReportParams):
     def build(t):
         branches = (plan.smartsafe_branches if safe else plan.treasury_branches)(t, params)
-        rows = branches[part].filter(F.col("department") == department)
+        rows = branches.shown(branches.parts[part].filter(F.col("department") == department))
         return rows.select(*plan.columns("deposits" if safe else "bag_id"), "create_user_id")
 
     return build
@@ -417,7 +417,7 @@ for _safe, _report in ((False, "treasury"), (True, "smartsafe")):
     from branch
 """)
 def set_union_branches(t):
-    merged = merge_branches(plan.treasury_branches(t, DAY))
+    merged = plan.treasury_branches(t, DAY).merged()
     return merged.select(*plan.columns("bag_id"), "create_user_id")
 
 

@@ -13,7 +13,7 @@ VIEWS = {
             date '2024-01-01' + cast(o_orderkey % 7 as int) as bd,
             cast(date '2024-01-01' + cast(o_orderkey % 7 as int) as timestamp)
                 + (o_orderkey % 1440) * interval '1' minute as cd,
-            o_custkey % 50 as uid, cast(o_totalprice as decimal(17,6)) as amt,
+            o_custkey as uid, cast(o_totalprice as decimal(17,6)) as amt,
             row_number() over (
                 partition by o_custkey % 25, o_orderkey % 7, o_custkey % 3 order by o_orderkey
             ) as tseq
@@ -76,7 +76,7 @@ VIEWS = {
             case l_partkey % 4 when 1 then 'MOBILEOTS0001' when 2 then 'SPECTRUM001'
                 else 'SCAN' end as scanned_item_id,
             case when l_partkey % 3 = 0 then 'NP' else 'ACC' end as merch_level_1
-        from lineitem join o on l_orderkey = o_orderkey where o_orderkey % 10 < 7""",
+        from lineitem join o on l_orderkey = o_orderkey""",
     "tsn_session": """
         select distinct organization_id, rtl_loc_id, session_id from trn_trans""",
     "tsn_session_wkstn": """
@@ -120,7 +120,7 @@ VIEWS = {
     "crm_party": """
         select c_custkey as party_id, 'E' || cast(c_custkey as varchar) as employee_id,
             c_mktsegment as first_name, c_name as last_name
-        from customer where c_custkey < 50""",
+        from customer""",
     "hrs_employee": "select party_id, employee_id from crm_party",
     "cfg_profile_element_changes": """
         select 1 as organization_id, 'STORE' as profile_group_id,
@@ -141,7 +141,7 @@ VIEWS = {
         select 'WEST' as collection_name,
             'STORE:' || cast(1000 + n_nationkey as varchar) as org_scope_code
         from nation where n_nationkey % 5 = 0""",
-    # the stores with a smart safe, asked for by several reports
+    # the stores with a smart safe, asked for by several statements
     "safe_store": """
         select distinct replace(coalesce(org_scope_code, org_scope), 'STORE:', '') as rtl_loc_id
         from cfg_profile_element_changes

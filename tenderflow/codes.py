@@ -1,4 +1,4 @@
-"""Codes the reports look for.  All are configuration; the defaults are the known values."""
+"""Codes the statements look for.  All are configuration; the defaults are the known values."""
 
 from __future__ import annotations
 

@@ -1 +1 @@
-"""The reports: functions from tables and parameters to a DataFrame."""
+"""The statements: functions from tables and parameters to a DataFrame."""

@@ -1,4 +1,4 @@
-"""Scheduled runs: write all reports of a day or week and say what came out."""
+"""Scheduled runs: write all statements of a day or week and say what came out."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderflow.params import ReportParams
-from tenderflow.plans.registry import REPORTS, reports_of
+from tenderflow.plans.registry import STATEMENTS, statements_of
 from tenderflow.plans.tenders import Tables
 from tenderflow.sinks import output_path, write_report
 
@@ -30,7 +30,7 @@ def run_bundle(
 ) -> DataFrame:
     """Write each report of a period under ``root``; a failure is noted and the rest go on."""
     status = []
-    for report in reports_of(period):
+    for report in statements_of(period):
         window = report.window(as_of)
         asked = replace(params, window=window) if params else ReportParams(window)
         path = output_path(report.name, as_of, period)
@@ -48,7 +48,7 @@ def run_bundle(
 
 def manifest(status: DataFrame) -> DataFrame:
     """The written outputs that go out, each with the days it really covers."""
-    delivered = [name for name, report in REPORTS.items() if report.delivered]
+    delivered = [name for name, report in STATEMENTS.items() if report.delivered]
     return status.filter("ok").filter(F.col("report").isin(*delivered)).select(
         "report", "path", "window_start", "window_end", "row_count"
     )

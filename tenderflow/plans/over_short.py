@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tenderflow.functions import asked_rows, code_like, day_text
 from tenderflow.operators import on_dates, ordered_listing
 from tenderflow.params import ReportParams
-from tenderflow.plans.tenders import Tables
+from tenderflow.plans.tenders import Tables, keyed_listing
 from tenderflow.schemas import TOTAL, TXN_KEY
 
 EXACT = "decimal(18,6)"
@@ -38,9 +38,13 @@ def of_sessions(tables: Tables, ends: DataFrame) -> DataFrame:
     return ends.join(sessions, ["organization_id", "rtl_loc_id", "outbound_session_id"])
 
 
-def known_counts(tables: Tables) -> DataFrame:
-    """Count rows of tenders their organization has."""
-    counts = tables["tsn_tndr_tndr_count"].select(
+def known_counts(tables: Tables, ends: DataFrame) -> DataFrame:
+    """Count rows with a sequence of ``ends``, of tenders their organization has.
+
+    Counts of any date can match, so all are read; those of other sequences go at once.
+    """
+    asked = ends.select("trans_seq").distinct()
+    counts = tables["tsn_tndr_tndr_count"].join(asked, "trans_seq", "left_semi").select(
         *TXN_KEY, "tndr_id", F.col("difference_amt").cast(EXACT).alias("difference"),
         (F.coalesce("media_count", F.lit(0)) != 0).alias("has_media"),
     )
@@ -78,7 +82,7 @@ def count_differences(
     tables: Tables, params: ReportParams, ends: DataFrame, dates: list[date]
 ) -> DataFrame:
     """Differences by tender, moment, store and user, as plain treasury rows."""
-    counts = known_counts(tables)
+    counts = known_counts(tables, ends)
     matched = matched_counts(
         ends.select(*TXN_KEY, "create_date", "create_user_id"), counts,
         on_dates(counts, dates), params.strict_keys,
@@ -88,9 +92,12 @@ def count_differences(
 
 def safe_differences(
     tables: Tables, params: ReportParams, ends: DataFrame, dates: list[date]
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame]:
     """The same for smart safes: differences of one end count are merged when equal.
 
+    Rows name the listing of their transaction's deposits by its key; the second result has
+    the texts by key.
+
     Kiosk differences (taken in by the safe minus expected) join them before the merge.  The
     different media differences of a sequence are summed once per sequence; what an end count
     has of its own is added unless its sequence already holds an equal one.
@@ -98,7 +105,7 @@ def safe_differences(
     codes = params.codes
     end = [*TXN_KEY, "create_date", "create_user_id"]
     identities = ends.select(*end).distinct()
-    counts = known_counts(tables).filter(F.col("difference").isNotNull())
+    counts = known_counts(tables, ends).filter(F.col("difference").isNotNull())
 
     properties = on_dates(tables["trn_trans_p"], dates)
     at_kiosk = properties.filter(F.col("string_value") == codes.kiosk_marker).select(*TXN_KEY)
@@ -134,11 +141,12 @@ def safe_differences(
     ).unionByName(
         identities.join(shared_totals, "trans_seq").select(*end, "tndr_id", "difference")
     )
-    deposits = ordered_listing(
+    deposits = keyed_listing(ordered_listing(
         properties.filter(code_like(F.col("property_code"), codes.deposit_id)),
-        TXN_KEY, "string_value", "deposits",
-    )
-    return _rows(merged.join(deposits, TXN_KEY, "left"), F.col("deposits"), params)
+        TXN_KEY, "string_value", "listing",
+    ))
+    keyed = merged.join(deposits.drop("listing"), TXN_KEY, "left")
+    return _rows(keyed, F.col("listing_key"), params), deposits.select("listing_key", "listing")
 
 
 def _rows(matched: DataFrame, reference, params: ReportParams) -> DataFrame:

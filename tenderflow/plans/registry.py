@@ -1,4 +1,4 @@
-"""The six reports and how their scheduled runs use them."""
+"""The six statements and how their scheduled runs use them."""
 
 from __future__ import annotations
 
@@ -30,8 +30,8 @@ class Report:
     delivered: bool
 
 
-# The order of the scheduled runs, and which reports are noted and delivered.
-REPORTS = {
+# The order of the scheduled runs, and which statements are noted and delivered.
+STATEMENTS = {
     report.name: report
     for report in (
         Report("till_variance", till_variance, till_window, DAILY, False, False),
@@ -44,5 +44,5 @@ REPORTS = {
 }
 
 
-def reports_of(period: str) -> list[Report]:
-    return [report for report in REPORTS.values() if report.period == period]
+def statements_of(period: str) -> list[Report]:
+    return [report for report in STATEMENTS.values() if report.period == period]

@@ -154,8 +154,20 @@ def posted_amounts(
     )
 
 
-def biller_payments(
+def tender_payments(
     tables: Tables, params: ReportParams, lines: DataFrame, dates: list[date], attach: Attach
+) -> DataFrame:
+    """Payments of all departments, with their references attached and added up in one pass."""
+    payments = biller_payments(tables, params, lines, dates).unionByName(
+        accessory_payments(tables, params, lines, dates)
+    )
+    # the posted text separates sums but is not shown
+    totals = _totals(attach(payments), "posted_text").drop("posted_text")
+    return totals.filter((F.col("department") != params.codes.accessory) | (F.col("amount") != 0))
+
+
+def biller_payments(
+    tables: Tables, params: ReportParams, lines: DataFrame, dates: list[date]
 ) -> DataFrame:
     """CORE, MOBILE DEVICE and MOBILE SERVICE payments from one pass over the tender lines."""
     codes = params.codes
@@ -172,7 +184,7 @@ def biller_payments(
         department(codes.device, "n_device", TRANSACTION, own),
         department(codes.service, "n_service", TRANSACTION, own),
     )
-    payments = (
+    return (
         posted_amounts(tables, params, lines, dates)
         .join(biller_counts(tables, params, dates), STORE_TXN_KEY)
         .withColumn("d", F.explode(F.filter(departments, lambda d: d["n"] > 0)))
@@ -185,12 +197,10 @@ def biller_payments(
         )
         .agg(F.sum("billed").alias("amount"))
     )
-    # the posted text separates sums but is not shown
-    return _totals(attach(payments), "posted_text").drop("posted_text")
 
 
 def accessory_payments(
-    tables: Tables, params: ReportParams, lines: DataFrame, dates: list[date], attach: Attach
+    tables: Tables, params: ReportParams, lines: DataFrame, dates: list[date]
 ) -> DataFrame:
     """What is left of tender amounts after posting, for transactions with accessory sales.
 
@@ -227,7 +237,7 @@ def accessory_payments(
         .groupBy(*sequence, "session_id")
         .agg(F.count("*").alias("n"))
     )
-    payments = (
+    return (
         per_transaction.join(sessions, sequence)
         .withColumn("bag_scope", F.lit(SESSION))
         .withColumn("bag_seq", F.lit(0).cast("bigint"))
@@ -235,8 +245,8 @@ def accessory_payments(
         .agg(F.sum((F.col("left_over") * F.col("n")).cast("decimal(38,6)")).alias("amount"))
         .withColumn("department", F.lit(codes.accessory))
         .withColumn("billerid", F.lit(None).cast("string"))
+        .withColumn("posted_text", F.lit(None).cast("string"))
     )
-    return _totals(attach(payments)).filter(F.col("amount") != 0)
 
 
 def _totals(payments: DataFrame, *hidden: str) -> DataFrame:
@@ -281,15 +291,16 @@ def bag_references(tables: Tables, dates: list[date]) -> Attach:
         .select(*BAG_KEY, "safe_bag_id")
         .distinct()
     )
-    shown = bags.select(
-        *BAG_KEY, F.lit(True).alias("is_deposit"), F.col("safe_bag_id").alias("deposit_ref"),
-        F.lit(1).cast("bigint").alias("bags"),
-    )
-    hidden = bags.groupBy(*BAG_KEY).agg(F.count("*").alias("bags")).select(
-        *BAG_KEY, F.lit(False).alias("is_deposit"),
-        F.lit(None).cast("string").alias("deposit_ref"), "bags",
+    # one row for each bag, and one for all bags of a key
+    sets = [[*BAG_KEY, "safe_bag_id"], BAG_KEY]
+    references = (
+        bags.groupingSets(sets, *BAG_KEY, "safe_bag_id")
+        .agg(F.count("*").alias("bags"), F.grouping("safe_bag_id").alias("_all"))
+        .select(
+            *BAG_KEY, (F.col("_all") == 0).alias("is_deposit"),
+            F.col("safe_bag_id").alias("deposit_ref"), "bags",
+        )
     )
-    references = shown.unionByName(hidden)
 
     def attach(payments: DataFrame) -> DataFrame:
         times = F.coalesce("bags", F.lit(1))
@@ -300,17 +311,39 @@ def bag_references(tables: Tables, dates: list[date]) -> Attach:
     return attach
 
 
-def deposit_listings(tables: Tables, params: ReportParams, dates: list[date]) -> Attach:
-    """Deposits name all smart-safe deposits of their store and business date."""
+def deposit_listings(
+    tables: Tables, params: ReportParams, dates: list[date]
+) -> tuple[Attach, DataFrame]:
+    """Deposits name all smart-safe deposits of their store and business date.
+
+    A listing is as long as a day has deposits, so payments carry its key only; the second
+    result has the texts by key.
+    """
     store_day = ["organization_id", "rtl_loc_id", "business_date"]
     numbers = on_dates(tables["trn_trans_p"], dates).filter(
         code_like(F.col("property_code"), params.codes.deposit_id)
     )
-    listings = ordered_listing(numbers, store_day, "string_value", "listing")
+    listings = keyed_listing(ordered_listing(numbers, store_day, "string_value", "listing"))
+    keys = listings.drop("listing")
 
     def attach(payments: DataFrame) -> DataFrame:
-        return payments.join(listings, store_day, "left").withColumn(
-            "deposit_ref", deposit_only(F.col("is_deposit"), F.col("listing"))
+        return payments.join(keys, store_day, "left").withColumn(
+            "deposit_ref", deposit_only(F.col("is_deposit"), F.col("listing_key"))
         )
 
-    return attach
+    return attach, listings.select("listing_key", "listing")
+
+
+def keyed_listing(listings: DataFrame) -> DataFrame:
+    """Equal listings have the same short key, and others have others."""
+    return listings.withColumn("listing_key", F.sha2("listing", 256))
+
+
+def with_listings(rows: DataFrame, *texts: DataFrame) -> DataFrame:
+    """Rows with the text in place of its key."""
+    found = texts[0]
+    for more in texts[1:]:
+        found = found.unionByName(more)
+    found = found.groupBy("listing_key").agg(F.first("listing").alias("listing"))
+    joined = rows.join(found, F.col("deposit_ref") == F.col("listing_key"), "left")
+    return joined.withColumn("deposit_ref", F.col("listing")).drop("listing", "listing_key")

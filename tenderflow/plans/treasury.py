@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,12 +24,12 @@ from tenderflow.plans.over_short import (
 )
 from tenderflow.plans.tenders import (
     Tables,
-    accessory_payments,
     asked_lines,
     bag_references,
-    biller_payments,
     deposit_listings,
+    tender_payments,
     typed_lines,
+    with_listings,
 )
 from tenderflow.sources.staging import stage
 
@@ -72,31 +73,46 @@ class Asked:
         )
 
 
+@dataclass(frozen=True)
+class Branches:
+    """Parts of a statement by name, and the texts of references that stand for a listing."""
+
+    parts: dict[str, DataFrame]
+    texts: tuple[DataFrame, ...] = ()
+
+    def shown(self, rows: DataFrame) -> DataFrame:
+        return with_listings(rows, *self.texts) if self.texts else rows
+
+    def merged(self) -> DataFrame:
+        """Union of all parts; equal rows are kept once."""
+        return self.shown(reduce(DataFrame.unionByName, self.parts.values()).distinct())
+
+
 def treasury_branches(
     tables: Tables, params: ReportParams, asked: Asked | None = None
-) -> dict[str, DataFrame]:
-    """Parts of the report without safes; for all stores unless ``asked`` limits them."""
+) -> Branches:
+    """Parts of the statement without safes; for all stores unless ``asked`` limits them."""
     asked = asked or Asked.of(tables, params)
     lines, dates = asked.lines, asked.line_dates
     attach = bag_references(tables, dates)
-    return {
-        "billers": biller_payments(tables, params, lines, dates, attach),
-        "accessory": accessory_payments(tables, params, lines, dates, attach),
+    return Branches({
+        "payments": tender_payments(tables, params, lines, dates, attach),
         "over_short": count_differences(tables, params, asked.ends, asked.end_dates),
-    }
+    })
 
 
 def smartsafe_branches(
     tables: Tables, params: ReportParams, asked: Asked | None = None
-) -> dict[str, DataFrame]:
+) -> Branches:
     asked = asked or Asked.of(tables, params)
     lines, dates = asked.lines, asked.line_dates
-    attach = deposit_listings(tables, params, dates)
-    return {
-        "billers": biller_payments(tables, params, lines, dates, attach),
-        "accessory": accessory_payments(tables, params, lines, dates, attach),
-        "over_short": safe_differences(tables, params, asked.ends, asked.end_dates),
-    }
+    attach, store_texts = deposit_listings(tables, params, dates)
+    differences, texts = safe_differences(tables, params, asked.ends, asked.end_dates)
+    return Branches(
+        {"payments": tender_payments(tables, params, lines, dates, attach),
+         "over_short": differences},
+        (store_texts, texts),
+    )
 
 
 def treasury(tables: Tables, params: ReportParams) -> DataFrame:
@@ -117,17 +133,9 @@ def smartsafe_rows(tables: Tables, params: ReportParams) -> DataFrame:
     return _merged(tables, branches, "deposits")
 
 
-def merge_branches(branches: dict[str, DataFrame]) -> DataFrame:
-    """Union of all branches; equal rows are kept once."""
-    merged = None
-    for branch in branches.values():
-        merged = branch if merged is None else merged.unionByName(branch)
-    return merged.distinct()
-
-
-def _merged(tables: Tables, branches: dict[str, DataFrame], reference: str) -> DataFrame:
+def _merged(tables: Tables, branches: Branches, reference: str) -> DataFrame:
     named = scalar_lookup(
-        merge_branches(branches), tables["hrs_employee"], {"create_user_id": "party_id"},
+        branches.merged(), tables["hrs_employee"], {"create_user_id": "party_id"},
         {"pid": F.col("employee_id")},
     )
     return named.select(*columns(reference), "pid")

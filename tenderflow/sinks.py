@@ -1,4 +1,4 @@
-"""Writing reports: cells as text, dated output folders, the note for an empty report."""
+"""Writing statements: cells as text, dated output folders, the note for an empty report."""
 
 from __future__ import annotations
 

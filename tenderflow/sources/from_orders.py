@@ -88,7 +88,7 @@ class OrderTables(Mapping[str, DataFrame]):
                 F.date_add(F.lit("2024-01-01").cast("date"), (order % 7).cast("int"))
                 .alias("business_date"),
                 (1 + customer % 3).alias("wkstn_id"),
-                (customer % 50).alias("create_user_id"),
+                customer.alias("create_user_id"),
                 F.col("o_totalprice").cast(MONEY).alias("amt"),
             )
             minutes = F.make_dt_interval(mins=(order % 1440).cast("int"))
@@ -177,7 +177,7 @@ def _exploded(df: DataFrame, key: list[str], candidates: Column) -> DataFrame:
 def _sale_lines(t: OrderTables) -> DataFrame:
     part = F.col("l_partkey") % 4
     lines = t.given("lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-    return t.sales.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return t.postings.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).select(
         *TXN_KEY, F.col("l_linenumber").alias("rtrans_lineitm_seq"),
         F.when(part == 0, "MOBILEOTD0001").when(part == 1, "MOBILEOTS0001")
         .otherwise(F.concat(F.lit("ITEM"), _text(part))).alias("item_id"),
@@ -248,7 +248,7 @@ def _notes(t: OrderTables) -> DataFrame:
 
 def _people(t: OrderTables) -> DataFrame:
     key = F.col("c_custkey")
-    return t.given("customer").filter(key < 50).select(
+    return t.given("customer").select(
         key.alias("party_id"), F.concat(F.lit("E"), _text(key)).alias("employee_id"),
         F.col("c_mktsegment").alias("first_name"), F.col("c_name").alias("last_name"),
     )

@@ -29,7 +29,7 @@ def parquet_reader(spark: SparkSession, root: str) -> Reader:
 
 
 def write_tables(tables: Mapping[str, DataFrame], root: str) -> None:
-    """Store tables the way the reports like them: dated ones partitioned by business date."""
+    """Store tables the way the statements like them: dated ones partitioned by business date."""
     for name in tables:
         df = tables[name]
         if name in DATED_TABLES:

@@ -87,12 +87,12 @@ def test_a_failing_report_does_not_stop_the_others(spark, tmp_path, monkeypatch)
 
     tables = spark_tables(spark, random_rows(8))
     quick = {
-        "till_variance": replace(registry.REPORTS["till_variance"], build=broken),
-        "change_fund": registry.REPORTS["change_fund"],
-        "kiosk_reconcile": registry.REPORTS["kiosk_reconcile"],
+        "till_variance": replace(registry.STATEMENTS["till_variance"], build=broken),
+        "change_fund": registry.STATEMENTS["change_fund"],
+        "kiosk_reconcile": registry.STATEMENTS["kiosk_reconcile"],
     }
-    monkeypatch.setattr(registry, "REPORTS", quick)
-    monkeypatch.setattr(bundle, "REPORTS", quick)
+    monkeypatch.setattr(registry, "STATEMENTS", quick)
+    monkeypatch.setattr(bundle, "STATEMENTS", quick)
     status = bundle.run_bundle(spark, tables, date(2024, 1, 5), DAILY, str(tmp_path))
     rows = {row.report: row for row in status.collect()}
     assert not rows["till_variance"].ok and rows["till_variance"].message == "no such column"

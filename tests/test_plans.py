@@ -1,4 +1,4 @@
-"""Shape of the plans, and properties that hold for whole reports."""
+"""Shape of the plans, and properties that hold for whole statements."""
 
 import glob
 import os
@@ -20,7 +20,7 @@ from tenderflow.sources import load_tables, parquet_reader, write_tables
 
 PARAMS = ReportParams(Window.day(DAY))
 WEEK = ReportParams(Window(date(2024, 1, 1), date(2024, 1, 7)))
-REPORTS = {
+STATEMENTS = {
     "ach": ach_checks, "change_fund": change_fund, "kiosk": kiosk_reconcile,
     "till": till_variance, "treasury": treasury, "smartsafe": smartsafe_treasury,
 }
@@ -43,9 +43,9 @@ def unhinted(spark):
         spark.conf.unset(name)
 
 
-@pytest.mark.parametrize("name", sorted(REPORTS))
+@pytest.mark.parametrize("name", sorted(STATEMENTS))
 def test_no_pairwise_joins_and_nothing_is_broadcast_unchecked(spark, small, unhinted, name, capsys):
-    text = plan_text(REPORTS[name](small, PARAMS), capsys)
+    text = plan_text(STATEMENTS[name](small, PARAMS), capsys)
     assert "BroadcastNestedLoopJoin" not in text
     assert "CartesianProduct" not in text
     assert "PythonUDF" not in text and "ArrowEval" not in text
@@ -77,22 +77,22 @@ def test_a_day_does_not_read_other_dates(spark, small, tmp_path):
     write_tables(small, root)
     slack = ReportParams(Window.day(DAY), date_slack=0)
     single = {"change_fund": change_fund, "kiosk": kiosk_reconcile, "till": till_variance}
-    reports = {**single, "treasury": treasury, "smartsafe": smartsafe_treasury}
+    statements = {**single, "treasury": treasury, "smartsafe": smartsafe_treasury}
     # the treasury asks these for all dates: posted amounts and media counts of any day
     undated = {"trl_rtrans_lineitm_p", "tsn_tndr_tndr_count"}
-    want = {name: report(small, slack).count() for name, report in reports.items()}
+    want = {name: report(small, slack).count() for name, report in statements.items()}
     spoil(root, set(DATED_TABLES) - undated)
     spoiled = load_tables(parquet_reader(spark, root))
     with pytest.raises(Exception):
         spoiled["trl_sale_lineitm"].agg(F.max("item_id")).collect()
-    for name, report in reports.items():
+    for name, report in statements.items():
         assert report(spoiled, slack).count() == want[name]
     spoil(root, undated)
     for name, report in single.items():
         assert report(load_tables(parquet_reader(spark, root)), slack).count() == want[name]
 
 
-def test_reports_split_the_stores(small):
+def test_statements_split_the_stores(small):
     plain = {row.locationid for row in treasury(small, PARAMS).collect()}
     safe = {row.locationid for row in smartsafe_treasury(small, PARAMS).collect()}
     assert plain and safe and not plain & safe

@@ -1,4 +1,4 @@
-"""Reports on random tables against SQL that joins row by row.
+"""Statements on random tables against SQL that joins row by row.
 
 The tables repeat keys, mix organizations and dates, and hold NULLs, so every count that
 stands for a fan-out has to be right.
@@ -7,7 +7,7 @@ stands for a fan-out has to be right.
 import pytest
 from literal import DAY, duck_rows, duck_tables, random_rows, spark_rows, spark_tables
 
-from tenderflow.checks import reports
+from tenderflow.checks import statements
 from tenderflow.checks.register import WEEK
 from tenderflow.operators import eligible_stores
 from tenderflow.params import ReportParams, Window
@@ -40,15 +40,15 @@ def test_eligible_stores(both):
     same(eligible_stores(tables), connection, sql)
 
 
-def test_small_reports(both):
+def test_small_statements(both):
     tables, connection = both
     week = WEEK.window
     same(
         ach_checks(tables, WEEK), connection,
-        reports._ach_sql(f"date '{week.start}'", f"date '{week.end}'"),
+        statements._ach_sql(f"date '{week.start}'", f"date '{week.end}'"),
     )
-    same(change_fund(tables, PARAMS), connection, reports._change_fund_sql(PARAMS.window))
-    same(kiosk_reconcile(tables, PARAMS), connection, reports._kiosk_sql(PARAMS.window))
+    same(change_fund(tables, PARAMS), connection, statements._change_fund_sql(PARAMS.window))
+    same(kiosk_reconcile(tables, PARAMS), connection, statements._kiosk_sql(PARAMS.window))
 
 
 def test_till_variance(both):
@@ -58,7 +58,7 @@ def test_till_variance(both):
         "case when p.party_id is not null then "
         "coalesce(p.first_name, '') || ' ' || coalesce(p.last_name, '') end"
     )
-    sql = reports._till_sql(PARAMS.window).replace(names, full)
+    sql = statements._till_sql(PARAMS.window).replace(names, full)
     same(till_variance(tables, PARAMS), connection, sql)
 
 
@@ -68,11 +68,9 @@ def test_treasury_branches(both, safe):
     tables, connection = both
     params = ReportParams(Window(DAY, DAY))
     branches = (plan.smartsafe_branches if safe else plan.treasury_branches)(tables, params)
-    merged = branches["billers"]
-    for name in ("accessory", "over_short"):
-        merged = merged.unionByName(branches[name])
-    rows = merged.withColumnRenamed("deposit_ref", "ref")
-    count = same(rows, connection, f"{reports._parts(params.window, safe)} select * from branch")
+    merged = branches.parts["payments"].unionByName(branches.parts["over_short"])
+    rows = branches.shown(merged).withColumnRenamed("deposit_ref", "ref")
+    count = same(rows, connection, f"{statements._parts(params.window, safe)} select * from branch")
     assert count > 0
 
 
@@ -84,5 +82,5 @@ def test_treasury_backfill(both, safe):
     name = "smartsafe_treasury" if safe else "treasury"
     same(
         backfill(name, tables, WEEK), connection,
-        reports._report_sql(WEEK.window, safe, reports._RUN_DATE),
+        statements._report_sql(WEEK.window, safe, statements._RUN_DATE),
     )
