@@ -148,6 +148,7 @@ def exact_groups(
             .otherwise(F.raise_error(F.lit("two texts share a key and a SHA-256")).cast("long")),
         )
     )
+    classes = stage(classes, "classes")  # so that Spark sees its size, and splits a hot text
     named = (
         index.where("chained").select("bucket", "h", "text_sha256", "doc_id", "row")
         .join(classes, ["bucket", "h", "text_sha256"])
