@@ -23,9 +23,8 @@ def created_within(moment: Column, window: Window) -> Column:
     return (moment >= first) & (moment < after)
 
 
-def dated_within(day: Column, window: Window, slack: int = 0) -> Column:
-    pad = timedelta(days=slack)
-    return day.between(F.lit(window.start - pad), F.lit(window.end + pad))
+def dated_within(day: Column, window: Window) -> Column:
+    return day.between(F.lit(window.start), F.lit(window.end))
 
 
 def code_like(code: Column, prefix: str) -> Column:
@@ -45,14 +44,11 @@ def store_matches(store: Column, pattern: str | None) -> Column:
 
 def asked_rows(params: ReportParams) -> Column:
     """Rows of a table with a creation time that belong to the run."""
-    asked = (
+    return (
         created_within(F.col("create_date"), params.window)
         & (F.col("organization_id") == params.organization_id)
         & store_matches(F.col("rtl_loc_id"), params.store_pattern)
     )
-    if params.date_slack is not None:
-        asked &= dated_within(F.col("business_date"), params.window, params.date_slack)
-    return asked
 
 
 def posts_amount(code: Column, tender_id: Column, codes: Codes) -> Column:

@@ -1,4 +1,5 @@
 from tenderflow.operators.keys import (
+    asked,
     business_dates,
     latest_version,
     on_dates,
@@ -11,7 +12,7 @@ from tenderflow.operators.stores import by_eligibility, eligible_stores
 from tenderflow.operators.surplus import surplus_over
 
 __all__ = [
-    "business_dates", "by_eligibility", "eligible_stores", "latest_version", "on_dates",
+    "asked", "business_dates", "by_eligibility", "eligible_stores", "latest_version", "on_dates",
     "ordered_listing", "original_transactions", "property_summary", "scalar_lookup",
     "session_matches", "surplus_over",
 ]

@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
-from datetime import date
+from collections.abc import Mapping
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderflow.codes import Codes
-from tenderflow.functions import nth_run
+from tenderflow.functions import asked_rows, nth_run
+from tenderflow.params import ReportParams
+from tenderflow.sources.tables import created_of
+
+
+def asked(tables: Mapping[str, DataFrame], name: str, params: ReportParams) -> DataFrame:
+    """Rows of a table with a creation time that belong to the run.
+
+    Where the table's ranges of creation times are stored, only partitions of dates that can
+    have such rows are read; Spark finds them when the query runs.
+    """
+    rows = tables[name]
+    ranges = tables.get(created_of(name))
+    if ranges is not None:
+        first = F.lit(params.window.start).cast("timestamp")
+        after = F.lit(params.window.end + timedelta(days=1)).cast("timestamp")
+        dates = ranges.filter((F.col("last") >= first) & (F.col("first") < after))
+        undated = rows.filter(F.col("business_date").isNull())
+        rows = rows.join(dates, "business_date", "left_semi").select(*rows.columns)
+        rows = rows.unionByName(undated)
+    return rows.filter(asked_rows(params))
 
 
 def business_dates(df: DataFrame) -> list[date]:

@@ -47,14 +47,11 @@ class ReportParams:
     """What a report run is asked for.
 
     ``store_pattern`` is a LIKE pattern on the store number; None takes every store.
-    ``date_slack`` states that a row is created at most that many days from its
-    business date.  It lets the driving scan skip partitions; None assumes nothing.
     ``strict_keys`` matches till counts by their whole key only (see ``plans.over_short``).
     """
 
     window: Window
     organization_id: int = 1
     store_pattern: str | None = None
-    date_slack: int | None = None
     strict_keys: bool = False
     codes: Codes = field(default_factory=Codes)

@@ -8,8 +8,9 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderflow.functions import asked_rows, code_like, iso_day_text
+from tenderflow.functions import code_like, iso_day_text
 from tenderflow.operators import (
+    asked,
     business_dates,
     by_eligibility,
     eligible_stores,
@@ -25,15 +26,14 @@ def control_transactions(
 ) -> tuple[DataFrame, list[date]]:
     """The asked-for control transactions of eligible stores, and the business dates they have."""
     codes = params.codes
-    asked = tables["trn_trans"].filter(
-        asked_rows(params)
-        & (F.col("trans_typcode") == codes.control_transaction)
+    controls = asked(tables, "trn_trans", params).filter(
+        (F.col("trans_typcode") == codes.control_transaction)
         & F.col("trans_statcode").isin(*statuses)
     )
     transactions = by_eligibility(
-        asked.select(*TXN_KEY, "create_date"), eligible_stores(tables, codes), True, codes
+        controls.select(*TXN_KEY, "create_date"), eligible_stores(tables, codes), True, codes
     )
-    return transactions, business_dates(asked)
+    return transactions, business_dates(controls)
 
 
 def change_fund(tables: Mapping[str, DataFrame], params: ReportParams) -> DataFrame:

@@ -15,8 +15,8 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderflow.functions import asked_rows, code_like, day_text
-from tenderflow.operators import on_dates, ordered_listing
+from tenderflow.functions import code_like, day_text
+from tenderflow.operators import asked, on_dates, ordered_listing
 from tenderflow.params import ReportParams
 from tenderflow.plans.tenders import Tables, keyed_listing
 from tenderflow.schemas import TOTAL, TXN_KEY
@@ -25,8 +25,8 @@ EXACT = "decimal(18,6)"
 
 
 def asked_ends(tables: Tables, params: ReportParams) -> DataFrame:
-    return tables["tsn_tndr_control_trans"].filter(
-        asked_rows(params) & (F.upper("typcode") == params.codes.end_count)
+    return asked(tables, "tsn_tndr_control_trans", params).filter(
+        F.upper("typcode") == params.codes.end_count
     ).select(*TXN_KEY, "outbound_session_id", "amt", "create_date", "create_user_id")
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderflow.functions import (
-    asked_rows,
     code_like,
     day_text,
     deposit_only,
@@ -28,6 +27,7 @@ from tenderflow.functions import (
     posts_amount,
 )
 from tenderflow.operators import (
+    asked,
     on_dates,
     ordered_listing,
     original_transactions,
@@ -49,7 +49,7 @@ Attach = Callable[[DataFrame], DataFrame]
 
 
 def asked_lines(tables: Tables, params: ReportParams) -> DataFrame:
-    lines = tables["ttr_tndr_lineitm"].filter(asked_rows(params))
+    lines = asked(tables, "ttr_tndr_lineitm", params)
     return lines.select(
         *LINE_KEY, "tndr_id", "amt", "create_user_id",
         day_text(F.col("create_date")).alias("trans_date"),
@@ -154,12 +154,21 @@ def posted_amounts(
     )
 
 
+def with_traits(
+    tables: Tables, params: ReportParams, lines: DataFrame, dates: list[date]
+) -> DataFrame:
+    """Tender lines with the traits of their transaction, 0 without sale lines."""
+    traits = sale_traits(tables, params, dates)
+    return lines.join(traits, TXN_KEY, "left").fillna({"traits": 0})
+
+
 def tender_payments(
-    tables: Tables, params: ReportParams, lines: DataFrame, dates: list[date], attach: Attach
+    tables: Tables, params: ReportParams, lines: DataFrame, posted: DataFrame,
+    dates: list[date], attach: Attach,
 ) -> DataFrame:
     """Payments of all departments, with their references attached and added up in one pass."""
-    payments = biller_payments(tables, params, lines, dates).unionByName(
-        accessory_payments(tables, params, lines, dates)
+    payments = biller_payments(tables, params, lines.drop("traits"), dates).unionByName(
+        accessory_payments(tables, params, lines, posted, dates)
     )
     # the posted text separates sums but is not shown
     totals = _totals(attach(payments), "posted_text").drop("posted_text")
@@ -199,25 +208,31 @@ def biller_payments(
     )
 
 
+#: a line of a store's sequence, on any date and workstation
+SEQUENCE_LINE = ["organization_id", "rtl_loc_id", "trans_seq", "rtrans_lineitm_seq"]
+
+
+def posted_elsewhere(tables: Tables, params: ReportParams, lines: DataFrame) -> DataFrame:
+    """Amounts posted on any date for a store, sequence and line that ``lines`` has."""
+    return (
+        tables["trl_rtrans_lineitm_p"]
+        .filter(F.col("property_code") == params.codes.posted_amount)
+        .filter(F.col("organization_id") == params.organization_id)
+        .select(*SEQUENCE_LINE, "wkstn_id", "decimal_value")
+        .join(lines.select(*SEQUENCE_LINE).distinct(), SEQUENCE_LINE, "left_semi")
+    )
+
+
 def accessory_payments(
-    tables: Tables, params: ReportParams, lines: DataFrame, dates: list[date]
+    tables: Tables, params: ReportParams, lines: DataFrame, posted: DataFrame, dates: list[date]
 ) -> DataFrame:
     """What is left of tender amounts after posting, for transactions with accessory sales.
 
     Posted amounts match by store, sequence and line on any date and workstation; a line
     without one on its own workstation counts whole.  Transactions match without workstation.
     """
-    codes = params.codes
-    sold = sale_traits(tables, params, dates).filter(has_trait(ACCESSORY)).select(*TXN_KEY)
-    candidates = lines.filter(F.col("amt").isNotNull()).join(sold, TXN_KEY, "left_semi")
-    line = ["organization_id", "rtl_loc_id", "trans_seq", "rtrans_lineitm_seq"]
-    posted = (
-        tables["trl_rtrans_lineitm_p"]
-        .filter(F.col("property_code") == codes.posted_amount)
-        .filter(F.col("organization_id") == params.organization_id)
-        .select(*line, "wkstn_id", "decimal_value")
-        .join(lines.select(*line).distinct(), line, "left_semi")
-    )
+    codes, line = params.codes, SEQUENCE_LINE
+    candidates = lines.filter(F.col("amt").isNotNull() & has_trait(ACCESSORY))
     at_workstation = posted.select(*line, "wkstn_id").distinct()
     remainders = surplus_over(candidates, posted, line, "amt", "decimal_value", "remainder").join(
         at_workstation.withColumn("posted_here", F.lit(True)), [*line, "wkstn_id"], "left"
@@ -311,23 +326,27 @@ def bag_references(tables: Tables, dates: list[date]) -> Attach:
     return attach
 
 
-def deposit_listings(
-    tables: Tables, params: ReportParams, dates: list[date]
-) -> tuple[Attach, DataFrame]:
-    """Deposits name all smart-safe deposits of their store and business date.
+STORE_DAY = ["organization_id", "rtl_loc_id", "business_date"]
 
-    A listing is as long as a day has deposits, so payments carry its key only; the second
-    result has the texts by key.
-    """
-    store_day = ["organization_id", "rtl_loc_id", "business_date"]
+
+def deposit_listings(tables: Tables, params: ReportParams, dates: list[date]) -> DataFrame:
+    """All smart-safe deposits of each store and business date, with their key."""
     numbers = on_dates(tables["trn_trans_p"], dates).filter(
         code_like(F.col("property_code"), params.codes.deposit_id)
     )
-    listings = keyed_listing(ordered_listing(numbers, store_day, "string_value", "listing"))
+    return keyed_listing(ordered_listing(numbers, STORE_DAY, "string_value", "listing"))
+
+
+def listing_references(listings: DataFrame) -> tuple[Attach, DataFrame]:
+    """Deposits name the listing of their store and business date.
+
+    A listing is as long as a day has deposits, so payments carry its key only; the second
+    result has the texts by key.
+    """
     keys = listings.drop("listing")
 
     def attach(payments: DataFrame) -> DataFrame:
-        return payments.join(keys, store_day, "left").withColumn(
+        return payments.join(keys, STORE_DAY, "left").withColumn(
             "deposit_ref", deposit_only(F.col("is_deposit"), F.col("listing_key"))
         )
 

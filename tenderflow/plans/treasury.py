@@ -27,9 +27,12 @@ from tenderflow.plans.tenders import (
     asked_lines,
     bag_references,
     deposit_listings,
+    listing_references,
+    posted_elsewhere,
     tender_payments,
     typed_lines,
     with_listings,
+    with_traits,
 )
 from tenderflow.sources.staging import stage
 
@@ -45,7 +48,8 @@ def columns(reference: str) -> list[Column]:
 
 @dataclass(frozen=True)
 class Asked:
-    """The driving rows of a run: typed tender lines, and end counts of known sessions.
+    """The driving rows of a run: typed tender lines, the amounts posted for them on any date,
+    and end counts of known sessions.
 
     Every branch starts from them several times, so they are written to the staging folder
     once.  They are the run's days of two tables; all else is read for their business dates.
@@ -55,6 +59,7 @@ class Asked:
     """
 
     lines: DataFrame
+    posted: DataFrame
     line_dates: list[date]
     ends: DataFrame
     end_dates: list[date]
@@ -67,8 +72,10 @@ class Asked:
             eligible = eligible_stores(tables, params.codes)
             lines = by_eligibility(lines, eligible, safe, params.codes)
             ends = by_eligibility(ends, eligible, safe, params.codes)
+        typed = typed_lines(tables, params, lines, line_dates)
+        stored = stage(with_traits(tables, params, typed, line_dates), "lines")
         return cls(
-            stage(typed_lines(tables, params, lines, line_dates), "lines"), line_dates,
+            stored, stage(posted_elsewhere(tables, params, stored), "posted"), line_dates,
             stage(of_sessions(tables, ends), "ends"), end_dates,
         )
 
@@ -93,10 +100,12 @@ def treasury_branches(
 ) -> Branches:
     """Parts of the statement without safes; for all stores unless ``asked`` limits them."""
     asked = asked or Asked.of(tables, params)
-    lines, dates = asked.lines, asked.line_dates
+    dates = asked.line_dates
     attach = bag_references(tables, dates)
     return Branches({
-        "payments": tender_payments(tables, params, lines, dates, attach),
+        "payments": tender_payments(
+            tables, params, asked.lines, asked.posted, dates, attach
+        ),
         "over_short": count_differences(tables, params, asked.ends, asked.end_dates),
     })
 
@@ -105,14 +114,12 @@ def smartsafe_branches(
     tables: Tables, params: ReportParams, asked: Asked | None = None
 ) -> Branches:
     asked = asked or Asked.of(tables, params)
-    lines, dates = asked.lines, asked.line_dates
-    attach, store_texts = deposit_listings(tables, params, dates)
+    dates = asked.line_dates
+    listings = stage(deposit_listings(tables, params, dates), "listings")
+    attach, store_texts = listing_references(listings)
     differences, texts = safe_differences(tables, params, asked.ends, asked.end_dates)
-    return Branches(
-        {"payments": tender_payments(tables, params, lines, dates, attach),
-         "over_short": differences},
-        (store_texts, texts),
-    )
+    payments = tender_payments(tables, params, asked.lines, asked.posted, dates, attach)
+    return Branches({"payments": payments, "over_short": differences}, (store_texts, texts))
 
 
 def treasury(tables: Tables, params: ReportParams) -> DataFrame:

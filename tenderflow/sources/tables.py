@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderflow.params import Window
-from tenderflow.schemas import DATED_TABLES, TABLES, schema
+from tenderflow.schemas import DATED_TABLES, DDL, TABLES, schema
 
 Reader = Callable[[str], DataFrame]
+CREATED_SCHEMA = "business_date date, first timestamp, last timestamp"
+#: dated tables whose rows are asked for by creation time
+CREATED_TABLES = tuple(name for name in DATED_TABLES if "create_date" in DDL[name])
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
@@ -20,31 +23,85 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 
 
 def load_tables(reader: Reader, names: Iterable[str] = TABLES) -> dict[str, DataFrame]:
-    return {name: conform(reader(name), name) for name in names}
+    """The tables, and for those that have them their ranges of creation times."""
+    tables = {name: conform(reader(name), name) for name in names}
+    ranges = getattr(reader, "created", lambda name: None)
+    for name in CREATED_TABLES:
+        if name in tables and (found := ranges(name)) is not None:
+            tables[created_of(name)] = found
+    return tables
 
 
-def parquet_reader(spark: SparkSession, root: str) -> Reader:
+def created_of(name: str) -> str:
+    """Where a table's ranges of creation times are: per business date the first and last."""
+    return f"{name}_created"
+
+
+class ParquetReader:
     """One folder per table; the schema is declared, so nothing is read to infer it."""
-    return lambda name: spark.read.schema(schema(name)).parquet(f"{root}/{name}")
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.schema(schema(name)).parquet(f"{self.root}/{name}")
+
+    def created(self, name: str) -> DataFrame | None:
+        """The ranges that ``write_tables`` stored, or None for tables written otherwise."""
+        folder = f"{self.root}/{created_of(name)}"
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        if not path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path):
+            return None
+        return self.spark.read.schema(CREATED_SCHEMA).parquet(folder)
+
+
+def parquet_reader(spark: SparkSession, root: str) -> ParquetReader:
+    return ParquetReader(spark, root)
 
 
 def write_tables(tables: Mapping[str, DataFrame], root: str) -> None:
-    """Store tables the way the statements like them: dated ones partitioned by business date."""
-    for name in tables:
+    """Store tables the way the statements like them: dated ones partitioned by business date.
+
+    Rows are asked for by creation time, which may be far from their business date, so the
+    first and last of each date are stored too; a run then opens the dates that can have its
+    rows and no others, however late a row was made.  Whoever adds files has to write these
+    ranges again.
+    """
+    for name in [name for name in tables if name in TABLES]:
         df = tables[name]
         if name in DATED_TABLES:
             spread = df.repartitionByRange("business_date", "rtl_loc_id", "trans_seq")
             spread.write.mode("overwrite").partitionBy("business_date").parquet(f"{root}/{name}")
+            if name in CREATED_TABLES:
+                stored = df.sparkSession.read.schema(schema(name)).parquet(f"{root}/{name}")
+                _write_created(stored, f"{root}/{created_of(name)}")
         else:
             df.write.mode("overwrite").parquet(f"{root}/{name}")
 
 
+def _write_created(stored: DataFrame, path: str) -> None:
+    ranges = stored.groupBy("business_date").agg(
+        F.min("create_date").alias("first"), F.max("create_date").alias("last")
+    )
+    ranges.coalesce(1).write.mode("overwrite").parquet(path)  # a row for each date
+
+
 def date_predicates(window: Window, date_literal: str = "DATE '{day}'") -> list[str]:
-    """One WHERE clause per business date: each becomes one partition of a database read."""
+    """WHERE clauses that split a database read: one per business date of the window, and one
+    each for what is before, after and without a date, so that every row is in exactly one."""
     days = (window.end - window.start).days + 1
+
+    def literal(day) -> str:
+        return date_literal.format(day=day)
+
     return [
-        f"business_date = {date_literal.format(day=window.start + timedelta(days=n))}"
-        for n in range(days)
+        f"business_date < {literal(window.start)}",
+        *[
+            f"business_date = {literal(window.start + timedelta(days=n))}" for n in range(days)
+        ],
+        f"business_date > {literal(window.end)}",
+        "business_date IS NULL",
     ]
 
 
@@ -55,17 +112,27 @@ def jdbc_reader(
     *,
     prefixes: Mapping[str, str] | None = None,
     window: Window | None = None,
+    ranges: Mapping[str, tuple[str, int, int]] | None = None,
+    parts: int = 32,
 ) -> Reader:
-    """Read over JDBC with the caller's connection options.
+    """Read over JDBC with the caller's connection options; every row of a table is read.
 
-    ``prefixes`` maps a table to the schema it lives in.  With a ``window`` of business dates,
-    dated tables are read by one task per date; the window has to cover all rows the report
-    joins, so leave it out unless that is known.
+    ``prefixes`` maps a table to the schema it lives in.  ``window``, the business dates most
+    rows have, splits the reads of dated tables by date.  ``ranges`` maps any table to a whole
+    number column and its usual smallest and largest value, which split its read into ``parts``.
+    Both only split: rows beyond them, or with NULL, are in the outer parts.  A table with
+    neither is read by one task.
     """
 
     def read(name: str) -> DataFrame:
         prefix = (prefixes or {}).get(name)
         table = f"{prefix}.{name}" if prefix else name
+        if name in (ranges or {}):
+            column, low, high = ranges[name]
+            return spark.read.jdbc(
+                url, table, column=column, lowerBound=low, upperBound=high,
+                numPartitions=parts, properties=dict(options),
+            )
         if window is not None and name in DATED_TABLES:
             return spark.read.jdbc(
                 url, table, predicates=date_predicates(window), properties=dict(options)

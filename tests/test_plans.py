@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 from datetime import date
 
 import pytest
@@ -17,6 +18,7 @@ from tenderflow.plans.till_variance import till_variance
 from tenderflow.plans.treasury import smartsafe_treasury, treasury
 from tenderflow.schemas import DATED_TABLES
 from tenderflow.sources import load_tables, parquet_reader, write_tables
+from tenderflow.sources.tables import CREATED_TABLES, created_of
 
 PARAMS = ReportParams(Window.day(DAY))
 WEEK = ReportParams(Window(date(2024, 1, 1), date(2024, 1, 7)))
@@ -32,7 +34,7 @@ def plan_text(df, capsys):
     return capsys.readouterr().out
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def unhinted(spark):
     """As for tables that are too large for Spark to broadcast on its own."""
     names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
@@ -75,21 +77,60 @@ def spoil(root, names):
 def test_a_day_does_not_read_other_dates(spark, small, tmp_path):
     root = str(tmp_path)
     write_tables(small, root)
-    slack = ReportParams(Window.day(DAY), date_slack=0)
+    asked = ReportParams(Window.day(DAY))
     single = {"change_fund": change_fund, "kiosk": kiosk_reconcile, "till": till_variance}
     statements = {**single, "treasury": treasury, "smartsafe": smartsafe_treasury}
     # the treasury asks these for all dates: posted amounts and media counts of any day
     undated = {"trl_rtrans_lineitm_p", "tsn_tndr_tndr_count"}
-    want = {name: report(small, slack).count() for name, report in statements.items()}
+    want = {name: report(small, asked).count() for name, report in statements.items()}
     spoil(root, set(DATED_TABLES) - undated)
     spoiled = load_tables(parquet_reader(spark, root))
     with pytest.raises(Exception):
         spoiled["trl_sale_lineitm"].agg(F.max("item_id")).collect()
     for name, report in statements.items():
-        assert report(spoiled, slack).count() == want[name]
+        assert report(spoiled, asked).count() == want[name]
     spoil(root, undated)
     for name, report in single.items():
-        assert report(load_tables(parquet_reader(spark, root)), slack).count() == want[name]
+        assert report(load_tables(parquet_reader(spark, root)), asked).count() == want[name]
+
+
+def test_rows_made_a_year_late_are_found(spark, small, tmp_path):
+    late = {
+        name: small[name].withColumn(
+            "create_date",
+            F.when(F.col("trans_seq") % 3 == 0, F.expr("create_date + interval 1 year"))
+            .otherwise(F.col("create_date")),
+        ) if name in CREATED_TABLES else small[name]
+        for name in small
+    }
+    write_tables(late, str(tmp_path))
+    stored = load_tables(parquet_reader(spark, str(tmp_path)))
+    assert {created_of(name) for name in CREATED_TABLES} <= set(stored)
+    for asked in (ReportParams(Window.day(date(2025, 1, 2))), PARAMS):
+        for report in (change_fund, treasury):
+            found = sorted(map(str, report(stored, asked).collect()))
+            assert found == sorted(map(str, report(late, asked).collect()))
+        assert found
+
+
+@pytest.mark.parametrize("name", ["treasury", "smartsafe_treasury"])
+def test_treasury_of_a_day_is_its_part_of_the_range(small, name):
+    daily = sorted(map(str, STATEMENTS[name.replace("_treasury", "")](small, PARAMS).collect()))
+    filled = backfill(name, small, WEEK).filter(F.col("report_date") == F.lit(DAY))
+    assert sorted(map(str, filled.drop("report_date").collect())) == daily
+
+
+@pytest.mark.parametrize(("name", "scans"), [("treasury", 25), ("smartsafe", 33)])
+def test_tables_are_scanned_once_or_twice_and_no_listing_is_a_key(small, name, scans, capsys):
+    blocks = plan_text(STATEMENTS[name](small, PARAMS), capsys).split("\n\n")
+    places = re.findall(r"Location: [^\n]*?tenderflow-\w+/(\w+)", "\n\n".join(blocks))
+    assert len(places) <= scans
+    for table in ("trl_sale_lineitm", "tsn_tndr_control_trans", "tsn_session_wkstn", "trn_trans"):
+        assert places.count(table) <= 2
+    aggregates = [block for block in blocks if "Keys [" in block]
+    assert aggregates and not any(
+        re.search(r"Keys \[\d+\]: \[[^]]*(listing#|deposits#)", block) for block in aggregates
+    )
 
 
 def test_statements_split_the_stores(small):
