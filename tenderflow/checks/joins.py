@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tenderflow.checks.register import check
+from tenderflow.checks.register import DAY, check
 from tenderflow.codes import Codes
 from tenderflow.functions import code_like, full_name
 from tenderflow.operators import (
     business_dates,
     by_eligibility,
     eligible_stores,
-    latest_version,
+    newest_pushes,
     ordered_listing,
     original_transactions,
     property_summary,
@@ -219,21 +219,27 @@ def or_precedence_strict(t):
 
 
 @check("jn_latest_version", """
-    select organization_id, profile_group_id, profile_element_id, config_version, changes
-    from (
-        select *, rank() over (
-            partition by organization_id, profile_group_id, profile_element_id, change_type,
-                change_subtype order by config_version desc) as newest
+    with pushed as (
+        select organization_id, profile_group_id, profile_element_id, org_scope, config_version,
+            coalesce(contains(changes, 'SmartSafeEnabled=true'), false) as enabled
         from cfg_profile_element_changes
-    ) where newest = 1
+        join dpl_deployment using (profile_group_id, profile_element_id, config_version)
+        where change_type = 'SYSCFG' and change_subtype = 'SystemConfig.xml'
+            and deployment_type = 'CONFIGURATOR'
+            and deploy_status in ('COMPLETE', 'IN_PROCESS', 'SCHEDULED')
+            and organization_id is not null),
+    ranked as (
+        select *, rank() over (
+            partition by organization_id, profile_group_id, profile_element_id, org_scope
+            order by config_version desc) as place
+        from pushed)
+    select organization_id, profile_group_id, profile_element_id, org_scope, config_version,
+        bool_or(enabled) as "on"
+    from ranked where place = 1 group by all
 """)
 def latest(t):
-    keys = [
-        "organization_id", "profile_group_id", "profile_element_id", "change_type",
-        "change_subtype",
-    ]
-    newest = latest_version(t["cfg_profile_element_changes"], keys, "config_version")
-    return newest.drop("change_type", "change_subtype")
+    """A tie at the highest version counts as on if any of its rows is."""
+    return newest_pushes(t, CODES)
 
 
 @check("dim_eligible_stores", "select rtl_loc_id from safe_store")
@@ -251,8 +257,8 @@ def eligible(t):
 """)
 def semi_sale_line(t):
     lines = t["ttr_tndr_lineitm"]
-    sold = t["trl_sale_lineitm"].filter(F.col("merch_level_1") != CODES.non_payable_class)
-    return lines.join(sold.select(*TXN_KEY), TXN_KEY, "left_semi").select(*LINE_KEY[1:], "amt")
+    traits = tenders.with_traits(t, DAY, lines, business_dates(lines))
+    return traits.filter(tenders.has_trait(tenders.ACCESSORY)).select(*LINE_KEY[1:], "amt")
 
 
 @check("sq_anti_posted", """
@@ -265,10 +271,10 @@ def semi_sale_line(t):
             and p.rtrans_lineitm_seq = l.rtrans_lineitm_seq)
 """)
 def anti_posted(t):
-    key = ["organization_id", "rtl_loc_id", "wkstn_id", "trans_seq", "rtrans_lineitm_seq"]
-    posted = t["trl_rtrans_lineitm_p"].filter(F.col("property_code") == CODES.posted_amount)
     lines = t["ttr_tndr_lineitm"].filter(F.col("amt") != 0)
-    return lines.join(posted.select(*key), key, "left_anti").select(*LINE_KEY[1:], "amt")
+    posted = tenders.posted_elsewhere(t, DAY, lines)
+    unposted = tenders.mark_posted_here(lines, posted).filter(F.col("posted_here").isNull())
+    return unposted.select(*LINE_KEY[1:], "amt")
 
 
 @check("sq_semi_or_global", """

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -17,10 +16,6 @@ from tenderflow.checks.statements import (
     _till_sql,
 )
 from tenderflow.params import (
-    ACH_FIRST_LAG,
-    ACH_LAST_LAG,
-    DAILY_LAG,
-    TILL_LAG,
     ReportParams,
     Window,
     ach_window,
@@ -31,28 +26,27 @@ from tenderflow.plans.ach import ach_checks
 from tenderflow.plans.bundle import manifest, run_bundle
 from tenderflow.plans.change_fund import change_fund
 from tenderflow.plans.registry import STATEMENTS
-from tenderflow.sinks import DAILY, WEEKLY, output_path_column, render_cells, with_placeholder
-from tenderflow.sources.staging import staging_root
+from tenderflow.sinks import DAILY, WEEKLY, output_path, render_cells, write_report
+from tenderflow.sources.staging import staging_folder
 
 
-@check("prm_report_windows", f"""
+@check("prm_report_windows", """
     select distinct cast(create_date as date) as as_of,
-        cast(create_date as date) - {DAILY_LAG} as report_day,
-        cast(create_date as date) - {TILL_LAG} as till_day,
-        cast(create_date as date) - {ACH_FIRST_LAG} as ach_start,
-        cast(create_date as date) - {ACH_LAST_LAG} as ach_end
+        cast(create_date as date) - 2 as report_day, cast(create_date as date) - 1 as till_day,
+        cast(create_date as date) - 7 as ach_start, cast(create_date as date) - 1 as ach_end
     from trn_trans
 """)
 def report_windows(t):
     """Windows of a run on each day that has transactions."""
-    as_of = F.col("as_of")
+    some = date(2024, 6, 1)
+    asked = {
+        "report_day": daily_window(some).end, "till_day": till_window(some).start,
+        "ach_start": ach_window(some).start, "ach_end": ach_window(some).end,
+    }
     days = t["trn_trans"].select(F.to_date("create_date").alias("as_of")).distinct()
-    return days.select(
-        "as_of", F.date_sub(as_of, DAILY_LAG).alias("report_day"),
-        F.date_sub(as_of, TILL_LAG).alias("till_day"),
-        F.date_sub(as_of, ACH_FIRST_LAG).alias("ach_start"),
-        F.date_sub(as_of, ACH_LAST_LAG).alias("ach_end"),
-    )
+    return days.withColumns({
+        name: F.date_sub("as_of", (some - day).days) for name, day in asked.items()
+    })
 
 
 @check("snk_render_cells", f"""
@@ -65,19 +59,15 @@ def cells(t):
     return render_cells(ach_checks(t, WEEK))
 
 
-def _names(period: str) -> str:
-    names = [name for name, report in STATEMENTS.items() if report.period == period]
-    return ", ".join(f"('{name}')" for name in names)
-
-
-@check("snk_output_paths", f"""
+@check("snk_output_paths", """
     with run as (select distinct business_date as as_of from trn_trans)
     select as_of, report,
         'report=' || report || '/as_of=' || strftime(as_of, '%d_%B_%Y') as path
-    from run, (values {_names(DAILY)}) v(report)
+    from run, (values ('till_variance'), ('change_fund'), ('kiosk_reconcile'), ('treasury'),
+        ('smartsafe_treasury')) v(report)
     union all
     select as_of, report, 'report=' || report || '/as_of=' || strftime(as_of, '%B_%Y')
-    from run, (values {_names(WEEKLY)}) v(report)
+    from run, (values ('ach_checks')) v(report)
 """)
 def output_paths(t):
     """Where a run on each business date writes its statements."""
@@ -86,7 +76,7 @@ def output_paths(t):
     def paths(period: str) -> DataFrame:
         names = [F.lit(name) for name, report in STATEMENTS.items() if report.period == period]
         named = runs.withColumn("report", F.explode(F.array(*names)))
-        path = output_path_column(F.col("report"), F.col("as_of"), period)
+        path = output_path(F.col("report"), F.col("as_of"), period)
         return named.withColumn("path", path)
 
     return paths(DAILY).unionByName(paths(WEEKLY))
@@ -99,8 +89,17 @@ _TEXT_COLUMNS = [
 ]
 
 
+_AMOUNTS = {"change_fund_order_amount_received", "amount_deposited", "variance"}
+
+
 def _as_text(source: str, kind: str) -> str:
-    cells = ", ".join(f'cast("{name}" as varchar) as "{name}"' for name in _TEXT_COLUMNS)
+    def cell(name: str) -> str:
+        text = f'cast("{name}" as varchar)'
+        if name in _AMOUNTS:
+            text = f"regexp_replace(regexp_replace({text}, '0+$', ''), '\\.$', '')"
+        return f'{text} as "{name}"'
+
+    cells = ", ".join(cell(name) for name in _TEXT_COLUMNS)
     return f"select '{kind}' as run, {cells} from ({source})"
 
 
@@ -119,14 +118,20 @@ def _as_text(source: str, kind: str) -> str:
 """)
 def placeholder(t):
     def run(params: ReportParams, kind: str) -> DataFrame:
-        return with_placeholder(change_fund(t, params)).withColumn("run", F.lit(kind))
+        """What a run writes, read again."""
+        path = staging_folder(t.spark, kind)
+        rows = change_fund(t, params)
+        write_report(rows, path, fmt="parquet", placeholder=True)
+        written = t.spark.read.parquet(path)
+        return written.select(F.lit(kind).alias("run"), *[
+            F.col(f"`{name}`").cast("string").alias(name) for name in rows.columns
+        ])
 
     return run(DAY, "filled").unionByName(run(_EMPTY, "empty"))
 
 
 def _run(t, as_of: date, period: str) -> DataFrame:
-    root = f"{staging_root(t.spark)}/tenderflow-{uuid.uuid4().hex}"
-    return run_bundle(t.spark, t, as_of, period, root)
+    return run_bundle(t.spark, t, as_of, period, staging_folder(t.spark, period))
 
 
 def _status_sql(name: str, window: Window, label: str, source: str, more: str = "") -> str:

@@ -76,9 +76,3 @@ def session_matches(controls: DataFrame, sessions: DataFrame, how: str = "inner"
     return controls.withColumn("session_id", F.explode(ids)).join(
         sessions, ["organization_id", "rtl_loc_id", "session_id"], how
     )
-
-
-def latest_version(df: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """All rows at the highest version of their key; ties are kept."""
-    highest = df.groupBy(*keys).agg(F.max(version).alias(version))
-    return df.join(highest, [*keys, version])

@@ -11,14 +11,13 @@ from tenderflow.codes import Codes
 from tenderflow.functions import scope_store
 
 
-def eligible_stores(tables: Mapping[str, DataFrame], codes: Codes | None = None) -> DataFrame:
-    """Store numbers (as text, possibly the every-store mark) whose newest push enables a safe.
+def newest_pushes(tables: Mapping[str, DataFrame], codes: Codes) -> DataFrame:
+    """Per configuration element and scope its highest version, and whether that enables a safe.
 
     Only "is the text switched on at the highest version" is needed, and a tie counts as on if
     any of its rows is.  That is the maximum of (version, on) per configuration element and
     scope, so the large configuration texts are never shuffled or joined back.
     """
-    codes = codes or Codes()
     element = ["profile_group_id", "profile_element_id", "config_version"]
     changes = (
         tables["cfg_profile_element_changes"]
@@ -36,12 +35,18 @@ def eligible_stores(tables: Mapping[str, DataFrame], codes: Codes | None = None)
         .filter(F.col("deploy_status").isin(*codes.deploy_statuses))
         .select(*element, "org_scope")
     )
-    newest = (
+    key = ["organization_id", "profile_group_id", "profile_element_id", "org_scope"]
+    return (
         changes.join(deployments, element)
-        .groupBy("organization_id", "profile_group_id", "profile_element_id", "org_scope")
-        .agg(F.max(F.struct("config_version", "on")).alias("newest"))
-        .filter("newest.on")
+        .groupBy(*key).agg(F.max(F.struct("config_version", "on")).alias("newest"))
+        .select(*key, "newest.*")
     )
+
+
+def eligible_stores(tables: Mapping[str, DataFrame], codes: Codes | None = None) -> DataFrame:
+    """Store numbers (as text, possibly the every-store mark) whose newest push enables a safe."""
+    codes = codes or Codes()
+    newest = newest_pushes(tables, codes).filter("on")
     members = tables["loc_rtl_loc_collection_element"].select("collection_name", "org_scope_code")
     scope = F.coalesce("org_scope_code", "org_scope")
     return (

@@ -19,6 +19,16 @@ STATUS = (
 )
 
 
+def output_paths(
+    spark: SparkSession, names: list[str], as_of: date, period: str
+) -> dict[str, str]:
+    run = spark.createDataFrame([(name, as_of) for name in names], "name string, as_of date")
+    path = output_path(F.col("name"), F.col("as_of"), period)
+    return {row.name_: row.path for row in run.select(
+        F.col("name").alias("name_"), path.alias("path")
+    ).collect()}
+
+
 def run_bundle(
     spark: SparkSession,
     tables: Tables,
@@ -30,10 +40,12 @@ def run_bundle(
 ) -> DataFrame:
     """Write each report of a period under ``root``; a failure is noted and the rest go on."""
     status = []
-    for report in statements_of(period):
+    wanted = statements_of(period)
+    paths = output_paths(spark, [report.name for report in wanted], as_of, period)
+    for report in wanted:
         window = report.window(as_of)
         asked = replace(params, window=window) if params else ReportParams(window)
-        path = output_path(report.name, as_of, period)
+        path = paths[report.name]
         try:
             rows = write_report(
                 report.build(tables, asked), f"{root}/{path}", fmt, report.placeholder

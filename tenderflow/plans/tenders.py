@@ -223,6 +223,13 @@ def posted_elsewhere(tables: Tables, params: ReportParams, lines: DataFrame) ->
     )
 
 
+def mark_posted_here(lines: DataFrame, posted: DataFrame) -> DataFrame:
+    """Lines with ``posted_here``: true where their own workstation posted, else NULL."""
+    at_workstation = posted.select(*SEQUENCE_LINE, "wkstn_id").distinct()
+    flagged = at_workstation.withColumn("posted_here", F.lit(True))
+    return lines.join(flagged, [*SEQUENCE_LINE, "wkstn_id"], "left")
+
+
 def accessory_payments(
     tables: Tables, params: ReportParams, lines: DataFrame, posted: DataFrame, dates: list[date]
 ) -> DataFrame:
@@ -233,9 +240,8 @@ def accessory_payments(
     """
     codes, line = params.codes, SEQUENCE_LINE
     candidates = lines.filter(F.col("amt").isNotNull() & has_trait(ACCESSORY))
-    at_workstation = posted.select(*line, "wkstn_id").distinct()
-    remainders = surplus_over(candidates, posted, line, "amt", "decimal_value", "remainder").join(
-        at_workstation.withColumn("posted_here", F.lit(True)), [*line, "wkstn_id"], "left"
+    remainders = mark_posted_here(
+        surplus_over(candidates, posted, line, "amt", "decimal_value", "remainder"), posted
     )
     zero = F.lit(0).cast("decimal(38,6)")
     whole = F.when(F.col("posted_here").isNull(), F.col("amt")).otherwise(zero)

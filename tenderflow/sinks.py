@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,10 +10,6 @@ from pyspark.sql import types as T
 NO_DATA = "No data available for the selected date."
 DAILY, WEEKLY = "daily", "weekly"
 LABEL_PATTERN = {DAILY: "dd_MMMM_yyyy", WEEKLY: "MMMM_yyyy"}
-_PYTHON_PATTERN = {DAILY: "%d_{month}_%Y", WEEKLY: "{month}_%Y"}
-_MONTHS = (
-    "January February March April May June July August September October November December"
-).split()
 
 _NATIVE = (T.StringType, T.IntegerType, T.DoubleType, T.BooleanType)
 
@@ -36,26 +30,16 @@ def render_cells(df: DataFrame) -> DataFrame:
     return df.select(*[cell(field) for field in df.schema.fields])
 
 
-def with_placeholder(df: DataFrame, message: str = NO_DATA) -> DataFrame:
-    """The rows as text, or the message as the only cell when there are none."""
-    texts = df.select(*[F.col(f"`{name}`").cast("string").alias(name) for name in df.columns])
+def empty_note(df: DataFrame) -> DataFrame:
+    """What stands for ``df`` when it has no rows: the message in its first cell."""
     first, *others = df.columns
-    note = df.sparkSession.range(1).select(
-        F.lit(message).alias(first), *[F.lit(None).cast("string").alias(name) for name in others]
+    return df.sparkSession.range(1).select(
+        F.lit(NO_DATA).alias(first), *[F.lit(None).cast("string").alias(name) for name in others]
     )
-    return texts.unionByName(note.filter(~df.select(F.lit(1)).exists()))
-
-
-def output_label(as_of: date, period: str) -> str:
-    return as_of.strftime(_PYTHON_PATTERN[period].format(month=_MONTHS[as_of.month - 1]))
-
-
-def output_path(report: str, as_of: date, period: str) -> str:
-    """A later run of the same label replaces the earlier one."""
-    return f"report={report}/as_of={output_label(as_of, period)}"
 
 
-def output_path_column(report: Column, as_of: Column, period: str) -> Column:
+def output_path(report: Column, as_of: Column, period: str) -> Column:
+    """Where a run writes; a later run of the same label replaces the earlier one."""
     label = F.date_format(as_of, LABEL_PATTERN[period])
     return F.concat(F.lit("report="), report, F.lit("/as_of="), label)
 
@@ -67,8 +51,7 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv", placeholder: bool =
     _write(rows, path, fmt)
     count = counted.get["rows"]
     if count == 0 and placeholder:
-        note = df.sparkSession.range(1).select(F.lit(NO_DATA).alias("message"))
-        _write(note, path, fmt, header=False)
+        _write(empty_note(df), path, fmt, header=False)
     return count
 
 

@@ -11,7 +11,6 @@ from tenderflow.codes import Codes
 from tenderflow.operators import (
     by_eligibility,
     eligible_stores,
-    latest_version,
     ordered_listing,
     property_summary,
     scalar_lookup,
@@ -106,11 +105,6 @@ def test_distinct_lookup_counts_null_as_a_value(spark):
         scalar_lookup(rows, dim, {"k": "id"}, {"out": F.col("v")}, distinct=True).collect()
 
 
-def test_latest_version_keeps_ties(spark):
-    df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 2, "c")], "k int, n int, t string")
-    assert {row.t for row in latest_version(df, ["k"], "n").collect()} == {"b", "c"}
-
-
 def config(spark, changes, scopes, members=()):
     return {
         "cfg_profile_element_changes": spark.createDataFrame(

@@ -16,9 +16,8 @@ from tenderflow.sinks import (
     DAILY,
     NO_DATA,
     WEEKLY,
-    output_path,
+    empty_note,
     render_cells,
-    with_placeholder,
     write_report,
 )
 from tenderflow.sources import (
@@ -40,11 +39,14 @@ def test_windows():
         Window(run, date(2024, 2, 1))
 
 
-def test_output_paths():
+def test_output_paths(spark):
+    def path(name, run, period):
+        return bundle.output_paths(spark, [name], run, period)[name]
+
     run = date(2024, 3, 1)
-    assert output_path("kiosk", run, DAILY) == "report=kiosk/as_of=01_March_2024"
-    assert output_path("ach", run, WEEKLY) == "report=ach/as_of=March_2024"
-    assert output_path("ach", date(2024, 3, 29), WEEKLY) == output_path("ach", run, WEEKLY)
+    assert path("kiosk", run, DAILY) == "report=kiosk/as_of=01_March_2024"
+    assert path("ach", run, WEEKLY) == "report=ach/as_of=March_2024"
+    assert path("ach", date(2024, 3, 29), WEEKLY) == path("ach", run, WEEKLY)
 
 
 def test_cells(spark):
@@ -61,11 +63,9 @@ def test_cells(spark):
     assert cells.collect()[2].m == "100"
 
 
-def test_placeholder(spark):
+def test_empty_note(spark):
     empty = spark.createDataFrame([], "`a#` bigint, b string")
-    assert [tuple(row) for row in with_placeholder(empty).collect()] == [(NO_DATA, None)]
-    filled = spark.createDataFrame([(1, "x")], "`a#` bigint, b string")
-    assert [tuple(row) for row in with_placeholder(filled).collect()] == [("1", "x")]
+    assert [tuple(row) for row in empty_note(empty).collect()] == [(NO_DATA, None)]
 
 
 def read_text(path):
@@ -75,7 +75,7 @@ def read_text(path):
 def test_empty_report_leaves_a_note_or_a_header(spark, tmp_path):
     empty = spark.createDataFrame([(1, "x")], "a bigint, b string").filter("a > 1")
     assert write_report(empty, f"{tmp_path}/note", placeholder=True) == 0
-    assert read_text(f"{tmp_path}/note").strip() == NO_DATA
+    assert read_text(f"{tmp_path}/note").strip().split(",")[0] == NO_DATA
     assert write_report(empty, f"{tmp_path}/plain") == 0
     assert read_text(f"{tmp_path}/plain").strip() in ("", "a,b")
 
