@@ -134,7 +134,7 @@ def session_bags(t):
             string_agg(string_value, ', ' order by string_value) as deposits
         from trn_trans_p where property_code like 'SMARTSAFE_DEPOSIT_ID%' group by all
     ) d using (organization_id, rtl_loc_id, business_date)
-    group by t.rtl_loc_id, t.business_date
+    group by t.organization_id, t.rtl_loc_id, t.business_date
 """)
 def store_day_deposits(t):
     store_day = ["organization_id", "rtl_loc_id", "business_date"]
@@ -192,7 +192,8 @@ _SAME_TRANSACTION = """(
 
 
 def _matched(t, strict: bool):
-    controls, counts = t["tsn_tndr_control_trans"].select(*TXN_KEY), over_short.known_counts(t)
+    controls = t["tsn_tndr_control_trans"].select(*TXN_KEY)
+    counts = over_short.known_counts(t, controls)
     return (
         over_short.matched_counts(controls, counts, counts, strict)
         .groupBy("rtl_loc_id", "tndr_id")
@@ -263,7 +264,7 @@ def semi_sale_line(t):
 
 @check("sq_anti_posted", """
     select rtl_loc_id, business_date, wkstn_id, trans_seq, rtrans_lineitm_seq, amt
-    from ttr_tndr_lineitm l where amt <> 0 and not exists (
+    from ttr_tndr_lineitm l where l.organization_id = 1 and amt <> 0 and not exists (
         select 1 from trl_rtrans_lineitm_p p
         where p.property_code = 'CPS_POSTED_TNDR_AMT'
             and p.organization_id = l.organization_id and p.rtl_loc_id = l.rtl_loc_id
@@ -271,7 +272,9 @@ def semi_sale_line(t):
             and p.rtrans_lineitm_seq = l.rtrans_lineitm_seq)
 """)
 def anti_posted(t):
-    lines = t["ttr_tndr_lineitm"].filter(F.col("amt") != 0)
+    lines = t["ttr_tndr_lineitm"].filter(
+        (F.col("organization_id") == DAY.organization_id) & (F.col("amt") != 0)
+    )
     posted = tenders.posted_elsewhere(t, DAY, lines)
     unposted = tenders.mark_posted_here(lines, posted).filter(F.col("posted_here").isNull())
     return unposted.select(*LINE_KEY[1:], "amt")

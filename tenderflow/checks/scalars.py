@@ -55,7 +55,7 @@ def _typed(t):
     select rtl_loc_id, business_date, wkstn_id, trans_seq, rtrans_lineitm_seq,
         case when tndr_typcode = 'CREDIT_CARD' or tndr_typcode is null then tndr_typcode
             when tndr_id = 'ACH_CHECK' then tndr_id else 'DEPOSIT' end as payment_type
-    from ttr_tndr_lineitm join tnd_tndr using (organization_id, tndr_id)
+    from ttr_tndr_lineitm join (select tndr_id, tndr_typcode from tnd_tndr) using (tndr_id)
 """)
 def payment_type(t):
     kind = fn.payment_type(F.col("tndr_typcode"), F.col("tndr_id"), CODES)
@@ -66,7 +66,7 @@ def payment_type(t):
     select rtl_loc_id, business_date, wkstn_id, trans_seq, rtrans_lineitm_seq,
         case when tndr_typcode <> 'CREDIT_CARD' and tndr_id <> 'ACH_CHECK'
             then 'BAG' || cast(trans_seq as varchar) end as deposit_ref
-    from ttr_tndr_lineitm join tnd_tndr using (organization_id, tndr_id)
+    from ttr_tndr_lineitm join (select tndr_id, tndr_typcode from tnd_tndr) using (tndr_id)
 """)
 def deposit_ref(t):
     deposit = fn.is_deposit(F.col("tndr_typcode"), F.col("tndr_id"), CODES)

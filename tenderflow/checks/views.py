@@ -12,8 +12,9 @@ VIEWS = {
         select *, 1000 + o_custkey % 25 as loc, 1 + o_custkey % 3 as wk,
             date '2024-01-01' + cast(o_orderkey % 7 as int) as bd,
             cast(date '2024-01-01' + cast(o_orderkey % 7 as int) as timestamp)
-                + (o_orderkey % 1440) * interval '1' minute as cd,
-            o_custkey as uid, cast(o_totalprice as decimal(17,6)) as amt,
+                + (o_orderkey % 1440) * interval '1' minute
+                + case when o_orderkey % 17 = 0 then 1 else 0 end * interval '1' day as cd,
+            case when o_custkey % 29 = 0 then 2 else 1 end as org, o_custkey as uid, cast(o_totalprice as decimal(17,6)) as amt,
             row_number() over (
                 partition by o_custkey % 25, o_orderkey % 7, o_custkey % 3 order by o_orderkey
             ) as tseq
@@ -30,7 +31,7 @@ VIEWS = {
             (1, 'VISA', 'CREDIT_CARD'), (1, 'CHECK', 'CHECK')
         ) t(organization_id, tndr_id, tndr_typcode)""",
     "trn_trans": """
-        select 1 as organization_id, loc as rtl_loc_id, bd as business_date, wk as wkstn_id,
+        select org as organization_id, loc as rtl_loc_id, bd as business_date, wk as wkstn_id,
             tseq as trans_seq,
             case when o_orderkey % 10 < 7 then 'RETAIL_SALE' else 'TENDER_CONTROL' end
                 as trans_typcode,
@@ -39,7 +40,7 @@ VIEWS = {
             cd as create_date, uid as create_user_id, 10 * loc + wk as session_id
         from o""",
     "ttr_tndr_lineitm": """
-        select 1 as organization_id, loc as rtl_loc_id, bd as business_date, wk as wkstn_id,
+        select org as organization_id, loc as rtl_loc_id, bd as business_date, wk as wkstn_id,
             tseq as trans_seq, n as rtrans_lineitm_seq,
             case (o_orderkey + n) % 4 when 0 then 'USD_CURRENCY' when 1 then 'ACH_CHECK'
                 when 2 then 'VISA' else 'CHECK' end as tndr_id,
@@ -65,11 +66,12 @@ VIEWS = {
         from ttr_tndr_lineitm where rtrans_lineitm_seq = 1
         union all
         select {_KEY}, rtrans_lineitm_seq, 'SPS_REVERSAL_ORIG_TRANS_ID',
-            '1::' || cast(rtl_loc_id as varchar) || '::D::' || cast(wkstn_id as varchar)
-                || '::' || cast(trans_seq as varchar), null
+            case when trans_seq % 26 = 0 then '1::short' else
+                '1::' || cast(rtl_loc_id as varchar) || '::D::' || cast(wkstn_id as varchar)
+                || '::' || cast(trans_seq as varchar) end, null
         from ttr_tndr_lineitm where trans_seq % 13 = 0 and rtrans_lineitm_seq = 1""",
     "trl_sale_lineitm": """
-        select 1 as organization_id, loc as rtl_loc_id, bd as business_date, wk as wkstn_id,
+        select org as organization_id, loc as rtl_loc_id, bd as business_date, wk as wkstn_id,
             tseq as trans_seq, l_linenumber as rtrans_lineitm_seq,
             case l_partkey % 4 when 0 then 'MOBILEOTD0001' when 1 then 'MOBILEOTS0001'
                 else 'ITEM' || cast(l_partkey % 4 as varchar) end as item_id,
@@ -82,25 +84,28 @@ VIEWS = {
     "tsn_session_wkstn": """
         select distinct organization_id, rtl_loc_id, session_id, wkstn_id from trn_trans""",
     "tsn_tndr_control_trans": """
-        select 1 as organization_id, loc as rtl_loc_id, bd as business_date, wk as wkstn_id,
+        select org as organization_id, loc as rtl_loc_id, bd as business_date, wk as wkstn_id,
             tseq as trans_seq,
-            case o_orderkey % 3 when 0 then 'ENDCOUNT' when 1 then 'SAFE_BAG_ADJUST'
-                else 'BANK_DEPOSIT' end as typcode,
+            case when o_orderkey % 3 = 0 and o_custkey % 9 = 0 then 'EndCount'
+                when o_orderkey % 3 = 0 then 'ENDCOUNT'
+                when o_orderkey % 3 = 1 then 'SAFE_BAG_ADJUST' else 'BANK_DEPOSIT' end as typcode,
             case when o_custkey % 13 < 3 then null when o_custkey % 13 < 6 then 'STOREBANK'
                 when o_custkey % 13 < 9 then 'TILL1' else 'KIOSK' end
                 as outbound_tndr_repository_id,
-            'CHANGEFUND' as inbound_tndr_repository_id, 10 * loc + wk as outbound_session_id,
+            case when o_custkey % 5 = 0 then 'SAFE' else 'CHANGEFUND' end
+                as inbound_tndr_repository_id, 10 * loc + wk as outbound_session_id,
             10 * loc + wk + 1 as inbound_session_id, amt,
             case when o_custkey % 7 = 0 then 'MISCOUNT' end as reascode,
             case when o_orderkey % 4 = 0 then 'BAG' || cast(o_orderkey % 100 as varchar) end
                 as safe_bag_id,
             cd as create_date, uid as create_user_id
-        from o where o_orderkey % 10 >= 7""",
+        from o where o_orderkey % 10 >= 6""",
     "tsn_tndr_tndr_count": f"""
-        select {_KEY}, 'USD_CURRENCY' as tndr_id, 'CURRENCY' as tndr_typcode, amt,
+        select {_KEY}, case n when 0 then 'USD_CURRENCY' else 'CHECK' end as tndr_id,
+            case n when 0 then 'CURRENCY' else 'CHECK' end as tndr_typcode, amt,
             amt as deposit_amt, cast(trans_seq % 5 - 2 as decimal(17,6)) as difference_amt,
-            trans_seq % 2 as media_count, create_user_id
-        from tsn_tndr_control_trans""",
+            (trans_seq + n) % 2 as media_count, create_user_id
+        from tsn_tndr_control_trans, (values (0), (1)) t(n) where n = 0 or trans_seq % 4 = 0""",
     "trn_trans_p": f"""
         select {_KEY}, 'SMARTSAFE_DEPOSIT_ID_' || cast(n as varchar) as property_code,
             'D' || cast(trans_seq % 9 + n as varchar) as string_value,
@@ -128,7 +133,16 @@ VIEWS = {
             'SystemConfig.xml' as change_subtype, cast(n_nationkey as bigint) as config_version,
             case when n_regionkey in (0, 1) then 'x SmartSafeEnabled=true y'
                 else 'SmartSafeEnabled=false' end as changes
-        from nation""",
+        from nation
+        union all
+        select 1, 'SITE', 'S' || cast(s_suppkey as varchar), 'SYSCFG', 'SystemConfig.xml', n,
+            case when (s_suppkey + n) % 3 = 0 then 'SmartSafeEnabled=true'
+                else 'SmartSafeEnabled=false' end
+        from supplier, (values (1), (2), (2)) t(n)
+        union all
+        select 1, 'SITE', 'S' || cast(s_suppkey as varchar), 'SYSCFG', 'SystemConfig.xml', 2,
+            'a tie: SmartSafeEnabled=true'
+        from supplier where s_suppkey % 4 = 0""",
     "dpl_deployment": """
         select cast(n_nationkey as bigint) as config_version,
             cast(n_regionkey as varchar) as profile_element_id, 'STORE' as profile_group_id,
@@ -136,7 +150,12 @@ VIEWS = {
             case when n_nationkey % 6 = 5 then 'FAILED' else 'COMPLETE' end as deploy_status,
             case when n_regionkey = 0 then 'WEST'
                 else 'STORE:' || cast(1000 + n_nationkey as varchar) end as org_scope
-        from nation""",
+        from nation
+        union all
+        select n, 'S' || cast(s_suppkey as varchar), 'SITE', 'CONFIGURATOR',
+            case when n = 2 and s_suppkey % 5 = 0 then 'FAILED' else 'SCHEDULED' end,
+            'STORE:' || cast(100000 + s_suppkey as varchar)
+        from supplier, (values (1), (2)) t(n)""",
     "loc_rtl_loc_collection_element": """
         select 'WEST' as collection_name,
             'STORE:' || cast(1000 + n_nationkey as varchar) as org_scope_code

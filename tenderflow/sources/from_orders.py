@@ -83,7 +83,7 @@ class OrderTables(Mapping[str, DataFrame]):
             customer, order = F.col("o_custkey"), F.col("o_orderkey")
             placed = self.given("orders").select(
                 "o_orderkey", "o_custkey", "o_orderstatus",
-                F.lit(1).alias("organization_id"),
+                F.when(customer % 29 == 0, 2).otherwise(1).alias("organization_id"),
                 (1000 + customer % 25).alias("rtl_loc_id"),
                 F.date_add(F.lit("2024-01-01").cast("date"), (order % 7).cast("int"))
                 .alias("business_date"),
@@ -91,7 +91,8 @@ class OrderTables(Mapping[str, DataFrame]):
                 customer.alias("create_user_id"),
                 F.col("o_totalprice").cast(MONEY).alias("amt"),
             )
-            minutes = F.make_dt_interval(mins=(order % 1440).cast("int"))
+            late = F.when(order % 17 == 0, 1).otherwise(0)  # made after midnight
+            minutes = F.make_dt_interval(days=late, mins=(order % 1440).cast("int"))
             placed = placed.withColumn(
                 "create_date", F.col("business_date").cast("timestamp") + minutes
             )
@@ -150,9 +151,10 @@ def _property(code: Column, text: Column | None = None, amount: Column | None =
 def _line_properties(t: OrderTables) -> DataFrame:
     seq, first = F.col("trans_seq"), F.col("rtrans_lineitm_seq") == 1
     posted = seq % 2 == 0
-    link = F.concat_ws(
+    whole = F.concat_ws(
         "::", F.lit("1"), _text("rtl_loc_id"), F.lit("D"), _text("wkstn_id"), _text("trans_seq")
     )
+    link = F.when(seq % 26 == 0, "1::short").otherwise(whole)
     candidates = F.array(
         F.when(posted, _property(
             F.lit("CPS_POSTED_TNDR_AMT"), amount=F.col("amt") - (seq % 3).cast(MONEY)
@@ -199,13 +201,16 @@ def _session_workstations(t: OrderTables) -> DataFrame:
 def _controls(t: OrderTables) -> DataFrame:
     order, customer = F.col("o_orderkey"), F.col("o_custkey")
     turn = customer % 13
-    return t.postings.filter(order % 10 >= 7).select(
+    # one sale in seven leaves a bag under its own sequence
+    return t.postings.filter(order % 10 >= 6).select(
         *TXN_KEY,
-        F.when(order % 3 == 0, "ENDCOUNT").when(order % 3 == 1, "SAFE_BAG_ADJUST")
+        F.when((order % 3 == 0) & (customer % 9 == 0), "EndCount")
+        .when(order % 3 == 0, "ENDCOUNT").when(order % 3 == 1, "SAFE_BAG_ADJUST")
         .otherwise("BANK_DEPOSIT").alias("typcode"),
         F.when(turn < 3, _null("string")).when(turn < 6, "STOREBANK").when(turn < 9, "TILL1")
         .otherwise("KIOSK").alias("outbound_tndr_repository_id"),
-        F.lit("CHANGEFUND").alias("inbound_tndr_repository_id"),
+        F.when(customer % 5 == 0, "SAFE").otherwise("CHANGEFUND")
+        .alias("inbound_tndr_repository_id"),
         t.session.alias("outbound_session_id"), (t.session + 1).alias("inbound_session_id"),
         "amt", F.when(customer % 7 == 0, "MISCOUNT").alias("reascode"),
         F.when(order % 4 == 0, F.concat(F.lit("BAG"), _text(order % 100))).alias("safe_bag_id"),
@@ -215,10 +220,13 @@ def _controls(t: OrderTables) -> DataFrame:
 
 def _counts(t: OrderTables) -> DataFrame:
     seq = F.col("trans_seq")
-    return t["tsn_tndr_control_trans"].select(
-        *TXN_KEY, F.lit("USD_CURRENCY").alias("tndr_id"), F.lit("CURRENCY").alias("tndr_typcode"),
+    second = F.col("second")
+    seconds = F.when(seq % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return t["tsn_tndr_control_trans"].withColumn("second", F.explode(seconds)).select(
+        *TXN_KEY, F.when(second == 0, "USD_CURRENCY").otherwise("CHECK").alias("tndr_id"),
+        F.when(second == 0, "CURRENCY").otherwise("CHECK").alias("tndr_typcode"),
         "amt", F.col("amt").alias("deposit_amt"), (seq % 5 - 2).alias("difference_amt"),
-        (seq % 2).alias("media_count"), "create_user_id",
+        ((seq + second) % 2).alias("media_count"), "create_user_id",
     )
 
 
@@ -281,26 +289,61 @@ def _store_scope() -> Column:
 
 def _config_changes(t: OrderTables) -> DataFrame:
     enabled = F.col("n_regionkey").isin(0, 1)
-    return t.given("nation").select(
+    fixed = [
+        F.lit("SYSCFG").alias("change_type"), F.lit("SystemConfig.xml").alias("change_subtype")
+    ]
+    stores = t.given("nation").select(
         F.lit(1).alias("organization_id"), F.lit("STORE").alias("profile_group_id"),
-        F.col("n_regionkey").alias("profile_element_id"), F.lit("SYSCFG").alias("change_type"),
-        F.lit("SystemConfig.xml").alias("change_subtype"),
+        _text("n_regionkey").alias("profile_element_id"), *fixed,
         F.col("n_nationkey").alias("config_version"),
         F.when(enabled, "x SmartSafeEnabled=true y").otherwise("SmartSafeEnabled=false")
         .alias("changes"),
     )
+    # sites beside the stores, with repeated and tied versions
+    key, version = F.col("s_suppkey"), F.col("version")
+    on = F.when((key + version) % 3 == 0, "SmartSafeEnabled=true").otherwise(
+        "SmartSafeEnabled=false"
+    )
+    pushes = F.array(*[
+        F.struct(F.lit(n).alias("version"), F.lit(tie).alias("tie"))
+        for n, tie in ((1, False), (2, False), (2, False), (2, True))
+    ])
+    pushed = t.given("supplier").select("s_suppkey", F.inline(pushes)).filter(
+        ~F.col("tie") | (key % 4 == 0)
+    )
+    sites = pushed.select(
+        F.lit(1).alias("organization_id"), F.lit("SITE").alias("profile_group_id"),
+        _site().alias("profile_element_id"), *fixed, version.cast("bigint").alias("config_version"),
+        F.when(F.col("tie"), "a tie: SmartSafeEnabled=true").otherwise(on).alias("changes"),
+    )
+    return stores.unionByName(sites)
+
+
+def _site() -> Column:
+    return F.concat(F.lit("S"), _text("s_suppkey"))
 
 
 def _deployments(t: OrderTables) -> DataFrame:
     failed = F.col("n_nationkey") % 6 == 5
-    return t.given("nation").select(
-        F.col("n_nationkey").alias("config_version"),
-        F.col("n_regionkey").alias("profile_element_id"),
-        F.lit("STORE").alias("profile_group_id"), F.lit("CONFIGURATOR").alias("deployment_type"),
+    kind = F.lit("CONFIGURATOR").alias("deployment_type")
+    stores = t.given("nation").select(
+        F.col("n_nationkey").cast("bigint").alias("config_version"),
+        _text("n_regionkey").alias("profile_element_id"),
+        F.lit("STORE").alias("profile_group_id"), kind,
         F.when(failed, "FAILED").otherwise("COMPLETE").alias("deploy_status"),
         F.when(F.col("n_regionkey") == 0, F.lit("WEST")).otherwise(_store_scope())
         .alias("org_scope"),
     )
+    key, version = F.col("s_suppkey"), F.col("config_version")
+    versions = F.explode(F.expr("array(1L, 2L)")).alias("config_version")
+    sites = t.given("supplier").select("s_suppkey", versions).select(
+        version, _site().alias("profile_element_id"), F.lit("SITE").alias("profile_group_id"),
+        kind,
+        F.when((version == 2) & (key % 5 == 0), "FAILED").otherwise("SCHEDULED")
+        .alias("deploy_status"),
+        F.concat(F.lit("STORE:"), _text(100000 + key)).alias("org_scope"),
+    )
+    return stores.unionByName(sites)
 
 
 def _collections(t: OrderTables) -> DataFrame:
