@@ -162,6 +162,4 @@ def exact_groups(
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that :func:`exact_groups` drops, with all their columns."""
-    stored = rows.numbered(docs, doc_id=docs["doc_id"], text=docs["text"])
-    kept = exact_groups(stored, row=F.col("row")).where("kept")
-    return rows.keep(stored, kept, docs.columns)
+    return rows.keep(docs, exact_groups(docs, row=rows.row_hash(docs)))

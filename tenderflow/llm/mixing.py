@@ -95,7 +95,7 @@ def _running(df: DataFrame, group: list[str], slice_: str, order: list[str], of:
 
 
 def queue(sized: DataFrame, aims: DataFrame, most: int = MOST) -> DataFrame:
-    """Every document of ``sized`` (row, doc_id, source, size, shuffle) ``most`` times over, with
+    """Every document of ``sized`` (doc_id, source, size, shuffle) ``most`` times over, with
     its finish time, ``position`` (words taken in global order up to and with it) and ``taken``.
 
     Ties in time go by source, round, shuffle hash and doc_id.  A source without words has no
@@ -126,38 +126,35 @@ def queue(sized: DataFrame, aims: DataFrame, most: int = MOST) -> DataFrame:
     return out.withColumn("taken", taken).drop("span")
 
 
-def _measures(docs: DataFrame) -> dict[str, Column]:
-    return {
-        "doc_id": docs["doc_id"], "source": docs["source"], "size": words(docs["text"]),
-        "shuffle": shuffle_key(docs["doc_id"], docs["text"]),
-    }
+def _sized(docs: DataFrame, row: Column) -> DataFrame:
+    return stage(
+        docs.select(
+            F.monotonically_increasing_id().alias("number"), row.alias("row"), "doc_id",
+            "source", words(docs["text"]).alias("size"),
+            shuffle_key(docs["doc_id"], docs["text"]).alias("shuffle"),
+        ),
+        "sized",
+    )
 
 
-def mix_counts(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, copies.
+def mix_counts(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """One row per document: row, doc_id, source, size, source_size, target, taken, copies.
 
     Null text has size 0; null is a source of its own; repeated rows queue one after the other.
-    No rows give no rows.  Other columns of ``docs`` are not read.
+    No rows give no rows.  Other columns of ``docs`` are not read, but for ``row``, by which the
+    rows can be told apart; else it is 0.
     """
-    measures = [column.alias(name) for name, column in _measures(docs).items()]
-    sized = stage(docs.select(F.monotonically_increasing_id().alias("row"), *measures), "sized")
+    sized = _sized(docs, F.lit(0) if row is None else row)
     queued = queue(sized, stage(targets(sized), "targets"))
     copies = F.sum(F.col("taken").cast("long"))
     return (
-        queued.groupBy("row", "doc_id", "source", "size", "source_size", "target")
+        queued.groupBy("number", "row", "doc_id", "source", "size", "source_size", "target")
         .agg(copies.alias("copies"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("row")
+        .drop("number")
     )
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as it is taken, with all its columns."""
-    stored = rows.numbered(docs, **_measures(docs))
-    sized = stored.drop("whole")
-    queued = queue(sized, stage(targets(sized), "targets"))
-    copies = queued.where("taken").groupBy("row").agg(F.count("*").cast("int").alias("copies"))
-    taken = stored.select("row", "whole").join(copies, "row").select(
-        "whole", F.explode(F.sequence(F.lit(1), "copies"))
-    )
-    return rows.unpacked(taken, docs.columns)
+    return rows.repeat(docs, mix_counts(docs, rows.row_hash(docs)))

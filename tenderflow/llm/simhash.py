@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,6 +136,11 @@ def linked_fingerprints(
         prints = stage(moved.select("print").distinct(), "prints")
 
 
+def _printed(docs: DataFrame, size: int, row: Column) -> DataFrame:
+    printed = fingerprints(size)(docs["text"]).alias("print")
+    return stage(docs.select(row.alias("row"), "doc_id", printed), "printed")
+
+
 def near_groups(printed: DataFrame, bits: int = BITS) -> DataFrame:
     """(print, component_id, first): each distinct fingerprint of ``printed`` (row, doc_id,
     print), the smallest doc_id of its component, and the number of the row to keep."""
@@ -163,13 +168,7 @@ def simhash_groups(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> Da
     name a component only if it has no other.  Repeated rows each give a row; no rows give none;
     other columns are not read.
     """
-    printed = stage(
-        docs.select(
-            F.monotonically_increasing_id().alias("row"), "doc_id",
-            fingerprints(size)(docs["text"]).alias("print"),
-        ),
-        "printed",
-    )
+    printed = _printed(docs, size, F.monotonically_increasing_id())
     return printed.join(near_groups(printed, bits), "print").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -178,7 +177,7 @@ def simhash_groups(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> Da
 def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """``docs`` with one row of each component of :func:`simhash_groups`: that with the smallest
     doc_id, one of them if rows share it.  All columns stay."""
-    stored = rows.numbered(docs, print=fingerprints(size)(docs["text"]))
-    printed = stored.select("row", F.col("whole").getField("doc_id").alias("doc_id"), "print")
-    firsts = near_groups(printed, bits).select(F.col("first").alias("row")).distinct()
-    return rows.keep(stored, firsts, docs.columns)
+    printed = _printed(docs, size, rows.row_hash(docs))
+    groups = near_groups(printed, bits).select("print", "component_id", "first")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row") == F.col("first"))
+    return rows.keep(docs, printed.join(groups, "print").withColumn("kept", kept))
