@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenderflow.llm.ship import ship_code
 from tenderflow.sources.staging import stage
 
 UNKNOWN = "und"
@@ -169,6 +170,7 @@ def learn(
     What comes to the driver has a bound: at most ``1 / least_rate`` n-grams for a language, and
     more than ``MOST_LANGUAGES`` languages are an error.
     """
+    ship_code(docs.sparkSession)
     counts = stage(count_grams(docs), "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     sizes = {row.lang: row.total for row in totals.limit(MOST_LANGUAGES + 1).collect()}

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenderflow.llm import tokens
+from tenderflow.llm.ship import ship_code
 from tenderflow.sources.staging import stage
 
 CAPACITY = 2048
@@ -104,6 +105,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFram
                 schema=_arrow(PIECES),
             )
 
+    ship_code(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(cut, PIECES)
 
 
@@ -185,6 +187,7 @@ def _packer(round_: int, capacity: int) -> Callable[[pa.Table], pa.Table]:
 
 def _deal(pieces: DataFrame, round_: int, capacity: int, size: int) -> DataFrame:
     """Deal pieces out by a hash, about ``size`` to a partition, and pack each partition."""
+    ship_code(pieces.sparkSession)
     parts = max(1, -(-pieces.count() // size))
     part = F.pmod(F.xxhash64(F.lit(round_), *PIECES.names), F.lit(parts))
     return stage(

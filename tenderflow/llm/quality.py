@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenderflow.llm.ship import ship_code
 from tenderflow.sources.staging import stage
 
 FITTED_ROWS = 8000  # most labelled documents that the classifier is fitted on
@@ -146,6 +147,7 @@ def quality(
     paths are a host and a path of their own.  Without labels of both kinds the evidence is 0.
     Repeated rows each give a row; no rows give none; other columns are not read.
     """
+    ship_code(docs.sparkSession)
     given = labels.where("good is not null and doc_id is not null").groupBy("doc_id").agg(
         F.avg("good").alias("good")
     )

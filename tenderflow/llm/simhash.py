@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from tenderflow.llm import rows
 from tenderflow.llm.components import components, local_roots
+from tenderflow.llm.ship import ship_code
 from tenderflow.sources.staging import stage
 
 SHINGLE = 3
@@ -105,6 +106,7 @@ def linked_fingerprints(
                     [pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"]
                 )
 
+    ship_code(prints.sparkSession)
     links = None
     for blocks in levels:
         width = 64 // blocks
@@ -137,6 +139,7 @@ def linked_fingerprints(
 
 
 def _printed(docs: DataFrame, size: int, row: Column) -> DataFrame:
+    ship_code(docs.sparkSession)
     printed = fingerprints(size)(docs["text"]).alias("print")
     return stage(docs.select(row.alias("row"), "doc_id", printed), "printed")
 

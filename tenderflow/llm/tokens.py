@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tenderflow.llm.ship import ship_code
+
 PORTION_BYTES = 4 << 20  # of texts handled at once
 BATCH_BYTES = 256 << 10  # of units encoded at once
 KEPT_UNITS = 400_000  # results kept in each of two generations
@@ -160,4 +162,5 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
                 names=COUNTS.names,
             )
 
+    ship_code(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(count, COUNTS)

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenderflow.llm.ship import ship_code
 from tenderflow.sources.staging import stage
 
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -137,6 +138,7 @@ def build_cascade(
 ) -> Cascade | None:
     """The cascade of the ``listed`` keys (key) within ``universe`` (key, distinct), or None if
     its filters would take more than ``most_bytes``."""
+    ship_code(universe.sparkSession)
     members = stage(universe.join(listed, "key", "left_semi"), "listed")
     others = stage(universe.join(listed, "key", "left_anti"), "others")
     filters: list[np.ndarray] = []

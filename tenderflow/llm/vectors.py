@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderflow.llm.components import components, local_roots
+from tenderflow.llm.ship import ship_code
 from tenderflow.sources.staging import stage
 
 LEAST_COSINE = 0.93
@@ -213,6 +214,7 @@ def vector_groups(
     the row's own.  Null, empty and zero vectors and those with null or non-finite numbers are
     linked with nothing.  No rows give no rows; other columns are not read.
     """
+    ship_code(vectors.sparkSession)
     kind = KINDS[dict(vectors.dtypes)["embedding"]]
     label = vectors["label"].cast("string").alias("label")
     number = F.monotonically_increasing_id().alias("row")

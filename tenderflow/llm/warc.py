@@ -26,6 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenderflow.llm.ship import ship_code
 from tenderflow.sources.staging import stage, staging_folder
 
 ARCHIVE_BYTES = 64 << 20  # of records in one file
@@ -313,6 +314,7 @@ def _row(record: Record) -> dict:
 
 def _spread(files: DataFrame) -> DataFrame:
     """A file to a task."""
+    ship_code(files.sparkSession)
     return files.repartition(max(1, files.count()))
 
 
@@ -324,6 +326,7 @@ def write_archives(pages: DataFrame, most: int = ARCHIVE_BYTES) -> DataFrame:
     Null html is an empty payload, a null url is left out, a null page_id is an empty number and
     never revisited.
     """
+    ship_code(pages.sparkSession)
     payload = F.coalesce(pages["html"], F.lit("")).cast("binary")
     made = pages.select(
         pages["page_id"].cast("long"), "url", payload.alias("payload"),
