@@ -112,8 +112,8 @@ def word_and_mark(unit: str) -> list[str]:
 def byte_units(text: str) -> list[str]:
     """Cut a text where a byte-level tokenizer with the usual pattern always cuts: before a lone
     space and round a lone line feed.  Special strings have no white space and so stay whole."""
-    lone = text.count(" ") + text.count("\n") + 1
-    if "\0" not in text and len(text.split()) == lone:
+    # equal only if all white space is spaces and line feeds, each between two words
+    if "\0" not in text and " ".join(text.split()) == text.replace("\n", " "):
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
     units, start = [], 0
     for cut in LONE_SPACE.finditer(text):

@@ -33,6 +33,15 @@ def test_units_give_what_the_whole_text_gives(loaded, text):
     assert b"".join(known[u] for u in units) == b"".join(i.to_bytes(4, "little") for i in whole)
 
 
+@pytest.mark.parametrize("text, n", [("name\u00a0: x\n\n\ny\u00a0! z", 10), ("x\ty\n\n\n\nz\tq\tr", 11)])
+def test_other_white_space_does_not_make_up_for_runs(loaded, text, n):
+    by_bytes, counter, *_ = loaded
+    units = tokens.byte_units(text)
+    known = counter.learn(set(units))
+    assert len(by_bytes.encode(text, add_special_tokens=False)) == n
+    assert sum(known[u] for u in units) == n
+
+
 def test_kept_results_have_a_bound():
     kept = tokens.Kept(lambda batch: [len(unit) for unit in batch], sum, limit=10)
     for i in range(100):
