@@ -239,8 +239,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows of no language: no letter, or nothing that a language contains."""
+    """``docs`` without the rows that ``identify`` calls ``und``.
+
+    A text with letters stays also with score 0, which only says that no language holds any of its
+    n-grams: filters have none below ``LEAST_RATE``, and with a large alphabet most are.
+    """
     filters = learn(docs.where(in_training(docs["doc_id"])))
     marked = docs.withColumn("__guess", guesses(docs, filters))
-    known = F.col("__guess.lang_pred") != UNKNOWN
-    return marked.where(known & (F.col("__guess.score") > 0)).select(*docs.columns)
+    return marked.where(F.col("__guess.lang_pred") != UNKNOWN).select(*docs.columns)

@@ -91,6 +91,15 @@ def test_awkward_documents(spark):
     assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
 
 
+def test_texts_with_rare_letters_only_are_kept(spark):
+    rows = [*corpus.awkward_rows(), (500, "жщю ыэя", None, "a", 7), (501, "99 !", None, "a", 4)]
+    docs = spark.createDataFrame(rows, corpus.DOCUMENTS)
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
+    assert found[500] == ("en", 0.0) and found[501] == ("und", 0.0)
+    kept = {r.doc_id for r in langid.keep_identified(docs).collect()}
+    assert kept == {i for i, (lang, _) in found.items() if lang != "und"} and 500 in kept
+
+
 def test_many_languages(spark):
     rows = [(i, f"w{chr(97 + i // 26)}{chr(97 + i % 26)}q " * 9, f"l{i:03}", "s", 1) for i in range(150)]
     docs = spark.createDataFrame([r for r in rows for _ in (0, 1)], corpus.DOCUMENTS)
