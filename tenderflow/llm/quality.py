@@ -99,16 +99,21 @@ def fit(found: np.ndarray, good: np.ndarray) -> Classifier:
 
 def fit_on(docs: DataFrame, labels: DataFrame, most: int = FITTED_ROWS) -> Classifier:
     """A classifier of ``docs`` (doc_id, text) that ``labels`` (doc_id, good) has; of more than
-    ``most`` rows those whose hashes are smallest are taken, on every run the same."""
+    ``most`` rows those whose hashes are smallest are taken, on every run the same.  Of several
+    rows with one doc_id the one with the smallest hash of its text counts, once."""
 
     @F.pandas_udf(T.BinaryType())
     def measured(texts: pd.Series) -> pd.Series:
         return texts.map(lambda text: features(text).tobytes())
 
     chosen = stage(labels.orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(most), "chosen")
+    joined = docs.select("doc_id", "text").join(chosen, "doc_id").select(
+        "doc_id", "good", F.struct(F.xxhash64("text").alias("h"), measured("text").alias("found"))
+        .alias("row"),
+    )
     rows = (
-        docs.select("doc_id", "text").join(chosen, "doc_id")
-        .select("good", measured("text").alias("found")).toArrow()
+        joined.groupBy("doc_id", "good").agg(F.min("row").alias("row"))
+        .select("good", "row.found").toArrow()
     )
     found = [np.frombuffer(row, np.float32) for row in rows.column("found").to_pylist()]
     found = np.array(found or np.zeros((0, KINDS * KINDS + 1)), np.float64)

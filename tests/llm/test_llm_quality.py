@@ -71,3 +71,17 @@ def test_awkward_documents(spark):
     assert quality.quality(corpus.empty(spark), frame, "source", "lang").count() == 0
     none = quality.quality(docs, corpus.empty(spark, LABELS), "source", "lang").collect()
     assert len(none) == len(found) and all(r.evidence == 0 for r in none)
+
+
+def test_repeated_rows_are_fitted_once(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(quality, "fit", lambda found, good: fitted.append((found, good)))
+    once = [(i, "Some words. " * (i + 1)) for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], LABELS)
+    again = [(3, once[3][1]), (4, None), (4, "other text 123")] * 50
+    for rows in (once, once + [r for r in again if r[0] == 3], once + again, again[::-1] + once):
+        quality.fit_on(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    for found, good in fitted:
+        assert len(found) == 20 and sorted(good) == [0] * 10 + [1] * 10
+    sets = [sorted(map(tuple, found)) for found, _ in fitted]
+    assert sets[0] == sets[1] and sets[2] == sets[3]
