@@ -34,8 +34,9 @@ PIECES = T.StructType([
     T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
     T.StructField("ids_crc32", T.LongType()),
 ])
+NUMBERED = T.StructType([*PIECES.fields, T.StructField("number", T.LongType())])
 PACKED = T.StructType([
-    *PIECES.fields,
+    *NUMBERED.fields,
     T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()),
     T.StructField("gap", T.IntegerType()), T.StructField("loose", T.BooleanType()),
 ])
@@ -169,7 +170,7 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 
 def _packer(round_: int, capacity: int) -> Callable[[pa.Table], pa.Table]:
     def pack(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([(name, "ascending") for name in PIECES.names])
+        rows = rows.sort_by([(name, "ascending") for name in NUMBERED.names])
         lengths = rows.column("length").to_numpy()
         bins, offsets, free = best_fit(lengths, capacity)
         gap = len(free) - lower_bound(lengths, capacity)
@@ -179,17 +180,18 @@ def _packer(round_: int, capacity: int) -> Callable[[pa.Table], pa.Table]:
             loose[np.flatnonzero(loose)[1:]] = False
         first = (round_ << 56) + (rows.column("part")[0].as_py() << 24)
         new = [first + bins, offsets, np.full(len(bins), gap, np.int32), loose[bins]]
-        columns = [rows.column(name) for name in PIECES.names] + [pa.array(c) for c in new]
+        columns = [rows.column(name) for name in NUMBERED.names] + [pa.array(c) for c in new]
         return pa.Table.from_arrays(columns, schema=_arrow(PACKED))
 
     return pack
 
 
 def _deal(pieces: DataFrame, round_: int, capacity: int, size: int) -> DataFrame:
-    """Deal pieces out by a hash, about ``size`` to a partition, and pack each partition."""
+    """Deal numbered pieces out by a hash, about ``size`` to a partition, and pack each partition;
+    the number spreads equal pieces."""
     ship_code(pieces.sparkSession)
     parts = max(1, -(-pieces.count() // size))
-    part = F.pmod(F.xxhash64(F.lit(round_), *PIECES.names), F.lit(parts))
+    part = F.pmod(F.xxhash64(F.lit(round_), *NUMBERED.names), F.lit(parts))
     return stage(
         pieces.withColumn("part", part).groupBy("part")
         .applyInArrow(_packer(round_, capacity), PACKED),
@@ -201,27 +203,29 @@ def pack(
     pieces: DataFrame, capacity: int = CAPACITY, size: int = PARTITION_PIECES,
     rounds: int = ROUNDS,
 ) -> DataFrame:
-    """``pieces`` with sequence_id and offset; ``pieces`` is a stored table.
+    """``pieces`` with sequence_id and offset.
 
+    The pieces are stored once with a number each, so that what a task does again has the same.
     A sequence has at most ``capacity`` tokens and its pieces lie without gaps from offset 0.
     ``gap`` is the number of sequences of its last partition above the bound.
     """
     sequences = F.count_distinct("sequence_id")
-    packed = _deal(pieces, 0, capacity, size)
+    numbered = stage(pieces.withColumn("number", F.monotonically_increasing_id()), "pieces")
+    packed = _deal(numbered, 0, capacity, size)
     done = []
     for round_ in range(1, rounds + 1):
         given = packed.where("loose")
         before = given.agg(sequences).first()[0]
         if before < 2:
             break
-        again = _deal(given.select(*PIECES.names), round_, capacity, size)
+        again = _deal(given.select(*NUMBERED.names), round_, capacity, size)
         if again.agg(sequences).first()[0] >= before:
             break
         done.append(packed.where("not loose"))
         packed = again
     for part in done:
         packed = packed.unionByName(part)
-    return packed.drop("loose")
+    return packed.drop("number", "loose")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -232,4 +236,4 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Data
     piece, the closing id.  Repeated rows are packed one by one; a null doc_id is kept.  No rows
     give no sequences.  Other columns are not read.
     """
-    return pack(stage(cut_pieces(docs, path, capacity), "pieces"), capacity)
+    return pack(cut_pieces(docs, path, capacity), capacity)

@@ -88,3 +88,13 @@ def test_exchange_comes_near_the_bound_of_all(spark, size):
     used, bound = check(rows, 2048), packing.lower_bound(lengths, 2048)
     assert bound <= used <= alone
     assert used <= bound + (3 if size > 2000 else 20)
+
+
+def test_equal_pieces_spread_over_partitions(spark):
+    pieces = spark.createDataFrame([(None, 0, 0, 700, 0)] * 3000, packing.PIECES)
+    for rounds in (0, packing.ROUNDS):
+        rows = packing.pack(pieces, 2048, 100, rounds).collect()
+        assert len(rows) == 3000 and {r.length for r in rows} == {700}
+        check(rows, 2048)
+        parts = Counter(r.sequence_id >> 24 for r in rows)
+        assert len(parts) >= 25 and max(parts.values()) < 200
