@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenderflow.llm import exact, langid, mixing, packing, quality, simhash, tokens, urls, vectors, warc
+from tenderflow.llm import (
+    exact,
+    langid,
+    merkle,
+    mixing,
+    packing,
+    quality,
+    simhash,
+    tokens,
+    urls,
+    vectors,
+    warc,
+)
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -84,6 +96,11 @@ def op10_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
     return exact.exact_groups(_table(spark, root, "documents")).drop("row")
 
 
+def op12_merkle_manifest(spark: SparkSession, root: str) -> DataFrame:
+    docs = _table(spark, root, "documents")
+    return merkle.verified(merkle.manifest(docs, merkle.tampered_leaf(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
@@ -95,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -195,4 +213,72 @@ select doc_id, max(doc_id) over (partition by body) as keep_id,
   count(*) over (partition by body) as group_size,
   doc_id = max(doc_id) over (partition by body) as kept, sha256(body) as text_sha256
 from folded""",
+    "op12_merkle_manifest": r"""
+with recursive odd as (
+  select doc_id, list_reduce(
+    list_concat([4294967295::bigint], flatten(list_transform(
+      string_split(doc_id::varchar, ''),
+      lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: case when x >= 0 then xor(c, x)
+      else xor(c >> 1, 3988292384::bigint * (c & 1)) end) as crc
+  from (select distinct doc_id from documents)),
+told as (
+  select d.doc_id, source, o.crc & 1 as half,
+    coalesce(octet_length(encode(d.doc_id::varchar)) || ':' || d.doc_id, '-')
+      || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+      || coalesce(octet_length(encode(n_chars::varchar)) || ':' || n_chars, '-') as head,
+    text, replace(text, chr(10), '') as cut
+  from documents d left join odd o on o.doc_id = d.doc_id),
+hashed as (
+  select doc_id, source,
+    sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) as leaf,
+    case when half = 1 then  -- the final exclusive or flips the lowest bit
+      sha256(head || coalesce(octet_length(encode(cut)) || ':' || cut, '-')) end as claimed
+  from told),
+leaves as (
+  select *, dense_rank() over (order by source nulls first) - 1 as tree,
+    row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos,
+    count(*) over (partition by source) as n
+  from hashed),
+nodes as (
+  select tree, 0 as level, pos, n, leaf as digest from leaves
+  union all
+  select tree, min(level) + 1, pos // 3, (min(n) + 2) // 3, sha256(string_agg(digest, '' order by pos))
+  from nodes where n > 1 group by tree, pos // 3),
+above as (
+  select -1 as tree, 0 as level, tree as pos, (select max(tree) + 1 from leaves) as n, digest
+  from nodes where n = 1
+  union all
+  select -1, min(level) + 1, pos // 3, (min(n) + 2) // 3, sha256(string_agg(digest, '' order by pos))
+  from above where n > 1 group by pos // 3),
+steps as (
+  select *, coalesce(lag(digest, 2) over w, '') || coalesce(lag(digest, 1) over w, '') as before,
+    coalesce(lead(digest, 1) over w, '') || coalesce(lead(digest, 2) over w, '') as after,
+    max(level) over (partition by tree) as depth
+  from (select * from nodes union all select * from above)
+  window w as (partition by tree, level, pos // 3 order by pos)),
+ways as (
+  select l.tree, l.pos, s.level, s.before, s.after
+  from leaves l join steps s on s.tree = l.tree and s.n > 1 and s.pos = l.pos // (3 ** s.level)::bigint
+  union all
+  select l.tree, l.pos, 1000 + s.level, s.before, s.after
+  from leaves l join steps s on s.tree = -1 and s.n > 1 and s.pos = l.tree // (3 ** s.level)::bigint),
+paths as (
+  select tree, pos, list({'b': before, 'a': after} order by level) as path,
+    string_agg(before || after, '' order by level) as siblings
+  from ways group by tree, pos),
+folds as (
+  select l.tree, l.pos, 1 as step, coalesce(l.claimed, l.leaf) as digest, coalesce(p.path, []) as path
+  from leaves l left join paths p on p.tree = l.tree and p.pos = l.pos
+  union all
+  select tree, pos, step + 1, sha256(path[step].b || digest || path[step].a), path
+  from folds where step <= len(path))
+select l.doc_id, l.leaf, s.digest as subroot, r.digest as root,
+  sha256(coalesce(p.siblings, '')) as proof_sha256, f.digest as folded_root,
+  f.digest = r.digest as verified
+from leaves l join nodes s on s.tree = l.tree and s.n = 1
+join above r on r.n = 1
+join folds f on f.tree = l.tree and f.pos = l.pos and f.step = len(f.path) + 1
+left join paths p on p.tree = l.tree and p.pos = l.pos""",
 }
