@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tenderflow.llm import (
+    align,
     exact,
     langid,
     merkle,
     mixing,
     packing,
+    pii,
     quality,
     simhash,
     tokens,
@@ -22,6 +25,7 @@ from tenderflow.llm import (
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
+PIECE_TOKENIZER = "piece_bpe_32k.model"
 TOKEN_LIMIT = 1024
 
 URL_RULES = [
@@ -96,11 +100,28 @@ def op10_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
     return exact.exact_groups(_table(spark, root, "documents")).drop("row")
 
 
+def op11_token_alignment(spark: SparkSession, root: str) -> DataFrame:
+    aligned = align.align_documents(
+        _table(spark, root, "documents"), tokenizer_path(BYTE_TOKENIZER),
+        tokenizer_path(PIECE_TOKENIZER),
+    )
+    return aligned.drop("groups")
+
+
 def op12_merkle_manifest(spark: SparkSession, root: str) -> DataFrame:
     docs = _table(spark, root, "documents")
     return merkle.verified(merkle.manifest(docs, merkle.tampered_leaf(docs)))
 
 
+def op13_pii(spark: SparkSession, root: str) -> DataFrame:
+    found = pii.find_personal_data(_table(spark, root, "documents"))
+    return found.select(
+        "doc_id", *pii.counts(F.col("spans")),
+        F.sha2(pii.span_list(pii.of_base(F.col("spans"))), 256).alias("base_sha256"),
+        pii.span_list(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
@@ -112,7 +133,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_token_alignment": op11_token_alignment,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_pii": op13_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -281,4 +304,90 @@ from leaves l join nodes s on s.tree = l.tree and s.n = 1
 join above r on r.n = 1
 join folds f on f.tree = l.tree and f.pos = l.pos and f.step = len(f.path) + 1
 left join paths p on p.tree = l.tree and p.pos = l.pos""",
+    "op13_pii": r"""
+with docs as (
+  select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
+hits as (
+  select row, 'email' as kind, 0 as rank,
+    regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') as m,
+    string_split_regex(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') as g from docs
+  union all
+  select row, 'ip', 1, regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+    string_split_regex(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') from docs
+  union all
+  select row, 'card', 2, regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+'),
+    string_split_regex(text, '[0-9]([\x20-]?[0-9])+') from docs
+  union all
+  select row, 'phone', 3, regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'),
+    string_split_regex(text, '\+[0-9][\x20().0-9-]+[0-9]') from docs),
+each as (
+  select row, kind, rank, i, m[i] as match, regexp_replace(m[i], '[^0-9]', '', 'g') as digits,
+    g[i] as gap, g[i + 1] as next
+  from (select *, unnest(range(1, len(m) + 1)) as i from hits where len(m) > 0)),
+placed as (
+  select *, (sum(length(gap) + length(match)) over (partition by row, kind order by i))::bigint
+    as stop
+  from each),
+base as (
+  select row, rank, kind, stop - length(match) as start, stop,
+    kind || ':' || case kind when 'email' then lower(match) when 'ip' then match else digits end
+      as entity,
+    case when length(gap) > 80 then regexp_replace(right(gap, 80), '^[^ \t\n\x0B\f\r]+', '')
+      else gap end as before,
+    case when length(next) > 80 then regexp_replace(left(next, 80), '[^ \t\n\x0B\f\r]+$', '')
+      else next end as after
+  from placed
+  where case kind when 'email' then true
+    when 'ip' then len(list_filter(string_split(match, '.'), lambda x: length(ltrim(x, '0')) > 3
+      or try_cast(ltrim('0' || x, '0') as integer) > 255)) = 0
+    when 'card' then length(digits) between 14 and 19 and list_sum(list_transform(
+      string_split(reverse(digits), ''), lambda x, j: case when j % 2 = 1 then x::integer
+        when x::integer > 4 then 2 * x::integer - 9 else 2 * x::integer end)) % 10 = 0
+    else length(digits) between 10 and 15 end),
+chunks as (
+  select *, string_split_regex(context, '[ \t\n\x0B\f\r]') as words
+  from (select row, entity, start - length(before) as origin, before as context from base
+        union all select row, entity, stop, after from base)),
+words as (
+  select row, entity, regexp_extract(words[i], '^(\p{L}+)[.,;:!?)]*$', 1) as word,
+    origin + coalesce(list_sum(list_transform(words[1:i - 1], lambda w: length(w) + 1)), 0)::bigint
+      as start
+  from (select *, unnest(range(1, len(words) + 1)) as i from chunks)),
+near as (
+  select row, entity, lower(word) as term, start, start + length(word) as stop
+  from words where word <> ''),
+met as (
+  select entity, token, count(distinct row) as met
+  from (select row, entity, unnest([term, left(term, 3) || '*']) as token from near)
+  group by all having count(distinct row) >= 3),
+stands as (
+  select row, lower(regexp_extract(chunk, '^(\p{L}+)[.,;:!?)]*$', 1)) as term
+  from (select row, unnest(string_split_regex(text, '[ \t\n\x0B\f\r]+')) as chunk from docs)),
+known as (
+  select token, count(distinct row) as documents
+  from (select row, unnest([term, left(term, 3) || '*']) as token from stands where term <> '')
+  group by token),
+telling as (
+  select entity, token from met join known using (token) where documents <= 2 * met),
+decided as (
+  select t.entity, t.token as term, c.token is not null as gone
+  from telling t left join telling c on c.entity = t.entity and c.token = left(t.token, 3) || '*'
+  where t.token not like '%*'),
+spans as (
+  select row, rank, kind, start, stop from base
+  union all
+  select row, case when bool_or(gone) then 5 else 4 end,
+    case when bool_or(gone) then 'removed' else 'generalised' end, start, stop
+  from near join decided using (entity, term) group by row, start, stop),
+lists as (
+  select row, count(*) filter (rank = 0) as n_email, count(*) filter (rank = 1) as n_ip,
+    count(*) filter (rank = 2) as n_card, count(*) filter (rank = 3) as n_phone,
+    string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank)
+      filter (rank < 4) as base,
+    string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) as spans
+  from spans group by row)
+select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip,
+  coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from docs left join lists using (row)""",
 }

@@ -13,13 +13,16 @@ COLUMNS = {
     "op4_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
     "op5_quality": ["doc_id", "quality", "kept"],
     "op6_simhash": ["doc_id", "fingerprint", "component_id"],
+    "op11_token_alignment": [
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256",
+    ],
     "op9_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
 }
 
 
 def test_each_operator_has_one_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == [*range(1, 11), 12]
+    assert numbers == list(range(1, 14))
     assert set(QUERIES) == set(ORACLE_SQL) | set(COLUMNS)
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
