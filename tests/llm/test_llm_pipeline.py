@@ -28,8 +28,8 @@ def check_stages(found):
 
     filters = langid.learn(raw.where(langid.in_training(raw["doc_id"])))
     rows = raw.collect()
-    names, score = filters.guess([r.text for r in rows])
-    kept = [r for r, n, s in zip(rows, names, score, strict=True) if n != "und" and s > 0]
+    names, _ = filters.guess([r.text for r in rows])
+    kept = [r for r, n in zip(rows, names, strict=True) if n != "und"]
     assert Counter(kept) == Counter(known.collect())
 
     best = {}
