@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,29 +79,49 @@ def lower_latin(unit: str) -> str:
     return unit.lower() if unit.isalpha() and max(unit) < "Ā" else unit
 
 
-def word_units(text: str) -> list[str]:
+def word_units(texts: pa.Array) -> pa.ListArray:
     """Words between spaces and line feeds; no token of a word tokenizer reaches across them."""
-    return text.replace("\n", " ").split(" ")
+    return pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+
+
+def joined_ids(units: pa.ListArray, kept: tokens.Kept) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts given by their units, each text's followed by the closing id, and where
+    each text's ids end.
+
+    Only different units are looked up; ids are then put together by number.
+    """
+    coded = units.flatten().dictionary_encode()
+    different = coded.dictionary.to_pylist()
+    known = kept.learn(set(different))
+    parts = [*map(known.__getitem__, different), np.array([END_ID], "<u4").tobytes()]
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    starts = np.cumsum(sizes) - sizes
+    last = np.cumsum(units.value_lengths().to_numpy())
+    order = np.insert(coded.indices.to_numpy(), last, len(different))
+    lengths = sizes[order]
+    ends = np.cumsum(lengths)
+    place = np.arange(ends[-1]) + np.repeat(starts[order] - ends + lengths, lengths)
+    return np.frombuffer(b"".join(parts), "<u4")[place], ends[last + np.arange(len(last))]
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of each document's ids and a closing id: only longer ones are cut."""
-    size = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = token_bytes(path)
-        end = np.array([END_ID], "<u4").tobytes()
+        kept = tokens.kept_by_worker(token_bytes, path)
         for rows in tokens.portions(batches, "text"):
-            units = [word_units(text or "") for text in rows.column("text").to_pylist()]
-            known = kept.learn(set().union(*units))
+            ids, ends = joined_ids(word_units(rows.column("text")), kept)
+            body = memoryview(ids).cast("B")
             columns = [[], array("i"), array("q"), array("q"), array("q")]
-            for doc_id, one in zip(rows.column("doc_id").to_pylist(), units, strict=True):
-                ids = b"".join(map(known.__getitem__, one)) + end
-                for piece, start in enumerate(range(0, len(ids), size)):
-                    body = ids[start:start + size]
-                    values = (doc_id, piece, start // 4, len(body) // 4, zlib.crc32(body))
+            begin = 0
+            for doc_id, end in zip(rows.column("doc_id").to_pylist(), ends.tolist(), strict=True):
+                for piece, start in enumerate(range(begin, end, capacity)):
+                    stop = min(start + capacity, end)
+                    crc = zlib.crc32(body[4 * start:4 * stop])
+                    values = (doc_id, piece, start - begin, stop - start, crc)
                     for column, value in zip(columns, values, strict=True):
                         column.append(value)
+                begin = end
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(columns, _arrow(PIECES), strict=True)],
                 schema=_arrow(PIECES),

@@ -1,15 +1,16 @@
 """Token counts and token ids of whole texts, by the tokenizers library.
 
 A text is cut at safe boundaries, where no token of the whole text can reach across; the units
-repeat a lot, so each task encodes a unit once and keeps a bounded number of results.  Units are
-encoded in batches of about equal bytes, and rows are taken in portions of about equal bytes, so
-neither many short nor a few very long texts make a large batch.
+repeat a lot, so a worker encodes a unit once and keeps results up to a number of bytes, also for
+its later tasks.  Units are encoded in batches of about equal bytes, and rows are taken in portions
+of about equal bytes, so neither many short nor a few very long texts make a large batch.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections import ChainMap
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -20,7 +21,9 @@ from tenderflow.llm.ship import ship_code
 
 PORTION_BYTES = 4 << 20  # of texts handled at once
 BATCH_BYTES = 256 << 10  # of units encoded at once
-KEPT_UNITS = 400_000  # results kept in each of two generations
+KEPT_BYTES = 120 << 20  # of results kept in each of two generations
+LONGEST_KEPT = 256  # characters; longer units are encoded each time
+OVERHEAD = 250  # bytes of a kept result beside its unit and value
 #: Without the apostrophe, which can open a pre-token that has letters.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 #: A lone space between two other characters opens a pre-token of its own.
@@ -62,30 +65,31 @@ def balanced(units: Iterable[str], most: int = BATCH_BYTES) -> Iterator[list[str
 
 
 class Kept:
-    """Results by unit; what was used lately stays, so the memory has a bound."""
+    """Results by unit; what was used lately stays, up to about ``most`` bytes twice.
 
-    def __init__(self, encode, join, canonical=lambda unit: unit, limit: int = KEPT_UNITS):
+    A unit with marks after its letters is made of two parts, each encoded once.
+    """
+
+    def __init__(self, encode, join, canonical=lambda unit: unit, most: int = KEPT_BYTES):
         self.encode, self.join, self.canonical = encode, join, canonical
-        self.limit, self.now, self.before = limit, {}, {}
+        self.most, self.size, self.now, self.before = most, 0, {}, {}
 
-    def _fill(self, units: set[str]) -> None:
-        missing = []
-        for unit in units.difference(self.now):
-            if unit in self.before:
-                self.now[unit] = self.before[unit]
-            else:
-                missing.append(unit)
-        for batch in balanced(missing):
-            self.now.update(zip(batch, self.encode(batch), strict=True))
+    def _keep(self, unit: str, value, into: dict) -> None:
+        if len(unit) > LONGEST_KEPT:
+            into[unit] = value
+        elif unit not in self.now:
+            self.now[unit] = value
+            self.size += OVERHEAD + 2 * len(unit) + (len(value) if isinstance(value, bytes) else 0)
 
     def learn(self, units: set[str]) -> dict:
         """Results by unit, with all of ``units`` among them."""
-        if len(self.now) > self.limit:
-            self.now, self.before = {}, self.now
-        split, whole = {}, set()
-        for unit in units.difference(self.now):
-            if unit in self.before:
-                self.now[unit] = self.before[unit]
+        if self.size > self.most:
+            self.now, self.before, self.size = {}, self.now, 0
+        now, before = self.now, self.before
+        passing, split, whole = {}, {}, set()
+        for unit in units.difference(now):
+            if unit in before:
+                self._keep(unit, before[unit], passing)
                 continue
             parts = [self.canonical(part) for part in word_and_mark(unit)]
             if parts == [unit]:
@@ -93,11 +97,29 @@ class Kept:
             else:
                 split[unit] = parts
                 whole.update(parts)
-        self._fill(whole)
-        now = self.now
+        missing = []
+        for unit in whole.difference(now):
+            if unit in before:
+                self._keep(unit, before[unit], passing)
+            else:
+                missing.append(unit)
+        for batch in balanced(missing):
+            for unit, value in zip(batch, self.encode(batch), strict=True):
+                self._keep(unit, value, passing)
+        known = ChainMap(passing, now) if passing else now
         for unit, parts in split.items():
-            now[unit] = self.join([now[part] for part in parts])
-        return now
+            self._keep(unit, self.join([known[part] for part in parts]), passing)
+        return now | passing if passing else now
+
+
+_of_worker: dict[tuple, Kept] = {}
+
+
+def kept_by_worker(make, path: str) -> Kept:
+    """What this worker keeps for a tokenizer, over all its tasks."""
+    if (make, path) not in _of_worker:
+        _of_worker[make, path] = make(path)
+    return _of_worker[make, path]
 
 
 def word_and_mark(unit: str) -> list[str]:
@@ -148,7 +170,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = counter(path)
+        kept = kept_by_worker(counter, path)
         for rows in portions(batches, "text"):
             texts = [text or "" for text in rows.column("text").to_pylist()]
             units = [byte_units(text) for text in texts]
