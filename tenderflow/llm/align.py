@@ -6,7 +6,7 @@ cut the two id lists into groups, and a group's tokens that end with it are link
 
 A text is first cut at safe boundaries, where no token of either tokenizer reaches across, so
 boundaries are common ends and a text's alignment is those of its units one after the other.  Units
-repeat a lot, so each task aligns one once and keeps a number of bytes of results.  Two linked
+repeat a lot, so a worker aligns one once and keeps a number of bytes of results.  Two linked
 tokens end together, so the shorter is a suffix of the longer: how many different links there can
 be follows from the vocabularies, whatever the corpus.
 """
@@ -14,10 +14,12 @@ be follows from the vocabularies, whatever the corpus.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from functools import lru_cache
+from itertools import accumulate, chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,12 @@ from tenderflow.llm.packing import byte_letters
 from tenderflow.llm.ship import ship_code
 from tenderflow.sources.staging import stage
 
-KEPT_BYTES = 64 << 20  # of results kept in each of two generations
+KEPT_BYTES = 160 << 20  # of results kept in each of two generations
 LONGEST_KEPT = 256  # characters; longer units are aligned each time
-OVERHEAD = 600  # bytes of a kept result beside its texts
+OVERHEAD = 350  # bytes of a kept result beside its texts
 MOST_SENT = 4 << 20  # different links that tasks are sent the counts of
 SPACE = "▁"
+MISSING = object()
 
 ALIGNED = (
     "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -69,9 +72,34 @@ class ByteTokenizer:
             for i in range(max(by_id) + 1)
         ]
 
-    @staticmethod
-    def encode(loaded, units: list[str]) -> list[list[int]]:
-        return [one.ids for one in loaded.encode_batch_fast(units, add_special_tokens=False)]
+    def encoder(self) -> Callable[[list[str]], list[list[int]]]:
+        """Ids of units.  Latin letters, with a space before them or not and marks after them or
+        not, go straight to the model, in the letters it writes bytes with: the pattern makes the
+        letters one pre-token and the marks another."""
+        loaded, letters = self.load(), byte_letters()
+        model = loaded.model
+
+        def direct(text: str) -> list[int]:
+            written = text.encode().decode("latin-1").translate(letters)
+            return [token.id for token in model.tokenize(written)]
+
+        marks = lru_cache(4096)(direct)
+
+        def encode(units: list[str]) -> list[list[int]]:
+            found, other = [], []
+            for unit in units:
+                head = unit.rstrip(tokens.PUNCTUATION)
+                word = head.removeprefix(" ")
+                if word.isalpha() and max(word) < "Ā":
+                    rest = unit[len(head):]
+                    found.append(direct(head) + marks(rest) if rest else direct(head))
+                else:
+                    found.append(None)
+                    other.append(unit)
+            encoded = iter(loaded.encode_batch_fast(other, add_special_tokens=False))
+            return [next(encoded).ids if ids is None else ids for ids in found]
+
+        return encode
 
 
 @dataclass(frozen=True)
@@ -97,13 +125,17 @@ class PieceTokenizer:
             for i, piece in enumerate(pieces)
         ]
 
-    @staticmethod
-    def encode(loaded, units: list[str]) -> list[list[int]]:
+    def encoder(self) -> Callable[[list[str]], list[list[int]]]:
         """The space the model adds is a unit's own first space; units that have none follow or
         are a line feed, and go after one that is taken off again."""
-        asked = [unit[1:] if unit[0] == " " else "\n" + unit for unit in units]
-        ids = loaded.encode(asked, num_threads=1)
-        return [one if unit[0] == " " else one[2:] for one, unit in zip(ids, units, strict=True)]
+        loaded = self.load()
+
+        def encode(units: list[str]) -> list[list[int]]:
+            asked = [unit[1:] if unit[0] == " " else "\n" + unit for unit in units]
+            ids = loaded.encode(asked, num_threads=1)
+            return [i if unit[0] == " " else i[2:] for i, unit in zip(ids, units, strict=True)]
+
+        return encode
 
 
 def units_of(text: str) -> list[str]:
@@ -113,77 +145,108 @@ def units_of(text: str) -> list[str]:
     return units
 
 
-def slices(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
+def slices(ends_a: Iterable[int], ends_b: Iterable[int]) -> list[tuple[int, int]]:
     """The numbers of A and B tokens up to and with each common end."""
-    index_a = {end: i for i, end in enumerate(ends_a, 1)}
-    index_b = {end: i for i, end in enumerate(ends_b, 1)}
+    index_a = dict(zip(ends_a, count(1), strict=False))
+    index_b = dict(zip(ends_b, count(1), strict=False))
     return [(index_a[end], index_b[end]) for end in sorted(index_a.keys() & index_b.keys())]
 
 
+def _ids(ids: list[int]) -> str:
+    return ",".join(map(str, ids))
+
+
 class Aligner:
-    """Alignments of units: (A ids, B ids, groups, their text, codes of links), or None if a
-    tokenizer's bytes are not the unit's.  What was used lately stays, up to ``most`` bytes."""
+    """Alignments of units: (number of A ids, of B ids, text of the groups, codes of links), or
+    None if a tokenizer's bytes are not the unit's.  What was used lately stays, up to about
+    ``most`` bytes twice."""
 
     def __init__(self, a: ByteTokenizer, b: PieceTokenizer, most: int = KEPT_BYTES):
-        self.a, self.b, self.most = a, b, most
-        self.loaded = a.load(), b.load()
+        self.encode_a, self.encode_b, self.most = a.encoder(), b.encoder(), most
         self.bytes_a, self.bytes_b = a.vocabulary(), b.vocabulary()
         self.now, self.before, self.size = {}, {}, 0
 
     def align(self, unit: str, ids_a: list[int], ids_b: list[int]):
-        parts_a = [self.bytes_a[i] for i in ids_a]
-        parts_b = [self.bytes_b[i] for i in ids_b]
+        parts_a = list(map(self.bytes_a.__getitem__, ids_a))
+        parts_b = list(map(self.bytes_b.__getitem__, ids_b))
         whole = unit.encode()
         if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
             return None
-        cuts = slices(list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b))))
-        texts, codes, i, j = [], [], 0, 0
+        n_a, n_b, base = len(ids_a), len(ids_b), len(self.bytes_b)
+        cuts = [(n_a, n_b)] if n_a == 1 or n_b == 1 else slices(
+            accumulate(map(len, parts_a)), accumulate(map(len, parts_b))
+        )
+        texts, codes, i, j = [], array("q"), 0, 0
         for to_a, to_b in cuts:
-            group_a, group_b = ids_a[i:to_a], ids_b[j:to_b]
-            texts.append(f"{','.join(map(str, group_a))}|{','.join(map(str, group_b))}")
+            texts.append(f"{_ids(ids_a[i:to_a])}|{_ids(ids_b[j:to_b])}")
             # no token is empty, so only the last ones end with the group
-            codes.append(group_a[-1] * len(self.bytes_b) + group_b[-1])
+            codes.append(ids_a[to_a - 1] * base + ids_b[to_b - 1])
             i, j = to_a, to_b
-        packed = np.array(codes, np.int64).tobytes()
-        return len(ids_a), len(ids_b), len(cuts), ";".join(texts), packed
+        return n_a, n_b, ";".join(texts), codes.tobytes()
 
-    def learn(self, units: set[str]) -> dict:
-        """Alignments by unit, with all of ``units`` among them."""
+    def learn(self, units: list[str]) -> list:
+        """The alignments of different ``units``."""
         if self.size > self.most:
             self.now, self.before, self.size = {}, self.now, 0
-        passing, missing = {}, []
-        for unit in units.difference(self.now):
-            if unit in self.before:
-                self._keep(unit, self.before[unit])
-            else:
-                missing.append(unit)
-        for batch in tokens.balanced(missing):
-            ids_a = self.a.encode(self.loaded[0], batch)
-            ids_b = self.b.encode(self.loaded[1], batch)
-            for unit, of_a, of_b in zip(batch, ids_a, ids_b, strict=True):
-                found = self.align(unit, of_a, of_b)
-                if len(unit) > LONGEST_KEPT:
-                    passing[unit] = found
+        found, missing = list(map(self.now.get, units, repeat(MISSING))), []
+        for i, unit in enumerate(units):
+            if found[i] is MISSING:
+                found[i] = self.before.get(unit, MISSING)
+                if found[i] is MISSING:
+                    missing.append(i)
                 else:
-                    self._keep(unit, found)
-        return self.now | passing if passing else self.now
+                    self._keep(unit, found[i])
+        at = 0
+        for batch in tokens.balanced(units[i] for i in missing):
+            encoded = zip(batch, self.encode_a(batch), self.encode_b(batch), strict=True)
+            for unit, ids_a, ids_b in encoded:
+                found[missing[at]] = one = self.align(unit, ids_a, ids_b)
+                self._keep(unit, one)
+                at += 1
+        return found
 
     def _keep(self, unit: str, found) -> None:
-        self.now[unit] = found
-        self.size += OVERHEAD + 4 * len(unit) + (len(found[3]) + len(found[4]) if found else 0)
-
-
-def _document(units: list[str], known: dict) -> tuple:
-    """Numbers, hash and text of groups, and links of one text by its units' alignments."""
-    found = list(map(known.__getitem__, units))
-    if not found or None in found:
-        return 0, 0, 0, 0, "", "", [], []
-    n_a, n_b, n_groups, texts, packed = zip(*found, strict=True)
-    text = ";".join(texts)
-    links = np.frombuffer(b"".join(packed), np.int64)
-    codes, times = np.unique(links, return_counts=True)
-    told = hashlib.sha256(text.encode()).hexdigest()
-    return sum(n_a), sum(n_b), sum(n_groups), len(links), told, text, codes, times
+        if len(unit) <= LONGEST_KEPT:
+            self.now[unit] = found
+            self.size += OVERHEAD + 2 * len(unit) + (len(found[2]) + len(found[3]) if found else 0)
+
+
+#: of the worker, over all its tasks
+_aligners: dict[tuple[ByteTokenizer, PieceTokenizer], Aligner] = {}
+
+
+def documents(texts: list[str | None], aligner: Aligner, groups: bool) -> list[list]:
+    """Columns of ``ALIGNED`` but the first, by text: what its units have, one after the other."""
+    units = [units_of(text) if text else [] for text in texts]
+    sizes = list(map(len, units))
+    coded = pa.array(list(chain.from_iterable(units)), pa.string()).dictionary_encode()
+    found = aligner.learn(coded.dictionary.to_pylist())
+    wrong = np.array([one is None for one in found], bool)
+    known = [one or (0, 0, "", b"") for one in found]
+    n_a = np.array([one[0] for one in known], np.int64)
+    n_b = np.array([one[1] for one in known], np.int64)
+    told, packed = [one[2] for one in known], [one[3] for one in known]
+    codes = coded.indices.to_numpy()
+    columns = [[] for _ in range(8)]
+    start = 0
+    for size in sizes:
+        own = codes[start:start + size]
+        start += size
+        if not size or wrong[own].any():
+            row = (0, 0, 0, 0, "", "", [], [])
+        else:
+            numbers = own.tolist()
+            text = ";".join(map(told.__getitem__, numbers))
+            links = np.frombuffer(b"".join(map(packed.__getitem__, numbers)), np.int64)
+            different, times = np.unique(links, return_counts=True)
+            # one link ends each group
+            row = (int(n_a[own].sum()), int(n_b[own].sum()), len(links), len(links),
+                   hashlib.sha256(text.encode()).hexdigest(), text, different, times)
+        for column, value in zip(columns, row, strict=True):
+            column.append(value)
+    if not groups:
+        columns[5] = [None] * len(texts)
+    return columns
 
 
 def align(docs: DataFrame, a: ByteTokenizer, b: PieceTokenizer, groups: bool = False) -> DataFrame:
@@ -191,17 +254,14 @@ def align(docs: DataFrame, a: ByteTokenizer, b: PieceTokenizer, groups: bool = F
     often it has each; ``groups`` asks for the groups' text as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(a, b)
-        kinds = [*[pa.int64()] * 5, pa.string(), pa.string(), pa.list_(pa.int64()),
+        if (a, b) not in _aligners:
+            _aligners[a, b] = Aligner(a, b)
+        kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.list_(pa.int64()),
                  pa.list_(pa.int32())]
         names = [part.split()[0] for part in ALIGNED.split(", ")]
         for rows in tokens.portions(batches, "text"):
-            units = [units_of(t) if t else [] for t in rows.column("text").to_pylist()]
-            known = aligner.learn(set().union(*units))
-            columns = list(zip(*[_document(one, known) for one in units], strict=True))
-            if not groups:
-                columns[5] = [None] * len(units)
-            made = [pa.array(c, k) for c, k in zip(columns, kinds[1:], strict=True)]
+            columns = documents(rows.column("text").to_pylist(), _aligners[a, b], groups)
+            made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *made], names=names)
 
     ship_code(docs.sparkSession)
