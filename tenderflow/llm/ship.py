@@ -10,7 +10,8 @@ from pyspark.sql import SparkSession
 
 import tenderflow
 
-_sent: set[str] = set()
+#: by application the folder its tasks fetch the code from, which goes when the driver ends
+_sent: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def ship_code(spark: SparkSession) -> None:
@@ -19,6 +20,7 @@ def ship_code(spark: SparkSession) -> None:
     if context.applicationId in _sent:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(tenderflow.__file__)))
-    packed = os.path.join(tempfile.mkdtemp(prefix="run-"), "tenderflow")
+    folder = tempfile.TemporaryDirectory(prefix="run-")
+    packed = os.path.join(folder.name, "tenderflow")
     context.addPyFile(shutil.make_archive(packed, "zip", root, "tenderflow"))
-    _sent.add(context.applicationId)
+    _sent[context.applicationId] = folder

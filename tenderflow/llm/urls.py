@@ -1,7 +1,7 @@
 """URL rules by a cascade of Bloom filters.
 
-All keys a corpus can be asked about are known: its hosts with their parent domains, joined with
-the path prefixes of the lengths that rules have.  The first filter of a cascade holds the listed
+All keys a corpus can be asked about are known: its hosts with their parent domains, of as many
+labels as rules have, joined with the path prefixes of the lengths that rules have.  The first filter of a cascade holds the listed
 keys, the next those other keys of the corpus that pass it by mistake, the next those listed keys
 that pass that one, and so on until none pass by mistake.  The first filter that a key fails then
 says whether it is listed, exactly for every key of the corpus, and rows are judged without a join.
@@ -42,13 +42,14 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, PARTS, 2), F.lit(""))
 
 
-def keys(lengths: list[int]) -> Column:
-    """The rules that could fit a row's ``host`` and ``path``, longest first."""
-    labels = F.split("host", r"\.")
-    count = F.size(labels)
+def keys(lengths: list[int], labels: int) -> Column:
+    """The rules that could fit a row's ``host`` and ``path``, longest first: rules have paths of
+    these ``lengths`` and hosts of at most so many ``labels``."""
+    own = F.substring_index("host", ".", -labels)
+    parts = F.split(own, r"\.")
     domains = F.transform(
-        F.sequence(F.lit(1), count),
-        lambda i: F.array_join(F.slice(labels, i, count), "."),
+        F.sequence(F.lit(1), F.size(parts)),
+        lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."),
     )
     prefixes = F.array_compact(F.array(*[
         F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths
@@ -197,13 +198,15 @@ def judge(
     ``rules`` (host, path, action) fit their host and its subdomains where the url's path starts
     with the rule's; the longest wins, block before allow if a rule is in both lists.  ``rule`` is
     its host and path, null if none fits, and then the verdict is ``default``.  A null url or one
-    without ``://`` has an empty host and path.  Repeated rows each give a row; no rules fit
+    without ``://`` has an empty host and path.  A long host or path has no more keys than a short
+    one.  Repeated rows each give a row; no rules fit
     nothing; columns named like the results are replaced.
     """
     sizes = rules.select(F.length("path").alias("n")).where("n is not null").distinct().collect()
+    labels = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0]
     listed = rules.select(F.concat("host", "path").alias("key"), "action")
     split = urls.withColumns({"host": host(urls["url"]), "path": path(urls["url"])})
-    ours = keys([row.n for row in sizes] or [0])
+    ours = keys([row.n for row in sizes] or [0], max(1, labels or 1))
     universe = stage(
         split.select("host", "path").distinct().select(F.explode(ours).alias("key")).distinct(),
         "universe",

@@ -31,6 +31,7 @@ from tenderflow.sources.staging import stage, staging_folder
 
 ARCHIVE_BYTES = 64 << 20  # of records in one file
 CHUNK = 1 << 20
+TASKS_PER_CORE = 4  # that read archive files
 LEAST_REVISITED = 100
 DATE = "1970-01-01T00:00:00Z"  # the tables have no date
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -313,9 +314,10 @@ def _row(record: Record) -> dict:
 
 
 def _spread(files: DataFrame) -> DataFrame:
-    """A file to a task."""
+    """Few files to a task, in no more tasks than a few for each core, however many files."""
     ship_code(files.sparkSession)
-    return files.repartition(max(1, files.count()))
+    most = TASKS_PER_CORE * files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(max(1, min(files.count(), most)))
 
 
 def write_archives(pages: DataFrame, most: int = ARCHIVE_BYTES) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import corpus
 import pytest
@@ -62,6 +63,20 @@ def test_long_lists_need_more_levels_and_stay_exact(spark):
         assert (row.rule, row.verdict) == plain(row.url, known)[2:]
 
 
+@pytest.mark.parametrize("most_bytes", [urls.MOST_BYTES, 0])
+def test_long_hosts_and_paths(spark, most_bytes):
+    """A megabyte of labels is judged like a short host."""
+    long = "a." * 500_000
+    found = [f"http://{long}net/es/1", f"http://{long}www.example.com/en/{'x/' * 500_000}",
+             f"http://{long}org/es/", "http://" + "b" * 1_000_000, f"http://{long}", "http://net/fr/"]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(found)], "page_id long, url string")
+    started = time.time()
+    judged = urls.judge(frame, spark.createDataFrame(URL_RULES, RULES), most_bytes=most_bytes)
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judged.collect()}
+    assert time.time() - started < 60
+    assert got == {i: plain(u, URL_RULES) for i, u in enumerate(found)}
+
+
 def test_no_rows_no_rules(spark):
     rules = spark.createDataFrame(URL_RULES, RULES)
     assert urls.judge(corpus.empty(spark, URL_SCHEMA), rules).count() == 0
