@@ -193,9 +193,9 @@ _SAME_TRANSACTION = """(
 
 def _matched(t, strict: bool):
     controls = t["tsn_tndr_control_trans"].select(*TXN_KEY)
-    counts = over_short.known_counts(t, controls)
+    own = over_short.own_counts(t, None, strict)
     return (
-        over_short.matched_counts(controls, counts, counts, strict)
+        over_short.matched_counts(controls, own, over_short.media_counts(t, controls, strict))
         .groupBy("rtl_loc_id", "tndr_id")
         .agg(
             F.sum("matches").alias("matches"),

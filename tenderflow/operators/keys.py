@@ -17,18 +17,19 @@ from tenderflow.sources.tables import created_of
 def asked(tables: Mapping[str, DataFrame], name: str, params: ReportParams) -> DataFrame:
     """Rows of a table with a creation time that belong to the run.
 
-    Where the table's ranges of creation times are stored, only partitions of dates that can
-    have such rows are read; Spark finds them when the query runs.
+    Where the creation times of the table's files are noted, only partitions of dates that can
+    have such rows are read, and those with files nobody has noted.
     """
     rows = tables[name]
     ranges = tables.get(created_of(name))
     if ranges is not None:
         first = F.lit(params.window.start).cast("timestamp")
         after = F.lit(params.window.end + timedelta(days=1)).cast("timestamp")
-        dates = ranges.filter((F.col("last") >= first) & (F.col("first") < after))
+        # a file without known times may have any
+        latest, earliest = F.coalesce("last", first), F.coalesce("first", first)
+        dates = ranges.filter((latest >= first) & (earliest < after))
         undated = rows.filter(F.col("business_date").isNull())
-        rows = rows.join(dates, "business_date", "left_semi").select(*rows.columns)
-        rows = rows.unionByName(undated)
+        rows = on_dates(rows, business_dates(dates)).unionByName(undated)
     return rows.filter(asked_rows(params))
 
 

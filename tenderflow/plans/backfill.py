@@ -17,7 +17,7 @@ from tenderflow.plans.ach import COLUMNS as ACH_COLUMNS
 from tenderflow.plans.ach import daily_checks
 from tenderflow.plans.change_fund import change_fund
 from tenderflow.plans.kiosk import kiosk_reconcile
-from tenderflow.plans.tenders import Tables
+from tenderflow.plans.shared import Tables
 from tenderflow.plans.till_variance import COLUMNS as TILL_COLUMNS
 from tenderflow.plans.till_variance import variances
 from tenderflow.plans.treasury import smartsafe_rows, treasury_rows

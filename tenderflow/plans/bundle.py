@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from datetime import date
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderflow.params import ReportParams
-from tenderflow.plans.registry import STATEMENTS, statements_of
-from tenderflow.plans.tenders import Tables
+from tenderflow.plans.registry import STATEMENTS, Report, statements_of
+from tenderflow.plans.shared import Shared, Tables
 from tenderflow.sinks import output_path, write_report
 
 STATUS = (
@@ -37,24 +40,37 @@ def run_bundle(
     root: str,
     fmt: str = "csv",
     params: ReportParams | None = None,
+    at_once: int = 4,
 ) -> DataFrame:
-    """Write each report of a period under ``root``; a failure is noted and the rest go on."""
-    status = []
+    """Write each report of a period under ``root``; a failure is noted and the rest go on.
+
+    Reports share what several of them need, and run ``at_once`` at a time, each in a scheduler
+    pool with its name (which takes effect in fair scheduling).  The status keeps their order.
+    """
     wanted = statements_of(period)
     paths = output_paths(spark, [report.name for report in wanted], as_of, period)
-    for report in wanted:
+    shared = Shared(tables)
+
+    def run(report: Report) -> tuple:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", report.name)
         window = report.window(as_of)
         asked = replace(params, window=window) if params else ReportParams(window)
         path = paths[report.name]
         try:
             rows = write_report(
-                report.build(tables, asked), f"{root}/{path}", fmt, report.placeholder
+                report.build(shared, asked), f"{root}/{path}", fmt, report.placeholder
             )
             outcome = (rows, True, "written")
         except Exception as problem:  # noqa: BLE001 - any failure of one report
             text = str(problem).strip() or type(problem).__name__
             outcome = (None, False, text.splitlines()[0])
-        status.append((report.name, path, window.start, window.end, *outcome))
+        return (report.name, path, window.start, window.end, *outcome)
+
+    # a thread's jobs keep the group and other properties of the caller
+    inherit = inheritable_thread_target(spark)
+    inheriting = [inherit(partial(run, report)) for report in wanted]
+    with ThreadPoolExecutor(max(1, at_once)) as threads:
+        status = list(threads.map(lambda one: one(), inheriting))
     return spark.createDataFrame(status, STATUS)
 
 

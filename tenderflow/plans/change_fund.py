@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -18,25 +17,36 @@ from tenderflow.operators import (
     ordered_listing,
 )
 from tenderflow.params import ReportParams
+from tenderflow.plans.shared import Tables, once
 from tenderflow.schemas import TXN_KEY
 
 
 def control_transactions(
-    tables: Mapping[str, DataFrame], params: ReportParams, statuses: list[str]
+    tables: Tables, params: ReportParams, statuses: list[str]
 ) -> tuple[DataFrame, list[date]]:
     """The asked-for control transactions of eligible stores, and the business dates they have."""
     codes = params.codes
-    controls = asked(tables, "trn_trans", params).filter(
-        (F.col("trans_typcode") == codes.control_transaction)
-        & F.col("trans_statcode").isin(*statuses)
+
+    def build() -> DataFrame:
+        return asked(tables, "trn_trans", params).filter(
+            F.col("trans_typcode") == codes.control_transaction
+        ).select(*TXN_KEY, "create_date", "trans_statcode")
+
+    controls = once(tables, "control_transactions", params, build).filter(
+        F.col("trans_statcode").isin(*statuses)
     )
-    transactions = by_eligibility(
-        controls.select(*TXN_KEY, "create_date"), eligible_stores(tables, codes), True, codes
+    transactions = by_eligibility(controls, known_stores(tables, params), True, codes)
+    return transactions.drop("trans_statcode"), business_dates(controls)
+
+
+def known_stores(tables: Tables, params: ReportParams) -> DataFrame:
+    """The eligible stores, found once in a run."""
+    return once(
+        tables, "eligible_stores", params.codes, lambda: eligible_stores(tables, params.codes)
     )
-    return transactions, business_dates(controls)
 
 
-def change_fund(tables: Mapping[str, DataFrame], params: ReportParams) -> DataFrame:
+def change_fund(tables: Tables, params: ReportParams) -> DataFrame:
     codes = params.codes
     transactions, dates = control_transactions(tables, params, [codes.complete])
     adjustments = on_dates(tables["tsn_tndr_control_trans"], dates).filter(

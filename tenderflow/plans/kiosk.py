@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +9,11 @@ from tenderflow.functions import iso_day_text
 from tenderflow.operators import on_dates, property_summary
 from tenderflow.params import ReportParams
 from tenderflow.plans.change_fund import control_transactions
+from tenderflow.plans.shared import Tables
 from tenderflow.schemas import TOTAL, TXN_KEY
 
 
-def kiosk_reconcile(tables: Mapping[str, DataFrame], params: ReportParams) -> DataFrame:
+def kiosk_reconcile(tables: Tables, params: ReportParams) -> DataFrame:
     codes = params.codes
     transactions, dates = control_transactions(tables, params, [codes.new, codes.complete])
     counts = on_dates(tables["tsn_tndr_control_trans"], dates).filter(

@@ -4,7 +4,8 @@ A count row belongs to an end count in one of two ways.  Counts with media belon
 end count with their sequence, in whatever store or organization and on whatever date; counts
 without media only to their own transaction, if they differ.  The media flag splits the count
 rows, so the two ways never give the same pair and each is one equality join.  Counts are
-added up per sequence before they meet the end counts, so no pair is formed.
+added up per sequence before they meet the end counts, so no pair is formed; sums of each date
+can be stored with the data and are added up when read.
 With ``strict_keys`` every count belongs to its own transaction only.
 """
 
@@ -12,16 +13,20 @@ from __future__ import annotations
 
 from datetime import date
 
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderflow.functions import code_like, day_text
 from tenderflow.operators import asked, on_dates, ordered_listing
 from tenderflow.params import ReportParams
-from tenderflow.plans.tenders import Tables, keyed_listing
+from tenderflow.plans.shared import Tables
+from tenderflow.plans.tenders import keyed_listing
 from tenderflow.schemas import TOTAL, TXN_KEY
+from tenderflow.sources.coverage import MEDIA
 
 EXACT = "decimal(18,6)"
+SUM = "decimal(28,6)"
 
 
 def asked_ends(tables: Tables, params: ReportParams) -> DataFrame:
@@ -38,40 +43,52 @@ def of_sessions(tables: Tables, ends: DataFrame) -> DataFrame:
     return ends.join(sessions, ["organization_id", "rtl_loc_id", "outbound_session_id"])
 
 
-def known_counts(tables: Tables, ends: DataFrame) -> DataFrame:
-    """Count rows with a sequence of ``ends``, of tenders their organization has.
-
-    Counts of any date can match, so all are read; those of other sequences go at once.
-    """
-    asked = ends.select("trans_seq").distinct()
-    counts = tables["tsn_tndr_tndr_count"].join(asked, "trans_seq", "left_semi").select(
+def own_counts(tables: Tables, dates: list[date] | None, strict: bool) -> DataFrame:
+    """Count rows that belong to their own transaction only, on some dates or on all."""
+    rows = tables["tsn_tndr_tndr_count"]
+    counts = (rows if dates is None else on_dates(rows, dates)).select(
         *TXN_KEY, "tndr_id", F.col("difference_amt").cast(EXACT).alias("difference"),
         (F.coalesce("media_count", F.lit(0)) != 0).alias("has_media"),
     )
-    tenders = tables["tnd_tndr"].select("organization_id", "tndr_id")
-    return counts.join(tenders, ["organization_id", "tndr_id"])
+    differs, has_media = F.col("difference") != 0, F.col("has_media")
+    wanted = differs | has_media if strict else differs & ~has_media
+    return _of_known_tenders(tables, counts.filter(wanted).drop("has_media"))
+
 
+def media_counts(tables: Tables, ends: DataFrame, strict: bool) -> DataFrame:
+    """Different counts with media, and their number ``n``, for each sequence of ``ends``.
 
-def own_counts(counts: DataFrame, strict: bool) -> DataFrame:
-    differs = F.col("difference") != 0
-    if strict:
-        return counts.filter(differs | F.col("has_media"))
-    return counts.filter(differs & ~F.col("has_media"))
+    Counts of any date can match.  They are added up by date where that is stored, and here
+    otherwise; those of other sequences go at once.
+    """
+    sums = tables.get(MEDIA.name)
+    if sums is None:
+        sums = MEDIA.build(tables[MEDIA.source])
+    asked = ends.select("trans_seq").distinct()
+    counts = sums.filter(F.lit(not strict)).join(asked, "trans_seq", "left_semi").select(
+        "organization_id", "trans_seq", "tndr_id", F.col("difference_amt").alias("difference"), "n"
+    )
+    return _of_known_tenders(tables, counts)
 
 
-def media_counts(counts: DataFrame, strict: bool) -> DataFrame:
-    return counts.filter(F.lit(not strict) & F.col("has_media"))
+def _of_known_tenders(tables: Tables, counts: DataFrame) -> DataFrame:
+    """Rows of tenders their organization has, as often as it has them."""
+    tenders = tables["tnd_tndr"].select("organization_id", "tndr_id")
+    return counts.join(tenders, ["organization_id", "tndr_id"])
 
 
-def matched_counts(ends: DataFrame, counts: DataFrame, own: DataFrame, strict: bool) -> DataFrame:
+def matched_counts(ends: DataFrame, own: DataFrame, media: DataFrame) -> DataFrame:
     """Per end count and tender: matched count rows and the sum of their differences.
 
-    ``own`` are the rows of ``counts`` that may share a transaction with ``ends``.  An end
-    count can get two rows of a tender, one for either way of matching.
+    An end count can get two rows of a tender, one for either way of matching.
     """
-    totals = [F.count("*").alias("matches"), F.sum("difference").alias("difference")]
-    by_key = own_counts(own, strict).groupBy(*TXN_KEY, "tndr_id").agg(*totals)
-    by_sequence = media_counts(counts, strict).groupBy("trans_seq", "tndr_id").agg(*totals)
+    by_key = own.groupBy(*TXN_KEY, "tndr_id").agg(
+        F.count("*").alias("matches"), F.sum("difference").cast(SUM).alias("difference")
+    )
+    by_sequence = media.groupBy("trans_seq", "tndr_id").agg(
+        F.sum("n").alias("matches"),
+        F.sum((F.col("difference") * F.col("n")).cast(SUM)).cast(SUM).alias("difference"),
+    )
     columns = [*ends.columns, "tndr_id", "matches", "difference"]
     return ends.join(by_key, TXN_KEY).select(*columns).unionByName(
         ends.join(by_sequence, "trans_seq").select(*columns)
@@ -82,10 +99,10 @@ def count_differences(
     tables: Tables, params: ReportParams, ends: DataFrame, dates: list[date]
 ) -> DataFrame:
     """Differences by tender, moment, store and user, as plain treasury rows."""
-    counts = known_counts(tables, ends)
+    strict = params.strict_keys
     matched = matched_counts(
-        ends.select(*TXN_KEY, "create_date", "create_user_id"), counts,
-        on_dates(counts, dates), params.strict_keys,
+        ends.select(*TXN_KEY, "create_date", "create_user_id"),
+        own_counts(tables, dates, strict), media_counts(tables, ends, strict),
     )
     return _rows(matched, F.lit(None).cast("string"), params)
 
@@ -105,7 +122,7 @@ def safe_differences(
     codes = params.codes
     end = [*TXN_KEY, "create_date", "create_user_id"]
     identities = ends.select(*end).distinct()
-    counts = known_counts(tables, ends).filter(F.col("difference").isNotNull())
+    known = F.col("difference").isNotNull()
 
     properties = on_dates(tables["trn_trans_p"], dates)
     at_kiosk = properties.filter(F.col("string_value") == codes.kiosk_marker).select(*TXN_KEY)
@@ -121,7 +138,7 @@ def safe_differences(
         )
         .filter(F.col("difference").isNotNull())
     )
-    own = own_counts(on_dates(counts, dates), params.strict_keys)
+    own = own_counts(tables, dates, params.strict_keys).filter(known)
     singles = (
         identities.join(own.select(*TXN_KEY, "tndr_id", "difference"), TXN_KEY)
         .select(*end, "tndr_id", "difference")
@@ -129,7 +146,7 @@ def safe_differences(
         .distinct()
     )
     shared = (
-        media_counts(counts, params.strict_keys)
+        media_counts(tables, ends, params.strict_keys).filter(known)
         .select("trans_seq", "tndr_id", "difference")
         .distinct()
     )

@@ -12,7 +12,7 @@ from tenderflow.params import ReportParams, Window, ach_window, daily_window, ti
 from tenderflow.plans.ach import ach_checks
 from tenderflow.plans.change_fund import change_fund
 from tenderflow.plans.kiosk import kiosk_reconcile
-from tenderflow.plans.tenders import Tables
+from tenderflow.plans.shared import Tables
 from tenderflow.plans.till_variance import till_variance
 from tenderflow.plans.treasury import smartsafe_treasury, treasury
 from tenderflow.sinks import DAILY, WEEKLY

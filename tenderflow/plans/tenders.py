@@ -7,7 +7,7 @@ multiplied by a count, and rows are only repeated where a bag id is part of the
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -34,7 +34,9 @@ from tenderflow.operators import (
     surplus_over,
 )
 from tenderflow.params import ReportParams
+from tenderflow.plans.shared import Tables, once
 from tenderflow.schemas import LINE_KEY, STORE_TXN_KEY, TOTAL, TXN_KEY
+from tenderflow.sources.coverage import SEQUENCE_LINE, posted_index
 
 #: how a bag relates to a payment: to its whole session, or to its very transaction
 SESSION, TRANSACTION = "session", "transaction"
@@ -43,7 +45,6 @@ BAG_KEY = ["rtl_loc_id", "business_date", "wkstn_id", "session_id", "bag_scope",
 #: what a payment row carries until its deposit reference is attached
 LABELS = ["trans_date", "payment_type", "is_deposit", "create_user_id"]
 
-Tables = Mapping[str, DataFrame]
 #: adds ``deposit_ref`` to payment rows and multiplies ``amount`` where that hides several
 Attach = Callable[[DataFrame], DataFrame]
 
@@ -89,6 +90,10 @@ def sale_traits(tables: Tables, params: ReportParams, dates: list[date]) -> Data
     One column for all of them keeps the aggregate the same wherever it is used, so that
     Spark computes and shuffles it once per report.
     """
+    return once(tables, "traits", params, lambda: _traits(tables, params, dates))
+
+
+def _traits(tables: Tables, params: ReportParams, dates: list[date]) -> DataFrame:
     codes = params.codes
     item, scanned = F.col("item_id"), F.col("scanned_item_id")
     bits = {
@@ -208,16 +213,18 @@ def biller_payments(
     )
 
 
-#: a line of a store's sequence, on any date and workstation
-SEQUENCE_LINE = ["organization_id", "rtl_loc_id", "trans_seq", "rtrans_lineitm_seq"]
-
-
 def posted_elsewhere(tables: Tables, params: ReportParams, lines: DataFrame) -> DataFrame:
-    """Amounts posted on any date for a store, sequence and line that ``lines`` has."""
+    """Amounts posted on any date for a store, sequence and line that ``lines`` has.
+
+    They come from the index of posted amounts where one is stored for the run's codes, and else
+    from all line properties.
+    """
+    derived = posted_index(params.codes)
+    posted = tables.get(derived.name)
+    if posted is None:
+        posted = derived.build(tables[derived.source])
     return (
-        tables["trl_rtrans_lineitm_p"]
-        .filter(F.col("property_code") == params.codes.posted_amount)
-        .filter(F.col("organization_id") == params.organization_id)
+        posted.filter(F.col("organization_id") == params.organization_id)
         .select(*SEQUENCE_LINE, "wkstn_id", "decimal_value")
         .join(lines.select(*SEQUENCE_LINE).distinct(), SEQUENCE_LINE, "left_semi")
     )

@@ -12,18 +12,18 @@ from pyspark.sql import functions as F
 from tenderflow.operators import (
     business_dates,
     by_eligibility,
-    eligible_stores,
     scalar_lookup,
 )
 from tenderflow.params import ReportParams
+from tenderflow.plans.change_fund import known_stores
 from tenderflow.plans.over_short import (
     asked_ends,
     count_differences,
     of_sessions,
     safe_differences,
 )
+from tenderflow.plans.shared import Shared, Tables, once, run_of
 from tenderflow.plans.tenders import (
-    Tables,
     asked_lines,
     bag_references,
     deposit_listings,
@@ -34,7 +34,6 @@ from tenderflow.plans.tenders import (
     with_listings,
     with_traits,
 )
-from tenderflow.sources.staging import stage
 
 ORDER = ["locationid", "department"]
 
@@ -49,13 +48,11 @@ def columns(reference: str) -> list[Column]:
 @dataclass(frozen=True)
 class Asked:
     """The driving rows of a run: typed tender lines, the amounts posted for them on any date,
-    and end counts of known sessions.
+    and end counts of known sessions; and the business dates these have.
 
-    Every branch starts from them several times, so they are written to the staging folder
-    once.  They are the run's days of two tables; all else is read for their business dates.
-
-    The treasury filters stores on its finished rows.  Every branch keeps rows of different
-    stores apart, so the filter runs here already.
+    Every branch starts from them several times, so they are stored once for all branches and all
+    statements of a run, and a statement takes its stores of them.  They are the run's days of two
+    tables; all else is read for their business dates.
     """
 
     lines: DataFrame
@@ -65,19 +62,27 @@ class Asked:
     end_dates: list[date]
 
     @classmethod
-    def of(cls, tables: Tables, params: ReportParams, safe: bool | None = None) -> Asked:
-        lines, ends = asked_lines(tables, params), asked_ends(tables, params)
+    def of(cls, tables: Shared, params: ReportParams, safe: bool | None = None) -> Asked:
+        def typed() -> DataFrame:
+            raw = asked_lines(tables, params)
+            dates = business_dates(raw)
+            return with_traits(tables, params, typed_lines(tables, params, raw, dates), dates)
+
+        lines = once(tables, "lines", params, typed)
+        posted = once(
+            tables, "posted", params, lambda: posted_elsewhere(tables, params, lines)
+        )
+        ends = once(
+            tables, "ends", params, lambda: of_sessions(tables, asked_ends(tables, params))
+        )
         line_dates, end_dates = business_dates(lines), business_dates(ends)
         if safe is not None:
-            eligible = eligible_stores(tables, params.codes)
+            # the treasury asks for the stores of its finished rows; every branch keeps rows of
+            # different stores apart, so the filter runs here already
+            eligible = known_stores(tables, params)
             lines = by_eligibility(lines, eligible, safe, params.codes)
             ends = by_eligibility(ends, eligible, safe, params.codes)
-        typed = typed_lines(tables, params, lines, line_dates)
-        stored = stage(with_traits(tables, params, typed, line_dates), "lines")
-        return cls(
-            stored, stage(posted_elsewhere(tables, params, stored), "posted"), line_dates,
-            stage(of_sessions(tables, ends), "ends"), end_dates,
-        )
+        return cls(lines, posted, line_dates, ends, end_dates)
 
 
 @dataclass(frozen=True)
@@ -99,6 +104,7 @@ def treasury_branches(
     tables: Tables, params: ReportParams, asked: Asked | None = None
 ) -> Branches:
     """Parts of the statement without safes; for all stores unless ``asked`` limits them."""
+    tables = run_of(tables)
     asked = asked or Asked.of(tables, params)
     dates = asked.line_dates
     attach = bag_references(tables, dates)
@@ -113,9 +119,12 @@ def treasury_branches(
 def smartsafe_branches(
     tables: Tables, params: ReportParams, asked: Asked | None = None
 ) -> Branches:
+    tables = run_of(tables)
     asked = asked or Asked.of(tables, params)
     dates = asked.line_dates
-    listings = stage(deposit_listings(tables, params, dates), "listings")
+    listings = once(
+        tables, "listings", params, lambda: deposit_listings(tables, params, dates)
+    )
     attach, store_texts = listing_references(listings)
     differences, texts = safe_differences(tables, params, asked.ends, asked.end_dates)
     payments = tender_payments(tables, params, asked.lines, asked.posted, dates, attach)
@@ -127,6 +136,7 @@ def treasury(tables: Tables, params: ReportParams) -> DataFrame:
 
 
 def treasury_rows(tables: Tables, params: ReportParams) -> DataFrame:
+    tables = run_of(tables)
     branches = treasury_branches(tables, params, Asked.of(tables, params, safe=False))
     return _merged(tables, branches, "bag_id")
 
@@ -136,6 +146,7 @@ def smartsafe_treasury(tables: Tables, params: ReportParams) -> DataFrame:
 
 
 def smartsafe_rows(tables: Tables, params: ReportParams) -> DataFrame:
+    tables = run_of(tables)
     branches = smartsafe_branches(tables, params, Asked.of(tables, params, safe=True))
     return _merged(tables, branches, "deposits")
 

@@ -10,14 +10,25 @@ from literal import DAY
 from pyspark.sql import functions as F
 
 from tenderflow.params import ReportParams, Window
+from tenderflow.plans import bundle, shared
 from tenderflow.plans.ach import ach_checks
 from tenderflow.plans.backfill import backfill
 from tenderflow.plans.change_fund import change_fund
 from tenderflow.plans.kiosk import kiosk_reconcile
+from tenderflow.plans.tenders import posted_elsewhere
 from tenderflow.plans.till_variance import till_variance
 from tenderflow.plans.treasury import smartsafe_treasury, treasury
-from tenderflow.schemas import DATED_TABLES
-from tenderflow.sources import load_tables, parquet_reader, write_tables
+from tenderflow.schemas import DATED_TABLES, TABLES
+from tenderflow.sinks import write_report
+from tenderflow.sources import (
+    append_rows,
+    coverage,
+    load_tables,
+    parquet_reader,
+    refresh,
+    stage,
+    write_tables,
+)
 from tenderflow.sources.tables import CREATED_TABLES, created_of
 
 PARAMS = ReportParams(Window.day(DAY))
@@ -72,28 +83,131 @@ def spoil(root, names):
         for path in glob.glob(f"{root}/{name}/business_date=*/part-*"):
             if not any(date_ in path for date_ in kept):
                 os.remove(os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.crc"))
+                size = os.path.getsize(path)
                 with open(path, "wb") as file:
-                    file.write(b"not a table")
+                    file.write(b"x" * size)  # the file as noted, by its name and size
 
 
 def test_a_day_does_not_read_other_dates(spark, small, tmp_path):
+    """Not even of the tables that match on any date: their derived tables stand for them."""
     root = str(tmp_path)
     write_tables(small, root)
     asked = ReportParams(Window.day(DAY))
-    single = {"change_fund": change_fund, "kiosk": kiosk_reconcile, "till": till_variance}
-    statements = {**single, "treasury": treasury, "smartsafe": smartsafe_treasury}
-    # the treasury asks these for all dates: posted amounts and media counts of any day
-    undated = {"trl_rtrans_lineitm_p", "tsn_tndr_tndr_count"}
+    statements = {name: report for name, report in STATEMENTS.items() if name != "ach"}
     want = {name: report(small, asked).count() for name, report in statements.items()}
-    spoil(root, set(DATED_TABLES) - undated)
+    spoil(root, DATED_TABLES)
     spoiled = load_tables(parquet_reader(spark, root))
     with pytest.raises(Exception):
         spoiled["trl_sale_lineitm"].agg(F.max("item_id")).collect()
     for name, report in statements.items():
         assert report(spoiled, asked).count() == want[name]
-    spoil(root, undated)
-    for name, report in single.items():
-        assert report(load_tables(parquet_reader(spark, root)), asked).count() == want[name]
+
+
+def sorted_rows(df):
+    return sorted(map(str, df.collect()))
+
+
+LATER = f"(business_date = date '{DAY}' or trans_seq % 3 = 0)"
+
+
+@pytest.fixture(scope="module")
+def grown(spark, small, tmp_path_factory):
+    """Tables with a new date and late rows of old dates, which came after all was noted."""
+    root = str(tmp_path_factory.mktemp("grown"))
+    dated = [name for name in small if name in DATED_TABLES]
+    write_tables(
+        {name: small[name].filter(f"not {LATER}") if name in dated else small[name] for name in small}, root
+    )
+    for name in dated:
+        append_rows(small[name].filter(LATER), root, name)
+    return root
+
+
+@pytest.mark.parametrize("name", sorted(STATEMENTS))
+def test_files_that_nobody_noted_are_read(spark, small, grown, name):
+    whole = {one: small[one] for one in TABLES}  # without ranges and derived tables
+    stored = load_tables(parquet_reader(spark, grown))
+    assert len(stored) == len(TABLES) + len(CREATED_TABLES) + 2
+    for asked in (PARAMS, WEEK):
+        found = sorted_rows(STATEMENTS[name](stored, asked))
+        assert found == sorted_rows(STATEMENTS[name](whole, asked))
+    assert found
+
+
+def test_refreshed_notes_cover_all_files(spark, small, grown, tmp_path):
+    def changed(root, derived):
+        now = coverage.current_files(spark, f"{root}/{derived.source}")
+        noted = spark.read.schema(coverage.NOTED).parquet(f"{root}/{derived.name}/files")
+        return len(coverage.changed_dates(now, noted))
+
+    index = coverage.posted_index(PARAMS.codes)
+    assert changed(grown, index) == changed(grown, coverage.MEDIA) == 7
+    root = str(tmp_path)
+    for derived in (index, coverage.MEDIA):
+        name = derived.source
+        write_tables({name: small[name].filter(f"not {LATER}")}, root)
+        some = small[name].filter(LATER).filter(F.dayofmonth("business_date") == 5)
+        append_rows(some, root, name)
+        assert changed(root, derived) == 1  # only the date whose files are other ones
+        stored = load_tables(parquet_reader(spark, root), [name])
+        want = sorted_rows(derived.build(small[name].filter(f"not {LATER}").unionByName(some)))
+        assert sorted_rows(stored[derived.name]) == want
+        refresh(spark, root, name)
+        assert changed(root, derived) == 0
+        stored = load_tables(parquet_reader(spark, root), [name])
+        assert sorted_rows(stored[derived.name]) == want
+
+
+def test_a_replaced_or_missing_file_changes_its_date(spark, small, tmp_path):
+    name = coverage.MEDIA.source
+    write_tables({name: small[name]}, str(tmp_path))
+    gone = sorted(glob.glob(f"{tmp_path}/{name}/business_date={DAY}/part-*"))
+    for path in gone:
+        os.remove(path)
+    stored = load_tables(parquet_reader(spark, str(tmp_path)), [name])
+    left = small[name].filter(F.col("business_date") != F.lit(DAY))
+    assert sorted_rows(stored[coverage.MEDIA.name]) == sorted_rows(coverage.MEDIA.build(left))
+
+
+def test_rows_without_a_date_are_always_read(spark, small, tmp_path):
+    name = coverage.MEDIA.source
+    undated = small[name].limit(20).withColumns({
+        "business_date": F.lit(None).cast("date"), "media_count": F.lit(1).cast("bigint"),
+    })
+    write_tables({name: small[name].unionByName(undated)}, str(tmp_path))
+    append_rows(undated, str(tmp_path), name)
+    stored = load_tables(parquet_reader(spark, str(tmp_path)), [name])
+    whole = small[name].unionByName(undated).unionByName(undated)
+    assert sorted_rows(stored[coverage.MEDIA.name]) == sorted_rows(coverage.MEDIA.build(whole))
+
+
+def scans(text):
+    """The tables a plan scans, by folder; without Spark's pruning look-ups, which reuse a
+    broadcast but show as scans."""
+    return re.findall(r"Location: [^\n]*?tenderflow-\w+/(?:pos/)?([\w-]+)", text)
+
+
+def test_all_line_properties_and_counts_are_only_read_by_date(spark, small, capsys):
+    """What matches on any date comes from derived tables, without an exchange above the index."""
+    for report in (treasury, smartsafe_treasury):
+        text = plan_text(report(small, PARAMS), capsys)
+        for block in text.split("\n\n"):
+            if re.search(r"/(trl_rtrans_lineitm_p|tsn_tndr_tndr_count)[\],]", block):
+                assert re.search(r"PartitionFilters: \[.*business_date#\d+ (IN|=) ?|isnull\(business_date", block)
+    lines = small["ttr_tndr_lineitm"].filter("trans_seq = 1")
+    tree = plan_text(posted_elsewhere(small, PARAMS, lines), capsys)
+    index = tree.index("posted-") and re.search(r"\((\d+)\) Scan parquet spark_catalog[^\n]*", tree)
+    assert index
+    shape = tree[:tree.index("\n\n\n")]
+    above, depth = [], None
+    for line in reversed(shape[:shape.index(f"({index[1]})")].split("\n")):
+        level = len(re.match(r"[\s:|+-]*", line)[0])
+        if depth is None or level < depth:
+            above.append(line)
+            depth = level
+        if "Join" in line and "LeftSemi" in line:
+            break
+    assert above and not any("Exchange" in line for line in above)
 
 
 def test_rows_made_a_year_late_are_found(spark, small, tmp_path):
@@ -122,21 +236,37 @@ def test_treasury_of_a_day_is_its_part_of_the_range(small, name):
     assert sorted(map(str, filled.drop("report_date").collect())) == daily
 
 
-@pytest.mark.parametrize(("name", "scans"), [("treasury", 25), ("smartsafe", 33)])
-def test_tables_are_scanned_once_or_twice_and_no_listing_is_a_key(
-    spark, small, name, scans, capsys
+def test_a_run_scans_tables_once_or_twice_and_no_listing_is_a_key(
+    spark, small, monkeypatch, capsys, tmp_path
 ):
-    """Without Spark's own pruning look-ups, which reuse a broadcast but show as scans."""
+    """All that a daily bundle writes, staged sub-plans and statements."""
+    texts = []
     pruning = "spark.sql.optimizer.dynamicPartitionPruning.enabled"
     spark.conf.set(pruning, "false")
+
+    def staged(df, name):
+        texts.append(plan_text(df, capsys))
+        return stage(df, name)
+
+    def written(df, *rest):
+        texts.append(plan_text(df, capsys))
+        return write_report(df, *rest)
+
+    monkeypatch.setattr(shared, "stage", staged)
+    monkeypatch.setattr(bundle, "write_report", written)
     try:
-        blocks = plan_text(STATEMENTS[name](small, PARAMS), capsys).split("\n\n")
+        status = bundle.run_bundle(
+            spark, small, date(2024, 1, 5), "daily", str(tmp_path), at_once=1
+        ).collect()
     finally:
         spark.conf.unset(pruning)
-    places = re.findall(r"Location: [^\n]*?tenderflow-\w+/(\w+)", "\n\n".join(blocks))
-    assert len(places) <= scans
-    for table in ("trl_sale_lineitm", "tsn_tndr_control_trans", "tsn_session_wkstn", "trn_trans"):
-        assert places.count(table) <= 2
+    assert all(row.ok for row in status)
+    whole = "\n\n".join(texts)
+    places = scans(whole)
+    assert places.count("ttr_tndr_lineitm") == 2  # its dates, and what has no date
+    assert places.count("cfg_profile_element_changes") == 1
+    assert places.count("trl_sale_lineitm") == 1
+    blocks = whole.split("\n\n")
     aggregates = [block for block in blocks if "Keys [" in block]
     assert aggregates and not any(
         re.search(r"Keys \[\d+\]: \[[^]]*(listing#|deposits#)", block) for block in aggregates
