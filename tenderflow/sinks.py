@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,16 +49,55 @@ def output_path(report: Column, as_of: Column, period: str) -> Column:
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "csv", placeholder: bool = False) -> int:
-    """Write a report as text cells and return its row count, taken during the write."""
+    """Write a report as text cells and return its row count, taken during the write.
+
+    It is written beside ``path`` and takes its place when it is whole, so a former output stays
+    as it was until then, also if the write fails.
+    """
     counted = Observation()
     rows = render_cells(df).observe(counted, F.count(F.lit(1)).alias("rows"))
-    _write(rows, path, fmt)
-    count = counted.get["rows"]
-    if count == 0 and placeholder:
-        _write(empty_note(df), path, fmt, header=False)
+    with replacing(df.sparkSession, path) as beside:
+        _write(rows, beside, fmt)
+        count = counted.get["rows"]
+        if count == 0 and placeholder:
+            _write(empty_note(df), beside, fmt, header=False)
     return count
 
 
+@contextmanager
+def replacing(spark: SparkSession, path: str) -> Iterator[str]:
+    """A hidden folder beside ``path`` that takes its place if all goes well.
+
+    The former folder is first named aside and goes last, so at each moment one of the two is
+    whole; if the new one can't be put in place, the former one is put back.
+    """
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target = Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    mark = uuid.uuid4().hex
+    beside = Path(target.getParent(), f".new-{mark}")
+    aside = Path(target.getParent(), f".old-{mark}")
+    try:
+        yield beside.toString()
+        if not store.exists(beside):
+            raise OSError(f"nothing was written for {path}")
+        former, placed = store.exists(target), False
+        if former and not store.rename(target, aside):
+            raise OSError(f"{path} can't be replaced")
+        try:
+            placed = store.rename(beside, target)
+        finally:
+            if former and not placed:
+                store.rename(aside, target)
+        if not placed:
+            raise OSError(f"{path} can't be written")
+        if former:
+            store.delete(aside, True)
+    except BaseException:
+        store.delete(beside, True)
+        raise
+
+
 def _write(df: DataFrame, path: str, fmt: str, header: bool = True) -> None:
     writer = df.write.mode("overwrite")
     if fmt == "csv":

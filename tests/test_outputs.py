@@ -2,6 +2,8 @@
 
 import glob
 import os
+import time
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 from decimal import Decimal
 
@@ -12,22 +14,27 @@ from pyspark.sql import functions as F
 from tenderflow.params import ReportParams, Window, ach_window, daily_window, till_window
 from tenderflow.plans import bundle, registry
 from tenderflow.plans.ach import ach_checks
+from tenderflow.plans.shared import Shared, once
+from tenderflow.schemas import TABLES
 from tenderflow.sinks import (
     DAILY,
     NO_DATA,
     WEEKLY,
     empty_note,
     render_cells,
+    replacing,
     write_report,
 )
 from tenderflow.sources import (
     date_predicates,
     load_tables,
     parquet_reader,
+    residue_predicates,
     stage,
     staging_root,
     write_tables,
 )
+from tenderflow.sources.tables import SPLIT_KEYS, read_predicates
 
 
 def test_windows():
@@ -140,6 +147,99 @@ def test_database_reads_are_split_and_whole(spark):
     assert sorted(map(str, found)) == sorted(map(str, rows.collect()))
 
 
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_reads_by_remainder_are_whole(spark, parts):
+    keys = [(None,), (0,), *[(i,) for i in range(-30, 31)], (-(2**62),), (2**62,)]
+    rows = spark.createDataFrame(keys, "k bigint")
+    predicates = residue_predicates("k", parts)
+    assert len(predicates) == parts + 1
+    found = [row for part in predicates for row in rows.filter(part).collect()]
+    assert sorted(map(str, found)) == sorted(map(str, rows.collect()))
+
+
+def test_no_table_is_read_by_one_task():
+    for name in TABLES:
+        for window in (None, Window(DAY, DAY)):
+            assert len(read_predicates(name, window, SPLIT_KEYS, 8)) >= 4
+    assert read_predicates("crm_party", None, {"crm_party": "x"}, 2)[0] == "MOD(x, 2) = 0"
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_a_failing_write_leaves_the_former_output(spark, tmp_path, fmt):
+    path = f"{tmp_path}/report=x/as_of=y"
+    good = spark.range(5).select(F.col("id").cast("string").alias("a"))
+    assert write_report(good, path, fmt) == 5
+    before = sorted(os.listdir(path))
+    # the last of four tasks fails when the others are done
+    half = spark.range(0, 100, 1, 4).select(
+        F.when(F.col("id") == 99, F.raise_error(F.lit("broken"))).otherwise("x").alias("a")
+    )
+    with pytest.raises(Exception, match="broken"):
+        write_report(half, path, fmt)
+    assert sorted(os.listdir(path)) == before and os.listdir(f"{tmp_path}/report=x") == ["as_of=y"]
+    assert spark.read.format(fmt).option("header", True).load(path).count() == 5
+    assert write_report(good.limit(2), path, fmt) == 2
+    assert spark.read.format(fmt).option("header", True).load(path).count() == 2
+    assert os.listdir(f"{tmp_path}/report=x") == ["as_of=y"]
+
+
+def test_an_output_that_cannot_take_its_place_leaves_the_former_one(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    write_report(spark.range(3).select(F.col("id").cast("string").alias("a")), path)
+    with pytest.raises(OSError), replacing(spark, path):
+        pass  # nothing was written beside
+    assert spark.read.option("header", True).csv(path).count() == 3
+    assert os.listdir(tmp_path) == ["out"]
+
+
+def test_statements_of_a_bundle_run_at_the_same_time(spark, tmp_path, monkeypatch):
+    """The status is that of one after another, in the same order and in less time."""
+    from dataclasses import replace
+
+    def slowly(build):
+        def run(tables, params):
+            time.sleep(2)
+            return build(tables, params)
+
+        return run
+
+    slow = {
+        name: replace(report, build=slowly(report.build))
+        for name, report in registry.STATEMENTS.items()
+    }
+    monkeypatch.setattr(registry, "STATEMENTS", slow)
+    tables = spark_tables(spark, random_rows(8))
+
+    def run(at_once):
+        started = time.time()
+        status = bundle.run_bundle(
+            spark, tables, date(2024, 1, 5), DAILY, f"{tmp_path}/{at_once}", at_once=at_once
+        )
+        return [tuple(row) for row in status.collect()], time.time() - started
+
+    run(1)
+    one, spent = run(1)
+    all_, less = run(5)
+    assert all_ == one and [row[0] for row in one] == [r.name for r in registry.statements_of(DAILY)]
+    assert less < spent - 4
+
+
+def test_statements_share_what_they_ask_for(spark):
+    tables = Shared({"a": spark.range(3)})
+    built = []
+
+    def build():
+        built.append(1)
+        return tables["a"]
+
+    assert once(tables, "x", 1, build).count() == 3
+    assert once(tables, "x", 1, build).count() == 3 and len(built) == 1
+    assert once(tables, "x", 2, build).count() == 3 and len(built) == 2
+    with ThreadPoolExecutor(4) as threads:
+        list(threads.map(lambda _: once(tables, "y", 1, build), range(8)))
+    assert len(built) == 3 and dict(tables).keys() == {"a"}
+
+
 def test_staging_uses_the_named_folder(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     assert staging_root(spark) == named.rstrip("/")
