@@ -7,6 +7,10 @@ All pairs of a bucket are compared in double precision, block by block: a bucket
 than a block holds is compared as pairs of blocks, each in a task of its own.  A pair found in
 several tables counts in the first.  Comparing gives sums and a few links for each vector, never
 the pairs.  Equal vectors are one vector with a number of copies.
+
+Buckets are found by keys alone; a vector only goes to those it shares with others.  Whoever
+compares vectors works out their keys in the earlier tables again: projections are sums of whole
+numbers below 2**53, which are the same in whatever order they are added up.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from tenderflow.llm.ship import ship_code
 from tenderflow.sources.staging import stage
 
 LEAST_COSINE = 0.93
+GRAIN = 1 << 20  # numbers are rounded to whole ones of this size before they are projected
 
 
 @dataclass(frozen=True)
@@ -45,7 +50,9 @@ class Hashing:
     def keys(self, vectors: np.ndarray) -> np.ndarray:
         """Rows of unit vectors to their bucket in each table, as a 64-bit number."""
         directions, shifts = self.drawn(vectors.shape[1])
-        cells = np.floor((vectors @ directions + shifts) / self.width).astype(np.int64)
+        whole = np.rint(vectors * GRAIN) @ np.rint(directions * GRAIN)
+        whole += np.rint(shifts * GRAIN * GRAIN)
+        cells = np.floor(whole / (self.width * GRAIN * GRAIN)).astype(np.int64)
         cells = cells.reshape(len(vectors), self.tables, self.projections).view(np.uint64)
         keys = np.zeros((len(vectors), self.tables), np.uint64)
         for i in range(self.projections):
@@ -63,7 +70,7 @@ class Hashing:
 
 #: Vectors travel as bytes of these numbers, single if the column is single.
 KINDS = {"array<float>": "<f4", "array<double>": "<f8"}
-FILED = ["choice", "key", "label", "node", "copies", "vector", "keys"]
+FILED = ["choice", "key", "label", "node"]
 
 
 def unit(rows: list[bytes], kind: str) -> np.ndarray:
@@ -94,7 +101,7 @@ def _reader(kind: str):
 
 
 def _filer(hashing: Hashing, kind: str):
-    """A function from (label, node, copies, vector) to a row for each table."""
+    """A function from (label, node, vector) to a row for each table, without the vector."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -106,14 +113,12 @@ def _filer(hashing: Hashing, kind: str):
                 for size in np.unique(sizes).tolist():
                     of = np.flatnonzero(sizes == size)
                     keys[of] = hashing.keys(unit([rows[i] for i in of], kind)) ^ size
-                all_keys = pa.array([row.tobytes() for row in keys], pa.binary())
                 for table in range(hashing.tables):
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(len(rows), table, np.int32)),
                             pa.array(np.ascontiguousarray(keys[:, table])),
-                            *[batch.column(n) for n in ("label", "node", "copies", "vector")],
-                            all_keys,
+                            batch.column("label"), batch.column("node"),
                         ],
                         names=FILED,
                     )
@@ -141,7 +146,7 @@ def groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _comparer(least: float, kind: str):
+def _comparer(least: float, kind: str, hashing: Hashing):
     """A function from filed rows, sorted by group, to what links each vector of a group."""
 
     def compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -159,10 +164,13 @@ def _comparer(least: float, kind: str):
             some = linked.any(axis=1)
             if not some.any():
                 continue
-            keys = np.array([np.frombuffer(k, np.int64) for k in part.column("keys").to_pylist()])
             first = linked.copy()
-            for table in range(part.column("choice")[0].as_py()):
-                first &= keys[:, table][:, None] != keys[:, table]
+            earlier = part.column("choice")[0].as_py()
+            if earlier:
+                at = np.flatnonzero(some)
+                keys, among = hashing.keys(vectors[at]), np.ix_(at, at)
+                for table in range(earlier):
+                    first[among] &= keys[:, table][:, None] != keys[:, table]
             node, copies = part.column("node").to_numpy(), part.column("copies").to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -179,18 +187,16 @@ def _comparer(least: float, kind: str):
     return run
 
 
-def _in_blocks(filed: DataFrame, block: int) -> DataFrame:
-    """``filed`` with the pairs of blocks, low and high, that each row is compared in."""
+def _in_blocks(nodes: DataFrame, filed: DataFrame, block: int) -> DataFrame:
+    """The vectors of ``nodes`` in each bucket they share with others, with the pairs of blocks,
+    low and high, that they are compared in."""
     where = ["choice", "label", "key"]
-    sizes = filed.groupBy(*where).agg(F.count("*").alias("n"))
-    large = stage(
-        sizes.where(F.col("n") > block)
+    shared = stage(
+        filed.groupBy(*where).agg(F.count("*").alias("n")).where("n > 1")
         .select(*where, F.ceil(F.col("n") / block).cast("int").alias("blocks")),
-        "large",
-    )
-    dealt = filed.withColumn("blocks", F.lit(1)) if large.isEmpty() else (
-        filed.join(large, where, "left").fillna({"blocks": 1})
+        "shared",
     )
+    dealt = filed.join(shared, where).join(nodes.select("node", "copies", "vector"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     return (
         dealt.withColumn("block", own)
@@ -229,13 +235,12 @@ def vector_groups(
         .agg(F.min("row").alias("node"), F.count("*").alias("copies")),
         "nodes",
     )
-    filed = nodes.select("label", "node", "copies", "vector").mapInArrow(
-        _filer(hashing, kind),
-        "choice int, key long, label string, node long, copies long, vector binary, keys binary",
+    filed = nodes.select("label", "node", "vector").mapInArrow(
+        _filer(hashing, kind), "choice int, key long, label string, node long"
     )
     found = stage(
-        _in_blocks(filed, block).repartition(*GROUP).sortWithinPartitions(*GROUP)
-        .mapInArrow(_comparer(least, kind), "node long, n long, root long"),
+        _in_blocks(nodes, filed, block).repartition(*GROUP).sortWithinPartitions(*GROUP)
+        .mapInArrow(_comparer(least, kind, hashing), "node long, n long, root long"),
         "found",
     )
     links = found.groupBy("node").agg(F.sum("n").alias("n"))
