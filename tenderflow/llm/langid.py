@@ -4,7 +4,9 @@ One table of bit masks holds a Bloom filter for each language: bit l of all mask
 filter of language l.  A look-up ANDs a few masks and so gets all languages that contain an n-gram.
 An n-gram belongs to a language if it is common there and not much more common in another.
 A text's n-grams are counted for each language, the count that false positives alone would give is
-taken off, and the largest share decides.
+taken off, and the largest share decides.  Where no language contains any of them, as with large
+alphabets most n-grams are rare, the letters alone decide, by a second table of the same kind that
+leaves out none for being rare.
 
 The n-gram of a letter is it with both its neighbours; other characters than letters count as one
 and the same.  So a text has as many n-grams as letters, wherever it is cut.
@@ -13,7 +15,7 @@ and the same.  So a text has as many n-grams as letters, wherever it is cut.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -32,7 +34,10 @@ LEAST_SHARE = 0.2  # of the n-gram's rate in the language where it is most commo
 HASHES = 4
 BITS_PER_GRAM = 32
 MOST_LANGUAGES = 1024
+MOST_SEEN = 1 << 21  # n-grams that a task counts before it passes them on
 CHUNK = 1 << 20  # characters handled at once
+ALONE = 0x1FFFFF << 21  # the bits of an n-gram that are its letter
+LETTER_WORTH = 0.01  # of a letter in the score of a text that only letters decide
 
 SEEN = T.StructType([
     T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()),
@@ -87,11 +92,18 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def count_grams(docs: DataFrame) -> DataFrame:
     """lang, gram, n over all rows of ``docs`` (text, lang) with a language."""
 
+    def told(seen: dict) -> Iterator[pa.RecordBatch]:
+        for lang, (found, n) in seen.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(found)), pa.array(found), pa.array(n)], names=SEEN.names
+            )
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         none = np.zeros(0, np.int64)
         for batch in batches:
-            langs, names = np.unique(batch.column("lang").to_pylist(), return_inverse=True)
+            coded = batch.column("lang").dictionary_encode()
+            langs, names = coded.dictionary.to_pylist(), coded.indices.to_numpy()
             texts = batch.column("text").to_pylist()
             for found, owners in chunks(texts):
                 of = names[owners]
@@ -102,11 +114,10 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     counts = np.zeros(len(both), np.int64)
                     np.add.at(counts, at, np.concatenate([m, n]))
                     seen[langs[number]] = both, counts
-        for lang, (found, n) in seen.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([str(lang)] * len(found)), pa.array(found), pa.array(n)],
-                names=SEEN.names,
-            )
+                if sum(len(found) for found, _ in seen.values()) > MOST_SEEN:
+                    yield from told(seen)
+                    seen.clear()
+        yield from told(seen)
 
     labelled = docs.where("lang is not null and text is not null").select("text", "lang")
     return labelled.mapInArrow(count, SEEN).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -118,6 +129,7 @@ class LanguageFilters:
     masks: np.ndarray  # positions x 64-bit words of languages
     chance: np.ndarray  # by language: that its filter holds an n-gram that isn't there
     common: int  # the language with most n-grams
+    letters: LanguageFilters | None = None  # of letters alone
 
     def look_up(self, found: np.ndarray) -> np.ndarray:
         """For each n-gram the mask of the languages that contain it."""
@@ -126,12 +138,14 @@ class LanguageFilters:
             mask = self.masks[at] if mask is None else mask & self.masks[at]
         return mask
 
-    def hits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def hits(
+        self, texts: list[str | None], bits: int = (1 << 63) - 1
+    ) -> tuple[np.ndarray, np.ndarray]:
         """By text: n-grams in all, and hits in each language less those due to chance."""
         total = np.zeros(len(texts))
         hits = np.zeros((len(texts), len(self.languages)))
         for found, owners in chunks(texts):
-            mask = self.look_up(found)
+            mask = self.look_up(found & bits)
             total += np.bincount(owners, minlength=len(texts))
             for number in range(len(self.languages)):
                 bit = (mask[:, number // 64] >> np.uint64(number % 64)) & np.uint64(1)
@@ -141,8 +155,13 @@ class LanguageFilters:
 
     def guess(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         total, hits = self.hits(texts)
+        worth = np.ones(len(texts))
+        lost = np.flatnonzero((hits.max(axis=1) <= 0) & (total > 0))
+        if len(lost) and self.letters:
+            hits[lost] = self.letters.hits([texts[i] for i in lost], ALONE)[1]
+            worth[lost] = LETTER_WORTH
         best = np.where(hits.max(axis=1) > 0, hits.argmax(axis=1), self.common)
-        top = hits[np.arange(len(texts)), best]
+        top = worth * hits[np.arange(len(texts)), best]
         score = np.divide(top, total, out=np.zeros(len(texts)), where=total > 0)
         names = [
             self.languages[number] if n else UNKNOWN
@@ -167,8 +186,8 @@ def learn(
 ) -> LanguageFilters:
     """Filters from all rows of ``docs`` (text, lang).
 
-    What comes to the driver has a bound: at most ``1 / least_rate`` n-grams for a language, and
-    more than ``MOST_LANGUAGES`` languages are an error.
+    What comes to the driver has a bound: at most ``1 / least_rate`` n-grams and all letters of
+    Unicode for a language, and more than ``MOST_LANGUAGES`` languages are an error.
     """
     ship_code(docs.sparkSession)
     counts = stage(count_grams(docs), "grams")
@@ -179,6 +198,20 @@ def learn(
     languages = sorted(sizes)
     if not languages:
         return LanguageFilters([], np.zeros((1, 1), np.uint64), np.zeros(0), 0)
+    common = max(range(len(languages)), key=lambda i: sizes[languages[i]])
+    letter = F.col("gram").bitwiseAND(F.lit(ALONE))
+    alone = counts.groupBy("lang", letter.alias("gram")).agg(F.sum("n").alias("n"))
+    letters = _filters(alone, totals, languages, common, 0.0, least_share)
+    return replace(
+        _filters(counts, totals, languages, common, least_rate, least_share), letters=letters
+    )
+
+
+def _filters(
+    counts: DataFrame, totals: DataFrame, languages: list[str], common: int, least_rate: float,
+    least_share: float,
+) -> LanguageFilters:
+    """Filters of the n-grams of each language that are common enough there."""
     rates = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
     tops = rates.groupBy("gram").agg(F.max("rate").alias("top"))
     chosen = (
@@ -198,7 +231,6 @@ def learn(
         float(((masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean())
         for i in range(len(languages))
     ]
-    common = max(range(len(languages)), key=lambda i: sizes[languages[i]])
     return LanguageFilters(languages, masks, np.array(filled) ** HASHES, common)
 
 
@@ -226,9 +258,10 @@ def identify(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
     Learns from the documents that aren't held out and have a language.  ``score`` is the share of
-    the text's n-grams that its language contains.  Null texts and those without a letter are
-    ``und`` with score 0; a text of which no language contains anything gets the commonest
-    language with score 0, and so does every text if nothing could be learned, as ``und``.
+    the text's n-grams that its language contains; where none contains any, it is
+    ``LETTER_WORTH`` times the share of its letters that the language has.  Null texts and those
+    without a letter are ``und`` with score 0; a text with no letter that any language has gets the
+    commonest language with score 0, and every text is ``und`` if nothing could be learned.
     Repeated rows each give a row; no rows give none; other columns are not read.
     """
     filters = learn(docs.where(in_training(docs["doc_id"])))
@@ -241,8 +274,7 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``identify`` calls ``und``.
 
-    A text with letters stays also with score 0, which only says that no language holds any of its
-    n-grams: filters have none below ``LEAST_RATE``, and with a large alphabet most are.
+    A text with letters stays also with score 0, which only says that no language has any of them.
     """
     filters = learn(docs.where(in_training(docs["doc_id"])))
     marked = docs.withColumn("__guess", guesses(docs, filters))
