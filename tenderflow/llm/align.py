@@ -19,7 +19,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import accumulate, chain, count, repeat
+from itertools import accumulate, chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -147,15 +147,11 @@ def units_of(text: str) -> list[str]:
 
 def slices(ends_a: Iterable[int], ends_b: Iterable[int]) -> list[tuple[int, int]]:
     """The numbers of A and B tokens up to and with each common end."""
-    index_a = dict(zip(ends_a, count(1), strict=False))
-    index_b = dict(zip(ends_b, count(1), strict=False))
+    index_a = {end: i for i, end in enumerate(ends_a, 1)}
+    index_b = {end: i for i, end in enumerate(ends_b, 1)}
     return [(index_a[end], index_b[end]) for end in sorted(index_a.keys() & index_b.keys())]
 
 
-def _ids(ids: list[int]) -> str:
-    return ",".join(map(str, ids))
-
-
 class Aligner:
     """Alignments of units: (number of A ids, of B ids, text of the groups, codes of links), or
     None if a tokenizer's bytes are not the unit's.  What was used lately stays, up to about
@@ -164,6 +160,7 @@ class Aligner:
     def __init__(self, a: ByteTokenizer, b: PieceTokenizer, most: int = KEPT_BYTES):
         self.encode_a, self.encode_b, self.most = a.encoder(), b.encoder(), most
         self.bytes_a, self.bytes_b = a.vocabulary(), b.vocabulary()
+        self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
         self.now, self.before, self.size = {}, {}, 0
 
     def align(self, unit: str, ids_a: list[int], ids_b: list[int]):
@@ -176,9 +173,12 @@ class Aligner:
         cuts = [(n_a, n_b)] if n_a == 1 or n_b == 1 else slices(
             accumulate(map(len, parts_a)), accumulate(map(len, parts_b))
         )
+        named_a, named_b = map(self.names.__getitem__, ids_a), map(self.names.__getitem__, ids_b)
         texts, codes, i, j = [], array("q"), 0, 0
         for to_a, to_b in cuts:
-            texts.append(f"{_ids(ids_a[i:to_a])}|{_ids(ids_b[j:to_b])}")
+            left = next(named_a) if to_a - i == 1 else ",".join(islice(named_a, to_a - i))
+            right = next(named_b) if to_b - j == 1 else ",".join(islice(named_b, to_b - j))
+            texts.append(left + "|" + right)
             # no token is empty, so only the last ones end with the group
             codes.append(ids_a[to_a - 1] * base + ids_b[to_b - 1])
             i, j = to_a, to_b
