@@ -21,7 +21,7 @@ from tenderflow.llm.ship import ship_code
 
 PORTION_BYTES = 4 << 20  # of texts handled at once
 BATCH_BYTES = 256 << 10  # of units encoded at once
-KEPT_BYTES = 120 << 20  # of results kept in each of two generations
+KEPT_BYTES = 72 << 20  # of results kept in each of two generations
 LONGEST_KEPT = 256  # characters; longer units are encoded each time
 OVERHEAD = 250  # bytes of a kept result beside its unit and value
 #: Without the apostrophe, which can open a pre-token that has letters.
