@@ -121,8 +121,8 @@ def exact_groups(
 
     Texts are equal when identical after lower-casing A-Z; null text is empty text.  Of equal
     texts the largest doc_id stays; of rows that share that doc_id too, exactly one is kept, and
-    null doc_ids stay only where there is no other.  No rows give no rows.  Other columns of
-    ``docs`` are not read.
+    null doc_ids stay only where there is no other.  Texts are compared whole, however long.  No
+    rows give no rows.  Other columns of ``docs`` are not read.
     """
     index = build_index(docs, capacity, key, row)
     single = index.where(~F.col("chained")).select(

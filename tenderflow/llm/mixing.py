@@ -140,7 +140,8 @@ def _sized(docs: DataFrame, row: Column) -> DataFrame:
 def mix_counts(docs: DataFrame, row: Column | None = None) -> DataFrame:
     """One row per document: row, doc_id, source, size, source_size, target, taken, copies.
 
-    Null text has size 0; null is a source of its own; repeated rows queue one after the other.
+    Null text has size 0, and a text of any length is counted whole; null is a source of its own;
+    repeated rows queue one after the other.
     No rows give no rows.  Other columns of ``docs`` are not read, but for ``row``, by which the
     rows can be told apart; else it is 0.
     """

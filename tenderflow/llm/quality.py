@@ -150,7 +150,8 @@ def quality(
     ``labels`` (doc_id, good: 0 or 1) has one row or none for a document; null labels count as
     none, and of several the mean.  Null and empty texts are texts without pairs.  Null hosts and
     paths are a host and a path of their own.  Without labels of both kinds the evidence is 0.
-    Repeated rows each give a row; no rows give none; other columns are not read.
+    Texts are read whole, however long.  Repeated rows each give a row; no rows give none; other
+    columns are not read.
     """
     ship_code(docs.sparkSession)
     given = labels.where("good is not null and doc_id is not null").groupBy("doc_id").agg(

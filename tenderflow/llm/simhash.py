@@ -167,8 +167,8 @@ def simhash_groups(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> Da
     """One row per document: doc_id, fingerprint (16 hex digits) and component_id, the smallest
     doc_id reachable over fingerprints at most ``bits`` bits apart.
 
-    Null, empty and blank texts have fingerprint zero and are linked like any other.  Null doc_ids
-    name a component only if it has no other.  Repeated rows each give a row; no rows give none;
+    Null, empty and blank texts have fingerprint zero and are linked like any other; texts are read
+    whole, however long.  Null doc_ids name a component only if it has no other.  Repeated rows each give a row; no rows give none;
     other columns are not read.
     """
     printed = _printed(docs, size, F.monotonically_increasing_id())

@@ -362,5 +362,9 @@ def read_archives(files: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """``pages`` written, normalised and read back.  No rows give no rows."""
+    """``pages`` written, normalised and read back.
+
+    Payloads are written and read whole, however long; repeated rows each give a record; no rows
+    give no rows.  Other columns are not read, whatever their names.
+    """
     return read_archives(normalise_archives(write_archives(pages)))
