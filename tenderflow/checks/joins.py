@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tenderflow.checks.register import DAY, check
 from tenderflow.codes import Codes
-from tenderflow.functions import code_like, full_name
+from tenderflow.functions import code_like, full_name, scope_store
 from tenderflow.operators import (
     business_dates,
     by_eligibility,
@@ -300,6 +300,39 @@ def anti_or_global(t):
     return kept.select(*TXN_KEY[1:])
 
 
+@check("sq_every_store_mark", """
+    with marked as (
+        select distinct case when c.config_version = 1 then '*:*'
+            else replace(d.org_scope, 'STORE:', '') end as rtl_loc_id
+        from cfg_profile_element_changes c
+        join dpl_deployment d using (profile_group_id, profile_element_id, config_version)
+        where contains(c.changes, 'SmartSafeEnabled=true')
+    )
+    select 'eligible' as side, rtl_loc_id, business_date, wkstn_id, trans_seq from trn_trans t
+    where exists (select 1 from marked m
+        where m.rtl_loc_id = cast(t.rtl_loc_id as varchar) or m.rtl_loc_id = '*:*')
+    union all
+    select 'other', rtl_loc_id, business_date, wkstn_id, trans_seq from trn_trans t
+    where not exists (select 1 from marked m
+        where m.rtl_loc_id = cast(t.rtl_loc_id as varchar) or m.rtl_loc_id = '*:*')
+""")
+def every_store_mark(t):
+    """Pushes of the first version count for every store, so all are eligible and none other."""
+    element = ["profile_group_id", "profile_element_id", "config_version"]
+    enabled = t["cfg_profile_element_changes"].filter(F.col("changes").contains(CODES.safe_enabled))
+    first = F.col("config_version") == 1
+    marks = enabled.join(t["dpl_deployment"], element).select(
+        F.when(first, CODES.every_store).otherwise(scope_store(F.col("org_scope"), CODES))
+        .alias("rtl_loc_id")
+    ).distinct()
+
+    def side(name: str, wanted: bool):
+        rows = by_eligibility(t["trn_trans"], marks, wanted, CODES)
+        return rows.select(F.lit(name).alias("side"), *TXN_KEY[1:])
+
+    return side("eligible", True).unionByName(side("other", False))
+
+
 @check("sq_scalar_lookup", """
     select rtl_loc_id, business_date, wkstn_id, trans_seq,
         (select employee_id from crm_party where party_id = c.create_user_id) as pid,
