@@ -19,7 +19,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import accumulate, chain, islice, repeat
+from itertools import accumulate, chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -79,8 +79,13 @@ class ByteTokenizer:
         loaded, letters = self.load(), byte_letters()
         model = loaded.model
 
+        space = chr(letters[ord(" ")])
+
         def direct(text: str) -> list[int]:
-            written = text.encode().decode("latin-1").translate(letters)
+            if text.isascii():  # letters and marks are written as they are
+                written = text.replace(" ", space)
+            else:
+                written = text.encode().decode("latin-1").translate(letters)
             return [token.id for token in model.tokenize(written)]
 
         marks = lru_cache(4096)(direct)
@@ -160,29 +165,52 @@ class Aligner:
     def __init__(self, a: ByteTokenizer, b: PieceTokenizer, most: int = KEPT_BYTES):
         self.encode_a, self.encode_b, self.most = a.encoder(), b.encoder(), most
         self.bytes_a, self.bytes_b = a.vocabulary(), b.vocabulary()
+        self.lengths_a, self.lengths_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
         self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
         self.now, self.before, self.size = {}, {}, 0
 
-    def align(self, unit: str, ids_a: list[int], ids_b: list[int]):
-        parts_a = list(map(self.bytes_a.__getitem__, ids_a))
-        parts_b = list(map(self.bytes_b.__getitem__, ids_b))
-        whole = unit.encode()
-        if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
-            return None
-        n_a, n_b, base = len(ids_a), len(ids_b), len(self.bytes_b)
-        cuts = [(n_a, n_b)] if n_a == 1 or n_b == 1 else slices(
-            accumulate(map(len, parts_a)), accumulate(map(len, parts_b))
+    def _right(self, units: list[str], ids: list[list[int]], bytes_of: list[bytes]) -> list[bool]:
+        """Which units the tokens' bytes are."""
+        return [
+            b"".join(map(bytes_of.__getitem__, own)) == unit.encode()
+            for unit, own in zip(units, ids, strict=True)
+        ]
+
+    def align(self, units: list[str]) -> list:
+        """Alignments of units one after the other, so that ends are offsets in all of them."""
+        ids_a, ids_b = self.encode_a(units), self.encode_b(units)
+        right = [a and b for a, b in zip(
+            self._right(units, ids_a, self.bytes_a), self._right(units, ids_b, self.bytes_b),
+            strict=True,
+        )]
+        if not all(right):
+            units, ids_a, ids_b = [list(compress(part, right)) for part in (units, ids_a, ids_b)]
+        flat_a, flat_b = list(chain.from_iterable(ids_a)), list(chain.from_iterable(ids_b))
+        cuts = slices(
+            accumulate(map(self.lengths_a.__getitem__, flat_a)),
+            accumulate(map(self.lengths_b.__getitem__, flat_b)),
         )
-        named_a, named_b = map(self.names.__getitem__, ids_a), map(self.names.__getitem__, ids_b)
-        texts, codes, i, j = [], array("q"), 0, 0
+        names_a, names_b = (list(map(self.names.__getitem__, flat)) for flat in (flat_a, flat_b))
+        base, texts, codes, i, j = len(self.bytes_b), [], array("q"), 0, 0
         for to_a, to_b in cuts:
-            left = next(named_a) if to_a - i == 1 else ",".join(islice(named_a, to_a - i))
-            right = next(named_b) if to_b - j == 1 else ",".join(islice(named_b, to_b - j))
-            texts.append(left + "|" + right)
+            if to_a - i == 1 and to_b - j == 1:
+                texts.append(names_a[i] + "|" + names_b[j])
+            else:
+                texts.append(",".join(names_a[i:to_a]) + "|" + ",".join(names_b[j:to_b]))
             # no token is empty, so only the last ones end with the group
-            codes.append(ids_a[to_a - 1] * base + ids_b[to_b - 1])
+            codes.append(flat_a[to_a - 1] * base + flat_b[to_b - 1])
             i, j = to_a, to_b
-        return n_a, n_b, ";".join(texts), codes.tobytes()
+        # a unit's end is a common end: the groups up to it are those up to its last A token
+        sizes_a, sizes_b = list(map(len, ids_a)), list(map(len, ids_b))
+        last = np.searchsorted([to_a for to_a, _ in cuts], np.cumsum(sizes_a)) + 1
+        packed, found, begin = codes.tobytes(), [], 0
+        for n_a, n_b, end in zip(sizes_a, sizes_b, last.tolist(), strict=True):
+            found.append((n_a, n_b, ";".join(texts[begin:end]), packed[8 * begin:8 * end]))
+            begin = end
+        if all(right):
+            return found
+        known = iter(found)
+        return [next(known) if one else None for one in right]
 
     def learn(self, units: list[str]) -> list:
         """The alignments of different ``units``."""
@@ -198,9 +226,8 @@ class Aligner:
                     self._keep(unit, found[i])
         at = 0
         for batch in tokens.balanced(units[i] for i in missing):
-            encoded = zip(batch, self.encode_a(batch), self.encode_b(batch), strict=True)
-            for unit, ids_a, ids_b in encoded:
-                found[missing[at]] = one = self.align(unit, ids_a, ids_b)
+            for unit, one in zip(batch, self.align(batch), strict=True):
+                found[missing[at]] = one
                 self._keep(unit, one)
                 at += 1
         return found
