@@ -21,7 +21,7 @@ from tenderflow.functions import code_like, day_text
 from tenderflow.operators import asked, on_dates, ordered_listing
 from tenderflow.params import ReportParams
 from tenderflow.plans.shared import Tables
-from tenderflow.plans.tenders import keyed_listing
+from tenderflow.plans.tenders import keyed_listing, texts_of
 from tenderflow.schemas import TOTAL, TXN_KEY
 from tenderflow.sources.coverage import MEDIA
 
@@ -113,7 +113,7 @@ def safe_differences(
     """The same for smart safes: differences of one end count are merged when equal.
 
     Rows name the listing of their transaction's deposits by its key; the second result has
-    the texts by key.
+    the texts by store and key.
 
     Kiosk differences (taken in by the safe minus expected) join them before the merge.  The
     different media differences of a sequence are summed once per sequence; what an end count
@@ -163,7 +163,7 @@ def safe_differences(
         TXN_KEY, "string_value", "listing",
     ))
     keyed = merged.join(deposits.drop("listing"), TXN_KEY, "left")
-    return _rows(keyed, F.col("listing_key"), params), deposits.select("listing_key", "listing")
+    return _rows(keyed, F.col("listing_key"), params), texts_of(deposits)
 
 
 def _rows(matched: DataFrame, reference, params: ReportParams) -> DataFrame:

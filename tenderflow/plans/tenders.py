@@ -7,11 +7,13 @@ multiplied by a count, and rows are only repeated where a bag id is part of the
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tenderflow.functions import (
     code_like,
@@ -354,7 +356,7 @@ def listing_references(listings: DataFrame) -> tuple[Attach, DataFrame]:
     """Deposits name the listing of their store and business date.
 
     A listing is as long as a day has deposits, so payments carry its key only; the second
-    result has the texts by key.
+    result has the texts by store and key.
     """
     keys = listings.drop("listing")
 
@@ -363,7 +365,11 @@ def listing_references(listings: DataFrame) -> tuple[Attach, DataFrame]:
             "deposit_ref", deposit_only(F.col("is_deposit"), F.col("listing_key"))
         )
 
-    return attach, listings.select("listing_key", "listing")
+    return attach, texts_of(listings)
+
+
+def texts_of(listings: DataFrame) -> DataFrame:
+    return listings.select(F.col("rtl_loc_id").alias("locationid"), "listing_key", "listing")
 
 
 def keyed_listing(listings: DataFrame) -> DataFrame:
@@ -372,10 +378,42 @@ def keyed_listing(listings: DataFrame) -> DataFrame:
 
 
 def with_listings(rows: DataFrame, *texts: DataFrame) -> DataFrame:
-    """Rows with the text in place of its key."""
-    found = texts[0]
-    for more in texts[1:]:
-        found = found.unionByName(more)
+    """Rows with the text in place of its key.
+
+    A text is repeated for each row that names it, so this comes last: rows that have their texts
+    are neither exchanged nor sorted.
+    """
+    found = reduce(DataFrame.unionByName, [one.select("listing_key", "listing") for one in texts])
     found = found.groupBy("listing_key").agg(F.first("listing").alias("listing"))
     joined = rows.join(found, F.col("deposit_ref") == F.col("listing_key"), "left")
     return joined.withColumn("deposit_ref", F.col("listing")).drop("listing", "listing_key")
+
+
+def ordered_with_listings(
+    rows: DataFrame, order: list[str], texts: Mapping[tuple[str, ...], DataFrame]
+) -> DataFrame:
+    """Rows by ``order``, store and department, with the text in place of its key.
+
+    ``texts`` has the texts that rows of some departments can name.  A text is sent once to each
+    of these and handed to the rows where they lie in order, so no row is exchanged or sorted with
+    its text.
+    """
+    places = []
+    for departments, found in texts.items():
+        once = found.groupBy("locationid", "listing_key").agg(F.first("listing").alias("listing"))
+        places.append(once.select(
+            "locationid", F.explode(F.array(*[F.lit(name) for name in departments]))
+            .alias("department"),
+            F.col("listing_key").alias("deposit_ref"), "listing", F.lit(True).alias("is_text"),
+        ))
+    every = reduce(DataFrame.unionByName, places)
+    both = rows.withColumn("is_text", F.lit(False)).unionByName(every, allowMissingColumns=True)
+    same = W.partitionBy(*order, "deposit_ref")
+    return (
+        both.repartitionByRange(*order)
+        .withColumn("listing", F.first("listing", ignorenulls=True).over(same))
+        .filter(~F.col("is_text"))
+        .withColumn("deposit_ref", F.col("listing"))
+        .drop("listing", "is_text")
+        .orderBy(*order)
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import date
 from functools import reduce
 
@@ -28,6 +28,7 @@ from tenderflow.plans.tenders import (
     bag_references,
     deposit_listings,
     listing_references,
+    ordered_with_listings,
     posted_elsewhere,
     tender_payments,
     typed_lines,
@@ -87,17 +88,22 @@ class Asked:
 
 @dataclass(frozen=True)
 class Branches:
-    """Parts of a statement by name, and the texts of references that stand for a listing."""
+    """Parts of a statement by name, and the texts of references that stand for a listing, by
+    the departments whose rows can name them."""
 
     parts: dict[str, DataFrame]
-    texts: tuple[DataFrame, ...] = ()
+    texts: dict[tuple[str, ...], DataFrame] = field(default_factory=dict)
 
     def shown(self, rows: DataFrame) -> DataFrame:
-        return with_listings(rows, *self.texts) if self.texts else rows
+        return with_listings(rows, *self.texts.values()) if self.texts else rows
+
+    def keyed(self) -> DataFrame:
+        """Union of all parts, with the keys of listings; equal rows are kept once."""
+        return reduce(DataFrame.unionByName, self.parts.values()).distinct()
 
     def merged(self) -> DataFrame:
-        """Union of all parts; equal rows are kept once."""
-        return self.shown(reduce(DataFrame.unionByName, self.parts.values()).distinct())
+        """The same with the texts of listings."""
+        return self.shown(self.keyed())
 
 
 def treasury_branches(
@@ -128,7 +134,12 @@ def smartsafe_branches(
     attach, store_texts = listing_references(listings)
     differences, texts = safe_differences(tables, params, asked.ends, asked.end_dates)
     payments = tender_payments(tables, params, asked.lines, asked.posted, dates, attach)
-    return Branches({"payments": payments, "over_short": differences}, (store_texts, texts))
+    codes = params.codes
+    paid = (codes.core, codes.device, codes.service, codes.accessory)
+    return Branches(
+        {"payments": payments, "over_short": differences},
+        {paid: store_texts, (codes.over_short,): texts},
+    )
 
 
 def treasury(tables: Tables, params: ReportParams) -> DataFrame:
@@ -138,22 +149,29 @@ def treasury(tables: Tables, params: ReportParams) -> DataFrame:
 def treasury_rows(tables: Tables, params: ReportParams) -> DataFrame:
     tables = run_of(tables)
     branches = treasury_branches(tables, params, Asked.of(tables, params, safe=False))
-    return _merged(tables, branches, "bag_id")
+    return _named(tables, branches).select(*columns("bag_id"), "pid")
 
 
 def smartsafe_treasury(tables: Tables, params: ReportParams) -> DataFrame:
-    return smartsafe_rows(tables, params).orderBy(*ORDER)
+    branches, named = _smartsafe(tables, params)
+    ordered = ordered_with_listings(named, ORDER, branches.texts)
+    return ordered.select(*columns("deposits"), "pid")
 
 
 def smartsafe_rows(tables: Tables, params: ReportParams) -> DataFrame:
+    branches, named = _smartsafe(tables, params)
+    return branches.shown(named).select(*columns("deposits"), "pid")
+
+
+def _smartsafe(tables: Tables, params: ReportParams) -> tuple[Branches, DataFrame]:
     tables = run_of(tables)
     branches = smartsafe_branches(tables, params, Asked.of(tables, params, safe=True))
-    return _merged(tables, branches, "deposits")
+    return branches, _named(tables, branches)
 
 
-def _merged(tables: Tables, branches: Branches, reference: str) -> DataFrame:
-    named = scalar_lookup(
-        branches.merged(), tables["hrs_employee"], {"create_user_id": "party_id"},
+def _named(tables: Tables, branches: Branches) -> DataFrame:
+    """Finished rows with the number of their user; listings are keys."""
+    return scalar_lookup(
+        branches.keyed(), tables["hrs_employee"], {"create_user_id": "party_id"},
         {"pid": F.col("employee_id")},
     )
-    return named.select(*columns(reference), "pid")

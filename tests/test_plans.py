@@ -17,7 +17,7 @@ from tenderflow.plans.change_fund import change_fund
 from tenderflow.plans.kiosk import kiosk_reconcile
 from tenderflow.plans.tenders import posted_elsewhere
 from tenderflow.plans.till_variance import till_variance
-from tenderflow.plans.treasury import smartsafe_treasury, treasury
+from tenderflow.plans.treasury import smartsafe_rows, smartsafe_treasury, treasury
 from tenderflow.schemas import DATED_TABLES, TABLES
 from tenderflow.sinks import write_report
 from tenderflow.sources import (
@@ -273,6 +273,17 @@ def test_a_run_scans_tables_once_or_twice_and_no_listing_is_a_key(
     )
 
 
+def test_rows_get_their_texts_where_they_lie_in_order(small, unhinted, capsys):
+    """A listing is as long as a day has deposits, so no row is exchanged or sorted with it."""
+    ordered = smartsafe_treasury(small, PARAMS)
+    above = plan_text(ordered, capsys).split("Exchange")[0]
+    assert "Window" in above and above.count("Sort") == 1
+    rows = ordered.collect()
+    assert sorted(map(str, rows)) == sorted_rows(smartsafe_rows(small, PARAMS))
+    places = [(row.locationid, row.department) for row in rows]
+    assert places == sorted(places) and any(row.deposits for row in rows)
+
+
 def test_statements_split_the_stores(small):
     plain = {row.locationid for row in treasury(small, PARAMS).collect()}
     safe = {row.locationid for row in smartsafe_treasury(small, PARAMS).collect()}
