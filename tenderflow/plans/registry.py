@@ -14,7 +14,7 @@ from tenderflow.plans.change_fund import change_fund
 from tenderflow.plans.kiosk import kiosk_reconcile
 from tenderflow.plans.shared import Tables
 from tenderflow.plans.till_variance import till_variance
-from tenderflow.plans.treasury import smartsafe_treasury, treasury
+from tenderflow.plans.treasury import keyed_smartsafe, smartsafe_treasury, treasury
 from tenderflow.sinks import DAILY, WEEKLY
 
 
@@ -28,6 +28,8 @@ class Report:
     placeholder: bool
     #: listed in the manifest
     delivered: bool
+    #: the same rows with keys in a column, and the long texts of that column by key
+    keyed: Callable[[Tables, ReportParams], tuple[DataFrame, DataFrame]] | None = None
 
 
 # The order of the scheduled runs, and which statements are noted and delivered.
@@ -38,7 +40,10 @@ STATEMENTS = {
         Report("change_fund", change_fund, daily_window, DAILY, True, True),
         Report("kiosk_reconcile", kiosk_reconcile, daily_window, DAILY, False, True),
         Report("treasury", treasury, daily_window, DAILY, False, True),
-        Report("smartsafe_treasury", smartsafe_treasury, daily_window, DAILY, True, True),
+        Report(
+            "smartsafe_treasury", smartsafe_treasury, daily_window, DAILY, True, True,
+            keyed=keyed_smartsafe,
+        ),
         Report("ach_checks", ach_checks, ach_window, WEEKLY, True, True),
     )
 }

@@ -158,6 +158,18 @@ def smartsafe_treasury(tables: Tables, params: ReportParams) -> DataFrame:
     return ordered.select(*columns("deposits"), "pid")
 
 
+def keyed_smartsafe(tables: Tables, params: ReportParams) -> tuple[DataFrame, DataFrame]:
+    """The same rows in the same order with the keys of listings, and the listings by key.
+
+    Each row of a store and day names the listing of all its deposits, so rows with their texts
+    grow as the square of a day's deposits; these two grow with them.
+    """
+    branches, named = _smartsafe(tables, params)
+    rows = named.select(*columns("deposits"), "pid").orderBy(*ORDER)
+    texts = reduce(DataFrame.unionByName, branches.texts.values())
+    return rows, texts.select(F.col("listing_key").alias("deposits"), "listing")
+
+
 def smartsafe_rows(tables: Tables, params: ReportParams) -> DataFrame:
     branches, named = _smartsafe(tables, params)
     return branches.shown(named).select(*columns("deposits"), "pid")

@@ -15,6 +15,9 @@ NO_DATA = "No data available for the selected date."
 DAILY, WEEKLY = "daily", "weekly"
 LABEL_PATTERN = {DAILY: "dd_MMMM_yyyy", WEEKLY: "MMMM_yyyy"}
 
+#: folder within a report for texts that its rows name by key
+TEXTS = "_texts"
+
 _NATIVE = (T.StringType, T.IntegerType, T.DoubleType, T.BooleanType)
 
 
@@ -48,11 +51,18 @@ def output_path(report: Column, as_of: Column, period: str) -> Column:
     return F.concat(F.lit("report="), report, F.lit("/as_of="), label)
 
 
-def write_report(df: DataFrame, path: str, fmt: str = "csv", placeholder: bool = False) -> int:
+def write_report(
+    df: DataFrame, path: str, fmt: str = "csv", placeholder: bool = False,
+    texts: DataFrame | None = None,
+) -> int:
     """Write a report as text cells and return its row count, taken during the write.
 
     It is written beside ``path`` and takes its place when it is whole, so a former output stays
     as it was until then, also if the write fails.
+
+    Long texts that many rows share are written once, as in a workbook: ``texts`` has a column of
+    ``df``, whose cells hold keys, and the text of each key.  Those the rows name go to a folder
+    within that readers of the rows skip; ``read_report`` puts them in place.
     """
     counted = Observation()
     rows = render_cells(df).observe(counted, F.count(F.lit(1)).alias("rows"))
@@ -61,9 +71,32 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv", placeholder: bool =
         count = counted.get["rows"]
         if count == 0 and placeholder:
             _write(empty_note(df), beside, fmt, header=False)
+        if count and texts is not None:
+            column, text = texts.columns
+            named = _read(df.sparkSession, beside, fmt).select(column).distinct()
+            once = texts.groupBy(column).agg(F.first(text).alias(text))
+            _write(once.join(named, column, "left_semi"), f"{beside}/{TEXTS}", fmt)
     return count
 
 
+def read_report(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """The cells of a written report, with shared texts in place of their keys."""
+    rows = _read(spark, path, fmt)
+    within = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, TEXTS)
+    store = within.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(within):
+        return rows
+    texts = _read(spark, within.toString(), fmt)
+    column, text = texts.columns
+    shared = texts.select(F.col(column).alias("_key"), F.col(text).alias("_text"))
+    joined = rows.join(shared, F.col(column) == F.col("_key"), "left")
+    return joined.withColumn(column, F.col("_text")).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
+def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    return spark.read.format(fmt).option("header", True).load(path)
+
+
 @contextmanager
 def replacing(spark: SparkSession, path: str) -> Iterator[str]:
     """A hidden folder beside ``path`` that takes its place if all goes well.

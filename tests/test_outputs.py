@@ -15,12 +15,15 @@ from tenderflow.params import ReportParams, Window, ach_window, daily_window, ti
 from tenderflow.plans import bundle, registry
 from tenderflow.plans.ach import ach_checks
 from tenderflow.plans.shared import Shared, once
+from tenderflow.plans.treasury import smartsafe_treasury
 from tenderflow.schemas import TABLES
 from tenderflow.sinks import (
     DAILY,
     NO_DATA,
+    TEXTS,
     WEEKLY,
     empty_note,
+    read_report,
     render_cells,
     replacing,
     write_report,
@@ -269,3 +272,22 @@ def test_store_pattern(spark, small):
     stores = {row.rtl_loc_id for row in some.select("rtl_loc_id").distinct().collect()}
     assert stores and stores <= set(range(1010, 1020))
     assert some.count() == every.filter(F.col("rtl_loc_id").between(1010, 1019)).count()
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_a_bundle_writes_each_listing_once(spark, small, tmp_path, fmt):
+    """Rows name it, so an output grows with the rows and not with rows times deposits."""
+    status = bundle.run_bundle(spark, small, date(2024, 1, 5), DAILY, str(tmp_path), fmt)
+    row = status.filter("report = 'smartsafe_treasury'").first()
+    path = f"{tmp_path}/{row.path}"
+    want = render_cells(smartsafe_treasury(small, ReportParams(Window.day(DAY)))).collect()
+    texts = spark.read.format(fmt).option("header", True).load(f"{path}/{TEXTS}").collect()
+    listings = {one.deposits for one in want if one.deposits}
+    assert listings and sorted(listings) == sorted(one.listing for one in texts)
+    keyed = spark.read.format(fmt).option("header", True).load(path)
+    assert keyed.columns == list(want[0].__fields__) and keyed.count() == row.row_count
+    assert not listings & {one.deposits for one in keyed.collect()}
+    found = read_report(spark, path, fmt).collect()
+    assert sorted(tuple(map(str, one)) for one in found) == sorted(
+        tuple(map(str, one)) for one in want
+    )
