@@ -377,18 +377,6 @@ def keyed_listing(listings: DataFrame) -> DataFrame:
     return listings.withColumn("listing_key", F.sha2("listing", 256))
 
 
-def with_listings(rows: DataFrame, *texts: DataFrame) -> DataFrame:
-    """Rows with the text in place of its key.
-
-    A text is repeated for each row that names it, so this comes last: rows that have their texts
-    are neither exchanged nor sorted.
-    """
-    found = reduce(DataFrame.unionByName, [one.select("listing_key", "listing") for one in texts])
-    found = found.groupBy("listing_key").agg(F.first("listing").alias("listing"))
-    joined = rows.join(found, F.col("deposit_ref") == F.col("listing_key"), "left")
-    return joined.withColumn("deposit_ref", F.col("listing")).drop("listing", "listing_key")
-
-
 def ordered_with_listings(
     rows: DataFrame, order: list[str], texts: Mapping[tuple[str, ...], DataFrame]
 ) -> DataFrame:
@@ -396,7 +384,8 @@ def ordered_with_listings(
 
     ``texts`` has the texts that rows of some departments can name.  A text is sent once to each
     of these and handed to the rows where they lie in order, so no row is exchanged or sorted with
-    its text.
+    its text, and rows with the same text are written one after another, which columnar files
+    store once.
     """
     places = []
     for departments, found in texts.items():

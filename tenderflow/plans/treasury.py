@@ -32,7 +32,6 @@ from tenderflow.plans.tenders import (
     posted_elsewhere,
     tender_payments,
     typed_lines,
-    with_listings,
     with_traits,
 )
 
@@ -95,7 +94,8 @@ class Branches:
     texts: dict[tuple[str, ...], DataFrame] = field(default_factory=dict)
 
     def shown(self, rows: DataFrame) -> DataFrame:
-        return with_listings(rows, *self.texts.values()) if self.texts else rows
+        """Rows with the texts of listings, then by store and department."""
+        return ordered_with_listings(rows, ORDER, self.texts) if self.texts else rows
 
     def keyed(self) -> DataFrame:
         """Union of all parts, with the keys of listings; equal rows are kept once."""
@@ -153,9 +153,7 @@ def treasury_rows(tables: Tables, params: ReportParams) -> DataFrame:
 
 
 def smartsafe_treasury(tables: Tables, params: ReportParams) -> DataFrame:
-    branches, named = _smartsafe(tables, params)
-    ordered = ordered_with_listings(named, ORDER, branches.texts)
-    return ordered.select(*columns("deposits"), "pid")
+    return smartsafe_rows(tables, params)
 
 
 def keyed_smartsafe(tables: Tables, params: ReportParams) -> tuple[DataFrame, DataFrame]:

@@ -17,7 +17,12 @@ from tenderflow.plans.change_fund import change_fund
 from tenderflow.plans.kiosk import kiosk_reconcile
 from tenderflow.plans.tenders import posted_elsewhere
 from tenderflow.plans.till_variance import till_variance
-from tenderflow.plans.treasury import smartsafe_rows, smartsafe_treasury, treasury
+from tenderflow.plans.treasury import (
+    smartsafe_branches,
+    smartsafe_rows,
+    smartsafe_treasury,
+    treasury,
+)
 from tenderflow.schemas import DATED_TABLES, TABLES
 from tenderflow.sinks import write_report
 from tenderflow.sources import (
@@ -284,6 +289,17 @@ def test_rows_get_their_texts_where_they_lie_in_order(small, unhinted, capsys):
     assert places == sorted(places) and any(row.deposits for row in rows)
 
 
+def test_rows_with_one_text_lie_together(small, unhinted, capsys):
+    """So that files hold the text once; a join by key left them mixed where it was broadcast."""
+    branches = smartsafe_branches(small, PARAMS)
+    shown = branches.shown(branches.parts["payments"].filter("department = 'CORE'"))
+    above = plan_text(shown, capsys).split("Exchange")[0]
+    assert "Window" in above and "Join" not in above
+    texts = [row.deposit_ref for row in shown.collect() if row.deposit_ref]
+    changes = sum(one != other for one, other in zip(texts, texts[1:], strict=False))
+    assert texts and changes < len(set(texts)) + small["loc_rtl_loc"].count()
+
+
 def test_statements_split_the_stores(small):
     plain = {row.locationid for row in treasury(small, PARAMS).collect()}
     safe = {row.locationid for row in smartsafe_treasury(small, PARAMS).collect()}
