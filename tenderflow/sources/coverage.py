@@ -64,8 +64,9 @@ def note_files(stored: DataFrame, listed: DataFrame) -> DataFrame:
 
 def created_ranges(current: DataFrame, noted: DataFrame) -> DataFrame:
     """(business_date, first, last) for each file there is now; NULL times where none are noted."""
-    known = noted.select("file", "size", "first", "last")
-    return current.join(known, ["file", "size"], "left").select(DATE, "first", "last")
+    # a task's files have the same name in each date's folder
+    known = noted.select(DATE, "file", "size", "first", "last")
+    return current.join(known, [DATE, "file", "size"], "left").select(DATE, "first", "last")
 
 
 def changed_dates(current: DataFrame, noted: DataFrame) -> list[date]:

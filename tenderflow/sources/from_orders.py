@@ -96,9 +96,10 @@ class OrderTables(Mapping[str, DataFrame]):
     def _store(self, name: str) -> None:
         df = conform(_DERIVE[name](self), name)
         if name in DATED_TABLES:
+            # postings are numbered by store and date, and all dated tables come from their files
             later = (F.dayofmonth("business_date") % 3 == 0) & (F.col("trans_seq") % 97 == 5)
-            write_tables({name: df.filter(~later)}, self._stored)
-            append_rows(df.filter(later), self._stored, name)
+            write_tables({name: df.filter(~later)}, self._stored, grouped=True)
+            append_rows(df.filter(later), self._stored, name, grouped=True)
         else:
             write_tables({name: df}, self._stored)
         self._ready |= load_tables(parquet_reader(self.spark, self._stored), [name])
@@ -113,23 +114,21 @@ class OrderTables(Mapping[str, DataFrame]):
             customer, order = F.col("o_custkey"), F.col("o_orderkey")
             placed = self.given("orders").select(
                 "o_orderkey", "o_custkey", "o_orderstatus",
-                F.when(customer % 29 == 0, 2).otherwise(1).alias("organization_id"),
                 (1000 + customer % 25).alias("rtl_loc_id"),
                 F.date_add(F.lit("2024-01-01").cast("date"), (order % 7).cast("int"))
                 .alias("business_date"),
                 (1 + customer % 3).alias("wkstn_id"),
-                customer.alias("create_user_id"),
                 F.col("o_totalprice").cast(MONEY).alias("amt"),
             )
+            group = ["rtl_loc_id", "business_date", "wkstn_id"]
+            numbered = number_within(placed, group, "o_orderkey", "trans_seq")
             late = F.when(order % 17 == 0, 1).otherwise(0)  # made after midnight
             minutes = F.make_dt_interval(days=late, mins=(order % 1440).cast("int"))
-            placed = placed.withColumn(
-                "create_date", F.col("business_date").cast("timestamp") + minutes
-            )
-            group = ["rtl_loc_id", "business_date", "wkstn_id"]
-            self._ready["postings"] = stage(
-                number_within(placed, group, "o_orderkey", "trans_seq"), "postings"
-            )
+            self._ready["postings"] = stage(numbered.withColumns({
+                "organization_id": F.when(customer % 29 == 0, 2).otherwise(1),
+                "create_user_id": customer,
+                "create_date": F.col("business_date").cast("timestamp") + minutes,
+            }), "postings")
         return self._ready["postings"]
 
     @property
@@ -207,15 +206,23 @@ def _exploded(df: DataFrame, key: list[str], candidates: Column) -> DataFrame:
 
 
 def _sale_lines(t: OrderTables) -> DataFrame:
-    part = F.col("l_partkey") % 4
-    lines = t.given("lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-    return t.postings.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    # the remainder that decides on both is all that goes through the join
+    kind = F.col("l_partkey") % 12
+    lines = t.given("lineitem").select("l_orderkey", kind.alias("kind"), "l_linenumber")
+    orders = t.postings.select("o_orderkey", *TXN_KEY)
+    sold = stage(
+        orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
+        .select(*TXN_KEY, "l_linenumber", "kind"),
+        "sold",
+    )
+    part = F.col("kind") % 4
+    return sold.select(
         *TXN_KEY, F.col("l_linenumber").alias("rtrans_lineitm_seq"),
         F.when(part == 0, "MOBILEOTD0001").when(part == 1, "MOBILEOTS0001")
         .otherwise(F.concat(F.lit("ITEM"), _text(part))).alias("item_id"),
         F.when(part == 1, "MOBILEOTS0001").when(part == 2, "SPECTRUM001").otherwise("SCAN")
         .alias("scanned_item_id"),
-        F.when(F.col("l_partkey") % 3 == 0, "NP").otherwise("ACC").alias("merch_level_1"),
+        F.when(F.col("kind") % 3 == 0, "NP").otherwise("ACC").alias("merch_level_1"),
     )
 
 

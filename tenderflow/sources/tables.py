@@ -115,7 +115,8 @@ def parquet_reader(spark: SparkSession, root: str) -> ParquetReader:
 
 
 def write_tables(
-    tables: Mapping[str, DataFrame], root: str, codes: Codes | None = None
+    tables: Mapping[str, DataFrame], root: str, codes: Codes | None = None, *,
+    grouped: bool = False,
 ) -> None:
     """Store tables the way the statements like them: dated ones partitioned by business date.
 
@@ -123,20 +124,23 @@ def write_tables(
     first and last of each file are noted too; a run then opens the dates that can have its
     rows and no others, however late a row was made.  Amounts and counts that match on any date
     are derived into small tables.  Files may come and go later; see ``sources.coverage``.
+    ``grouped`` rows, whose stores and dates lie together already, are not exchanged to be
+    written; each task has a file for each of its dates.
     """
     for name in [name for name in tables if name in TABLES]:
-        _write(tables[name], root, name, "overwrite")
+        _write(tables[name], root, name, "overwrite", grouped)
         refresh(tables[name].sparkSession, root, name, codes)
 
 
-def append_rows(df: DataFrame, root: str, name: str) -> None:
+def append_rows(df: DataFrame, root: str, name: str, *, grouped: bool = False) -> None:
     """Add rows to a stored table, of new dates or of old ones; nothing has to be refreshed."""
-    _write(df, root, name, "append")
+    _write(df, root, name, "append", grouped)
 
 
-def _write(df: DataFrame, root: str, name: str, mode: str) -> None:
+def _write(df: DataFrame, root: str, name: str, mode: str, grouped: bool) -> None:
     if name in DATED_TABLES:
-        spread = df.repartitionByRange("business_date", "rtl_loc_id", "trans_seq")
+        order = ["business_date", "rtl_loc_id", "trans_seq"]
+        spread = df if grouped else df.repartitionByRange(*order)
         spread.write.mode(mode).partitionBy("business_date").parquet(f"{root}/{name}")
     else:
         df.write.mode(mode).parquet(f"{root}/{name}")

@@ -6,8 +6,10 @@ import re
 from datetime import date, timedelta
 
 import pytest
+from conftest import SMALL
 from literal import DAY
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 from tenderflow.params import ReportParams, Window
 from tenderflow.plans import bundle, shared
@@ -34,6 +36,7 @@ from tenderflow.sources import (
     stage,
     write_tables,
 )
+from tenderflow.sources.from_orders import OrderTables
 from tenderflow.sources.tables import CREATED_TABLES, created_of
 
 PARAMS = ReportParams(Window.day(DAY))
@@ -163,6 +166,36 @@ def test_refreshed_notes_cover_all_files(spark, small, grown, tmp_path):
         assert sorted_rows(stored[derived.name]) == want
 
 
+def test_tables_are_derived_without_another_exchange(spark, monkeypatch):
+    """Postings lie by store and date already; lines and postings meet once."""
+    plans = {}
+    write = DataFrameWriter.parquet
+
+    def noted(self, path, *rest, **options):
+        plan = self._df._jdf.queryExecution().executedPlan().toString()
+        plans.setdefault(os.path.basename(path), []).append(plan)
+        return write(self, path, *rest, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    derived = OrderTables(spark, SMALL)
+    for name in DATED_TABLES:
+        assert derived[name].first()
+        assert len(plans[name]) == 2 and not any("Exchange" in plan for plan in plans[name])
+    every = [plan for found in plans.values() for plan in found]
+    assert sum("l_linenumber" in plan and "Join" in plan for plan in every) == 1
+
+
+def test_files_of_one_task_have_the_times_of_their_own_dates(spark):
+    """They have one name, and may have one size."""
+    days = [date(2024, 1, 1), date(2024, 1, 2)]
+    current = spark.createDataFrame(
+        [(day, "part-0", 9) for day in days], "business_date date, file string, size bigint"
+    )
+    times = current.select("*", *[F.col("business_date").cast("timestamp").alias(c) for c in ("first", "last")])
+    found = coverage.created_ranges(current, times)
+    assert sorted_rows(found) == sorted_rows(times.select("business_date", "first", "last"))
+
+
 def test_a_replaced_or_missing_file_changes_its_date(spark, small, tmp_path):
     name = coverage.MEDIA.source
     write_tables({name: small[name]}, str(tmp_path))
