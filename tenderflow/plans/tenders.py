@@ -47,6 +47,12 @@ BAG_KEY = ["rtl_loc_id", "business_date", "wkstn_id", "session_id", "bag_scope",
 #: what a payment row carries until its deposit reference is attached
 LABELS = ["trans_date", "payment_type", "is_deposit", "create_user_id"]
 
+#: what a row of a statement shows of its payments, beside the amount and the reference
+SHOWN = ["rtl_loc_id", "trans_date", "department", "billerid", "payment_type", "create_user_id"]
+
+#: most bags in one list
+LISTED_BAGS = 100
+
 #: adds ``deposit_ref`` to payment rows and multiplies ``amount`` where that hides several
 Attach = Callable[[DataFrame], DataFrame]
 
@@ -171,14 +177,20 @@ def with_traits(
 
 def tender_payments(
     tables: Tables, params: ReportParams, lines: DataFrame, posted: DataFrame,
-    dates: list[date], attach: Attach,
+    dates: list[date], attach: Attach, named: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Payments of all departments, with their references attached and added up in one pass."""
+    """Payments of all departments, with their references attached and added up in one pass.
+
+    ``named`` adds the number of the user as ``pid``, before rows are repeated for references.
+    """
     payments = biller_payments(tables, params, lines.drop("traits"), dates).unionByName(
         accessory_payments(tables, params, lines, posted, dates)
     )
+    also = ["pid"] if named else []
     # the posted text separates sums but is not shown
-    totals = _totals(attach(payments), "posted_text").drop("posted_text")
+    totals = _totals(
+        attach(named(payments) if named else payments), *also, "posted_text"
+    ).drop("posted_text")
     return totals.filter((F.col("department") != params.codes.accessory) | (F.col("amount") != 0))
 
 
@@ -308,7 +320,9 @@ def session_bags(tables: Tables, dates: list[date]) -> DataFrame:
 def bag_references(tables: Tables, dates: list[date]) -> Attach:
     """Deposits name each bag of their session or transaction, with the whole amount.
 
-    Other tenders hide the bag, so they are multiplied by the number of bags instead.
+    Other tenders hide the bag, so they are multiplied by the number of bags instead.  Payments
+    get their bags in lists and are repeated only where all rows that are added up, or may be
+    equal then, lie in one task: repeated rows are not exchanged.
     """
     scopes = F.array(
         F.struct(F.lit(SESSION).alias("bag_scope"), F.lit(0).cast("bigint").alias("bag_seq")),
@@ -332,11 +346,24 @@ def bag_references(tables: Tables, dates: list[date]) -> Attach:
         )
     )
 
+    key = [*BAG_KEY, "is_deposit"]
+    place = F.row_number().over(W.partitionBy(*key).orderBy("deposit_ref")) - 1
+    lists = (
+        references.withColumn("list", F.floor(place / LISTED_BAGS))
+        .groupBy(*key, "list")
+        .agg(F.collect_list("deposit_ref").alias("deposit_refs"), F.max("bags").alias("bags"))
+        .drop("list")
+    )
+
     def attach(payments: DataFrame) -> DataFrame:
         times = F.coalesce("bags", F.lit(1))
-        return payments.join(references, [*BAG_KEY, "is_deposit"], "left").withColumn(
+        listed = payments.join(lists, key, "left").withColumn(
             "amount", (F.col("amount") * times).cast("decimal(38,6)")
         )
+        # a fixed number: few bytes here may be many repeated rows, so tasks are not merged
+        parts = int(payments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        together = listed.drop("bags", *set(BAG_KEY) - set(SHOWN)).repartition(parts, *SHOWN)
+        return together.withColumn("deposit_ref", F.explode_outer("deposit_refs"))
 
     return attach
 

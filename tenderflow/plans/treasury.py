@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from datetime import date
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,6 +92,8 @@ class Branches:
 
     parts: dict[str, DataFrame]
     texts: dict[tuple[str, ...], DataFrame] = field(default_factory=dict)
+    #: whether rows of different parts always differ, by their departments
+    apart: bool = False
 
     def shown(self, rows: DataFrame) -> DataFrame:
         """Rows with the texts of listings, then by store and department."""
@@ -99,6 +101,8 @@ class Branches:
 
     def keyed(self) -> DataFrame:
         """Union of all parts, with the keys of listings; equal rows are kept once."""
+        if self.apart:
+            return reduce(DataFrame.unionByName, [one.distinct() for one in self.parts.values()])
         return reduce(DataFrame.unionByName, self.parts.values()).distinct()
 
     def merged(self) -> DataFrame:
@@ -107,19 +111,28 @@ class Branches:
 
 
 def treasury_branches(
-    tables: Tables, params: ReportParams, asked: Asked | None = None
+    tables: Tables, params: ReportParams, asked: Asked | None = None, named: bool = False
 ) -> Branches:
-    """Parts of the statement without safes; for all stores unless ``asked`` limits them."""
+    """Parts of the statement without safes; for all stores unless ``asked`` limits them.
+
+    With ``named``, rows have the number of their user.
+    """
     tables = run_of(tables)
     asked = asked or Asked.of(tables, params)
     dates = asked.line_dates
     attach = bag_references(tables, dates)
-    return Branches({
-        "payments": tender_payments(
-            tables, params, asked.lines, asked.posted, dates, attach
-        ),
-        "over_short": count_differences(tables, params, asked.ends, asked.end_dates),
-    })
+    differences = count_differences(tables, params, asked.ends, asked.end_dates)
+    codes = params.codes
+    return Branches(
+        {
+            "payments": tender_payments(
+                tables, params, asked.lines, asked.posted, dates, attach,
+                partial(_named, tables) if named else None,
+            ),
+            "over_short": _named(tables, differences) if named else differences,
+        },
+        apart=codes.over_short not in (codes.core, codes.device, codes.service, codes.accessory),
+    )
 
 
 def smartsafe_branches(
@@ -148,8 +161,9 @@ def treasury(tables: Tables, params: ReportParams) -> DataFrame:
 
 def treasury_rows(tables: Tables, params: ReportParams) -> DataFrame:
     tables = run_of(tables)
-    branches = treasury_branches(tables, params, Asked.of(tables, params, safe=False))
-    return _named(tables, branches).select(*columns("bag_id"), "pid")
+    asked = Asked.of(tables, params, safe=False)
+    branches = treasury_branches(tables, params, asked, named=True)
+    return branches.keyed().select(*columns("bag_id"), "pid")
 
 
 def smartsafe_treasury(tables: Tables, params: ReportParams) -> DataFrame:
@@ -176,12 +190,12 @@ def smartsafe_rows(tables: Tables, params: ReportParams) -> DataFrame:
 def _smartsafe(tables: Tables, params: ReportParams) -> tuple[Branches, DataFrame]:
     tables = run_of(tables)
     branches = smartsafe_branches(tables, params, Asked.of(tables, params, safe=True))
-    return branches, _named(tables, branches)
+    return branches, _named(tables, branches.keyed())
 
 
-def _named(tables: Tables, branches: Branches) -> DataFrame:
-    """Finished rows with the number of their user; listings are keys."""
+def _named(tables: Tables, rows: DataFrame) -> DataFrame:
+    """Rows with the number of their user."""
     return scalar_lookup(
-        branches.keyed(), tables["hrs_employee"], {"create_user_id": "party_id"},
+        rows, tables["hrs_employee"], {"create_user_id": "party_id"},
         {"pid": F.col("employee_id")},
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameWriter
 
 from tenderflow.params import ReportParams, Window
-from tenderflow.plans import bundle, shared
+from tenderflow.plans import bundle, shared, tenders
 from tenderflow.plans.ach import ach_checks
 from tenderflow.plans.backfill import backfill
 from tenderflow.plans.change_fund import change_fund
@@ -333,6 +333,38 @@ def test_rows_with_one_text_lie_together(small, unhinted, capsys):
     assert texts and changes < len(set(texts)) + small["loc_rtl_loc"].count()
 
 
+def test_rows_repeated_for_bags_are_not_exchanged(small, unhinted, capsys):
+    """Nor joined: users are looked up before, and equal rows lie in one task."""
+    text = plan_text(backfill("treasury", small, WEEK), capsys)
+    above = text.split("Generate")[0]
+    assert above.count("HashAggregate") == 4 and "Union" in above
+    assert "Exchange" not in above and "Join" not in above
+
+
+def test_a_session_may_have_more_bags_than_a_list(spark):
+    bags = 2 * tenders.LISTED_BAGS + 50
+    controls = spark.range(bags).selectExpr(
+        "1 organization_id", "7L rtl_loc_id", f"date '{DAY}' business_date", "id trans_seq",
+        "concat('B', id) safe_bag_id", "70L outbound_session_id",
+    )
+    workstations = spark.sql("select 1 organization_id, 7L rtl_loc_id, 70L session_id, 3L wkstn_id")
+    tables = {"tsn_tndr_control_trans": controls, "tsn_session_wkstn": workstations}
+    payments = spark.createDataFrame(
+        [(70, True, "cash"), (70, False, "card"), (71, True, "no bag")],
+        "session_id bigint, is_deposit boolean, payment_type string",
+    ).selectExpr(
+        "*", "7L rtl_loc_id", f"date '{DAY}' business_date", "3L wkstn_id", "'session' bag_scope",
+        "0L bag_seq", "cast(2 as decimal(38,6)) amount", "'d' trans_date", "'CORE' department",
+        "'b' billerid", "1L create_user_id",
+    )
+    rows = tenders.bag_references(tables, [DAY])(payments).collect()
+    found = sorted((row.payment_type, row.deposit_ref, int(row.amount)) for row in rows
+                   if row.deposit_ref)
+    assert found == sorted(("cash", f"B{n}", 2) for n in range(bags))
+    rest = {(row.payment_type, int(row.amount)) for row in rows if not row.deposit_ref}
+    assert len(rows) == bags + 2 and rest == {("card", 2 * bags), ("no bag", 2)}
+
+
 def test_statements_split_the_stores(small):
     plain = {row.locationid for row in treasury(small, PARAMS).collect()}
     safe = {row.locationid for row in smartsafe_treasury(small, PARAMS).collect()}
