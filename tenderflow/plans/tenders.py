@@ -39,6 +39,7 @@ from tenderflow.params import ReportParams
 from tenderflow.plans.shared import Tables, once
 from tenderflow.schemas import LINE_KEY, STORE_TXN_KEY, TOTAL, TXN_KEY
 from tenderflow.sources.coverage import SEQUENCE_LINE, posted_index
+from tenderflow.sources.staging import stage
 
 #: how a bag relates to a payment: to its whole session, or to its very transaction
 SESSION, TRANSACTION = "session", "transaction"
@@ -53,6 +54,13 @@ SHOWN = ["rtl_loc_id", "trans_date", "department", "billerid", "payment_type", "
 #: most bags in one list
 LISTED_BAGS = 100
 
+#: a task's rows with listings: bytes of different texts, two such lots at most in one file (half
+#: of what a Parquet file stores once), and what a row and a byte copied to it count for
+TASK_TEXT, ROW_WEIGHT, COPIED = 500_000, 2, 16_384
+
+#: bytes from which a text is not in one task with rows that have none
+LONG_TEXT = 8_192
+
 #: adds ``deposit_ref`` to payment rows and multiplies ``amount`` where that hides several
 Attach = Callable[[DataFrame], DataFrame]
 
@@ -409,27 +417,100 @@ def ordered_with_listings(
 ) -> DataFrame:
     """Rows by ``order``, store and department, with the text in place of its key.
 
-    ``texts`` has the texts that rows of some departments can name.  A text is sent once to each
-    of these and handed to the rows where they lie in order, so no row is exchanged or sorted with
-    its text, and rows with the same text are written one after another, which columnar files
-    store once.
+    ``texts`` has the texts that rows of some departments can name.  A text is sent to the tasks
+    whose rows name it and handed to the rows where they lie in order, so no row is exchanged or
+    sorted with its text.  Rows with the same text are written one after another, and a task has
+    no more texts than a columnar file stores once (``listing_places``).
     """
+    key = [*order, "deposit_ref"]
+    columns = rows.columns
+    rows = stage(rows, "rows")
+    groups = rows.groupBy(*key).agg(F.count("*").alias("rows"))
+    named = stage(_named_texts(groups, key, texts), "texts")
+    places = stage(listing_places(groups, named, order), "places")
+    tasks = 1 + (places.agg(F.max("last")).first()[0] or 0)
+
+    at = places.withColumnsRenamed({name: f"_{name}" for name in key})
+    same = reduce(Column.__and__, [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in key])
+    spread = F.pmod(F.xxhash64(*columns), F.col("last") - F.col("first") + 1)
+    placed = rows.join(at, same).select(
+        *columns, (F.col("first") + spread).cast("int").alias("place"),
+        F.lit(False).alias("is_text"),
+    )
+    sent = named.join(places, key).select(
+        *key, "listing", F.explode(F.sequence("first", "last")).alias("place"),
+        F.lit(True).alias("is_text"),
+    )
+    together = W.partitionBy("place", *key)
+    return (
+        placed.unionByName(sent, allowMissingColumns=True)
+        .repartitionById(tasks, "place")
+        .withColumn("listing", F.first("listing", ignorenulls=True).over(together))
+        .filter(~F.col("is_text"))
+        .withColumn("deposit_ref", F.col("listing"))
+        .select(*columns)
+    )
+
+
+def _named_texts(
+    groups: DataFrame, key: list[str], texts: Mapping[tuple[str, ...], DataFrame]
+) -> DataFrame:
+    """(key, listing) of the texts that rows name, once for each department."""
     places = []
     for departments, found in texts.items():
         once = found.groupBy("locationid", "listing_key").agg(F.first("listing").alias("listing"))
         places.append(once.select(
             "locationid", F.explode(F.array(*[F.lit(name) for name in departments]))
             .alias("department"),
-            F.col("listing_key").alias("deposit_ref"), "listing", F.lit(True).alias("is_text"),
+            F.col("listing_key").alias("deposit_ref"), "listing",
         ))
-    every = reduce(DataFrame.unionByName, places)
-    both = rows.withColumn("is_text", F.lit(False)).unionByName(every, allowMissingColumns=True)
-    same = W.partitionBy(*order, "deposit_ref")
-    return (
-        both.repartitionByRange(*order)
-        .withColumn("listing", F.first("listing", ignorenulls=True).over(same))
-        .filter(~F.col("is_text"))
-        .withColumn("deposit_ref", F.col("listing"))
-        .drop("listing", "is_text")
-        .orderBy(*order)
+    every = reduce(DataFrame.unionByName, places).join(groups.select(*key), key, "left_semi")
+    # a fixed number: few bytes here may be much text, so tasks are not merged
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return every.repartition(parts, *key)
+
+
+def listing_places(groups: DataFrame, named: DataFrame, order: list[str]) -> DataFrame:
+    """(key, first, last): the tasks, numbered by ``order``, for the rows of each listing.
+
+    A columnar writer looks at its memory every so many rows, as many as seem to fit by those it
+    has seen.  Rows without a text make that many, so long texts after them are held for all these
+    rows at once; and texts are stored once only while a file has few.  So rows with long texts
+    have tasks of their own, with at most ``TASK_TEXT`` bytes that end in them, and rows with none
+    or short ones have others.  Tasks are numbered by running sums within a store and department,
+    and of these; a listing with more rows than fit a task goes on in the next ones.
+    """
+    key = [*order, "deposit_ref"]
+    sizes = named.groupBy(*key).agg(F.max(F.octet_length("listing")).alias("bytes"))
+    length = F.coalesce("bytes", F.lit(0)).cast("bigint")
+    weight = length + F.col("rows") * ROW_WEIGHT + F.floor(F.col("rows") * length / COPIED)
+    sized = groups.join(sizes, key, "left").select(
+        *key, (length > LONG_TEXT).alias("long"), weight.alias("weight")
+    )
+    block = [*order, "long"]
+    inside = W.partitionBy(*block).orderBy("deposit_ref").rowsBetween(W.unboundedPreceding, 0)
+    # one row for a store, department and kind
+    blocks = sized.groupBy(*block).agg(F.sum("weight").alias("all"))
+    before = W.orderBy(*order, F.desc("long")).rowsBetween(W.unboundedPreceding, -1)
+
+    def full(weights: Column) -> Column:
+        """The task in which so much ends."""
+        return F.floor((weights - 1) / TASK_TEXT)
+
+    def sofar(value: Column) -> Column:
+        return F.coalesce(F.sum(value).over(before), F.lit(0))
+
+    short = sofar(F.when(~F.col("long"), F.col("all")))
+    long = sofar(F.when(F.col("long"), full(F.col("all")) + 2))
+    starts = blocks.select(
+        *[F.col(name).alias(f"_{name}") for name in block],
+        F.when(F.col("long"), F.lit(0)).otherwise(short).alias("start"),
+        (long + F.when(F.col("long"), full(short) + 1).otherwise(0)).alias("base"),
+    )
+    same = reduce(Column.__and__, [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in block])
+    end = F.col("start") + F.col("sum")
+    last = F.col("base") + full(end)
+    former = F.col("base") + full(end - F.col("weight"))
+    return sized.withColumn("sum", F.sum("weight").over(inside)).join(starts, same).select(
+        *key, F.least(last, former + 1).cast("int").alias("first"), last.cast("int").alias("last")
     )

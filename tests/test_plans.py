@@ -5,6 +5,7 @@ import os
 import re
 from datetime import date, timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from conftest import SMALL
 from literal import DAY
@@ -20,6 +21,7 @@ from tenderflow.plans.kiosk import kiosk_reconcile
 from tenderflow.plans.tenders import posted_elsewhere
 from tenderflow.plans.till_variance import till_variance
 from tenderflow.plans.treasury import (
+    ORDER,
     smartsafe_branches,
     smartsafe_rows,
     smartsafe_treasury,
@@ -333,6 +335,77 @@ def test_rows_with_one_text_lie_together(small, unhinted, capsys):
     assert texts and changes < len(set(texts)) + small["loc_rtl_loc"].count()
 
 
+def listed_rows(spark, stores, rows, listing):
+    """Rows of stores and two departments, a third of them without a listing, and the texts."""
+    known = spark.createDataFrame(
+        [(store, f"{store}-{n}", listing(store, n)) for store in range(stores) for n in range(3)],
+        "locationid bigint, listing_key string, listing string",
+    )
+    named = F.concat_ws("-", F.col("id") % stores, F.col("n") % 4)
+    asked = spark.range(stores * rows).withColumn("n", F.floor(F.col("id") / stores)).select(
+        (F.col("id") % stores).alias("locationid"),
+        F.when(F.col("n") % 2 == 0, "A").otherwise("B").alias("department"),
+        F.when(F.col("n") % 4 != 3, named).alias("deposit_ref"), F.col("id").alias("line"),
+    )
+    return asked, {("A", "B"): known}
+
+
+def by_task(df):
+    placed = df.withColumn("task", F.spark_partition_id()).collect()
+    tasks = {}
+    for row in placed:
+        tasks.setdefault(row.task, []).append(row)
+    return placed, tasks
+
+
+def test_long_texts_and_rows_without_one_are_in_different_tasks(spark, unhinted):
+    """A writer that saw rows without a text holds as many with one; it takes few texts once."""
+    def listing(store, n):
+        long = (n + 1) * 90_000 if store % 3 else 30 + n
+        return f"{store}-{n}:".ljust(long, "x")
+
+    asked, texts = listed_rows(spark, 5, 40, listing)
+    placed, tasks = by_task(tenders.ordered_with_listings(asked, ORDER, texts))
+    want = {row.line: row.deposit_ref for row in asked.collect()}
+    assert {row.line: (row.deposit_ref or "").split(":")[0] or None for row in placed} == want
+    assert len(placed) == len(want)
+    for rows in tasks.values():
+        lengths = {len(row.deposit_ref or "") for row in rows}
+        assert max(lengths) <= tenders.LONG_TEXT or min(lengths) > tenders.LONG_TEXT
+        assert sum(lengths) <= 2 * tenders.TASK_TEXT
+    order = [(row.locationid, row.department) for row in placed]
+    assert order == sorted(order) and len(tasks) < 5 * 2 * 4
+
+
+def test_rows_of_one_listing_go_on_in_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(tenders, "COPIED", 10)
+    asked, texts = listed_rows(spark, 2, 4_000, lambda store, n: f"{n}".ljust(20_000, "x"))
+    placed, tasks = by_task(tenders.ordered_with_listings(asked, ORDER, texts))
+    assert len(placed) == 8_000 and sum(row.deposit_ref is None for row in placed) == 2_000
+    listed = [rows for rows in tasks.values() if rows[0].deposit_ref]
+    assert max(map(len, listed)) < 500
+    assert all(len({(row.department, row.deposit_ref) for row in rows}) == 1 for rows in listed)
+    order = [(row.locationid, row.department) for row in placed]
+    assert order == sorted(order)
+
+
+def test_no_rows_with_listings(spark):
+    asked, texts = listed_rows(spark, 1, 4, lambda store, n: "x")
+    assert tenders.ordered_with_listings(asked.limit(0), ORDER, texts).count() == 0
+
+
+def test_a_long_text_is_stored_once_in_a_file(spark, tmp_path):
+    asked, texts = listed_rows(spark, 8, 400, lambda store, n: f"{store}{n}".ljust(100_000, "x"))
+    tenders.ordered_with_listings(asked, ORDER, texts).write.parquet(f"{tmp_path}/out")
+    held = 0
+    for path in glob.glob(f"{tmp_path}/out/*.parquet"):
+        found = pq.ParquetFile(path).metadata
+        column = found.schema.to_arrow_schema().get_field_index("deposit_ref")
+        held += sum(found.row_group(n).column(column).total_uncompressed_size
+                    for n in range(found.num_row_groups))
+    assert held < 5 * 8 * 3 * 100_000
+
+
 def test_rows_repeated_for_bags_are_not_exchanged(small, unhinted, capsys):
     """Nor joined: users are looked up before, and equal rows lie in one task."""
     text = plan_text(backfill("treasury", small, WEEK), capsys)
