@@ -389,6 +389,20 @@ def test_rows_of_one_listing_go_on_in_more_tasks(spark, monkeypatch):
     assert order == sorted(order)
 
 
+def test_a_backfill_keeps_long_listings_of_all_days_apart(small, monkeypatch):
+    want = sorted(str(tuple(row)) for row in backfill("smartsafe_treasury", small, WEEK).collect())
+    monkeypatch.setattr(tenders, "LONG_TEXT", 12)
+    monkeypatch.setattr(tenders, "TASK_TEXT", 100)
+    placed, tasks = by_task(backfill("smartsafe_treasury", small, WEEK))
+    assert sorted(str(tuple(row)[:-1]) for row in placed) == want
+    order = [(row.locationid, row.department) for row in placed]
+    assert order == sorted(order) and len({row.report_date for row in placed}) == 7
+    for rows in tasks.values():
+        lengths = [len(row.deposits or "") for row in rows]
+        assert max(lengths) <= 12 or min(lengths) > 12
+        assert len({row.deposits for row in rows}) == 1 or max(lengths) <= 100
+
+
 def test_no_rows_with_listings(spark):
     asked, texts = listed_rows(spark, 1, 4, lambda store, n: "x")
     assert tenders.ordered_with_listings(asked.limit(0), ORDER, texts).count() == 0
