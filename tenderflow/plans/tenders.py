@@ -478,20 +478,23 @@ def listing_places(groups: DataFrame, named: DataFrame, order: list[str]) -> Dat
     rows at once; and texts are stored once only while a file has few.  So rows with long texts
     have tasks of their own, with at most ``TASK_TEXT`` bytes that end in them, and rows with none
     or short ones have others.  Tasks are numbered by running sums within a store and department,
-    and of these; a listing with more rows than fit a task goes on in the next ones.
+    and of these.  A listing that is more than a task shares none: it takes as many as it needs.
     """
     key = [*order, "deposit_ref"]
     sizes = named.groupBy(*key).agg(F.max(F.octet_length("listing")).alias("bytes"))
     length = F.coalesce("bytes", F.lit(0)).cast("bigint")
     weight = length + F.col("rows") * ROW_WEIGHT + F.floor(F.col("rows") * length / COPIED)
+    lots = F.ceil(F.col("weight") / TASK_TEXT)
     sized = groups.join(sizes, key, "left").select(
         *key, (length > LONG_TEXT).alias("long"), weight.alias("weight")
+    ).withColumn("shared", ~F.col("long") | (F.col("weight") <= TASK_TEXT)).withColumn(
+        "weight", F.when(F.col("shared"), F.col("weight")).otherwise(lots * TASK_TEXT)
     )
-    block = [*order, "long"]
+    block = [*order, "long", "shared"]
     inside = W.partitionBy(*block).orderBy("deposit_ref").rowsBetween(W.unboundedPreceding, 0)
-    # one row for a store, department and kind
+    # at most three rows for a store and department
     blocks = sized.groupBy(*block).agg(F.sum("weight").alias("all"))
-    before = W.orderBy(*order, F.desc("long")).rowsBetween(W.unboundedPreceding, -1)
+    before = W.orderBy(*order, F.desc("long"), "shared").rowsBetween(W.unboundedPreceding, -1)
 
     def full(weights: Column) -> Column:
         """The task in which so much ends."""

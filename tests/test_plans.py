@@ -389,6 +389,21 @@ def test_rows_of_one_listing_go_on_in_more_tasks(spark, monkeypatch):
     assert order == sorted(order)
 
 
+def test_a_listing_beyond_a_task_shares_none(spark):
+    """Else it and the next ones are more than a file stores once."""
+    def listing(store, n):
+        return f"{store}-{n}:".ljust(1_050_000 if n == 0 else 160_000, "x")
+
+    asked, texts = listed_rows(spark, 2, 40, listing)
+    placed, tasks = by_task(tenders.ordered_with_listings(asked, ORDER, texts))
+    assert len(placed) == 80 and sum(row.deposit_ref is None for row in placed) == 20
+    for rows in tasks.values():
+        found = {row.deposit_ref for row in rows}
+        assert len(found) == 1 or sum(map(len, found)) <= 2 * tenders.TASK_TEXT
+    order = [(row.locationid, row.department) for row in placed]
+    assert order == sorted(order)
+
+
 def test_a_backfill_keeps_long_listings_of_all_days_apart(small, monkeypatch):
     want = sorted(str(tuple(row)) for row in backfill("smartsafe_treasury", small, WEEK).collect())
     monkeypatch.setattr(tenders, "LONG_TEXT", 12)
